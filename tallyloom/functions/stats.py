@@ -89,3 +89,8 @@ def upper_median_position() -> Column:
 def quantile_position(q: float) -> Column:
     """Index of the reported quantile: min(n - 1, int(q * n))."""
     return F.least(F.col("n") - 1, F.floor(F.lit(q) * F.col("n")))
+
+
+def running_safe_sum(col: str) -> Column:
+    """A sum of measurements that does not depend on arrival order (six decimals)."""
+    return F.sum(money(col)).cast("double")
