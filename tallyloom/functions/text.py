@@ -31,6 +31,11 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def bind(value: Column, use) -> Column:
+    """use(value) with `value` computed once per row, however often `use` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def shingles(text: Column, n: int = 3, unit: str = "word") -> Column:
     """Sorted distinct 64-bit hashes of the text's n-grams; empty for shorter texts."""
     if unit == "word":
@@ -39,11 +44,15 @@ def shingles(text: Column, n: int = 3, unit: str = "word") -> Column:
         items = F.split(F.lower(text), "")
     else:
         raise ValueError(f"unit must be word or char, got {unit!r}")
-    starts = F.when(
-        F.size(items) >= n, F.sequence(F.lit(0), F.size(items) - n)
-    ).otherwise(F.array().cast("array<int>"))
-    grams = F.transform(starts, lambda i: F.xxhash64(*[F.get(items, i + k) for k in range(n)]))
-    return F.array_sort(F.array_distinct(grams))
+
+    def grams(parts: Column) -> Column:
+        starts = F.when(
+            F.size(parts) >= n, F.sequence(F.lit(0), F.size(parts) - n)
+        ).otherwise(F.array().cast("array<int>"))
+        hashed = F.transform(starts, lambda i: F.xxhash64(*[F.get(parts, i + k) for k in range(n)]))
+        return F.sort_array(F.array_distinct(hashed))
+
+    return bind(items, grams)
 
 
 def extract_code(text: Column, function: str = "transform") -> Column:

@@ -113,7 +113,7 @@ def table_drift(
         off = ~F.col(f"_w_{c}").eqNullSafe(F.col(f"_g_{c}"))
         return off & F.col(f"_w_{c}").isNotNull() if containment else off
 
-    names = F.array_sort(
+    names = F.sort_array(
         F.filter(F.array(*[F.when(differs(c), F.lit(c)) for c in fields]), lambda x: x.isNotNull())
     )
     problem = (

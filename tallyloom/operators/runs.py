@@ -199,7 +199,7 @@ def attestation_findings(attestations: DataFrame) -> DataFrame:
 def violations(checks: dict[str, Column]) -> Column:
     """Sorted names of the checks a row fails."""
     named = F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()])
-    return F.array_sort(F.filter(named, lambda x: x.isNotNull()))
+    return F.sort_array(F.filter(named, lambda x: x.isNotNull()))
 
 
 def validate_manifests(manifests: DataFrame, run_patterns: Sequence[str], statuses: Sequence[str] = SCHEMA_STATUSES) -> DataFrame:

@@ -361,7 +361,7 @@ _CLAIM = """CASE event_id % 10
 def claims(spark, sf):
     rows = table(spark, sf, "events").selectExpr("event_id", _CLAIM.replace("\\", "\\\\") + " AS claim")
     out = runs.normalize_claims(rows, "claim")
-    pairs = F.transform(F.array_sort(F.map_entries("metrics")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    pairs = F.transform(F.sort_array(F.map_entries("metrics")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return out.select("event_id", F.size("outputs").cast("long").alias("n_outputs"), F.array_join("outputs", "|").alias("outputs"),
                       F.array_join(pairs, "|").alias("metrics"), "evidence")
 
