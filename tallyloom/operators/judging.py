@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.functions import text as tx
 from tallyloom.functions.stats import count_where, order_statistics, ratio, upper_median_position, wilson
@@ -220,7 +221,7 @@ def rouge_n(pairs: DataFrame, key: str, prediction: str, reference: str, n: int
         key, share(o, p).alias("precision"), share(o, r).alias("recall"), share(2 * o, p + r).alias("f1"))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def lcs_length(left: pd.Series, right: pd.Series) -> pd.Series:
     """Longest common subsequence of two token arrays."""
 

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.functions import text as tx
 from tallyloom.functions.stats import count_where, ratio
@@ -27,7 +28,7 @@ def score_join(generations: DataFrame, val: DataFrame) -> DataFrame:
         "status", F.when(F.col("_hit").isNull(), "no_matching_val_row")).drop("_hit")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def syntax_error(code: pd.Series) -> pd.Series:
     """Why source text does not parse, or null. It is parsed, never run."""
 
