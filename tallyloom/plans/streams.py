@@ -24,7 +24,7 @@ def stream(spark, sf, name: str):
 
 VIEWS.update({
     "bills": ("lineitem", {
-        "project": "'project-' || (l_suppkey % 4)", "period": "CAST(l_shipdate AS DATE)", "run_id": "l_orderkey % 200", "category": "l_returnflag",
+        "project": "'project-' || (l_suppkey % 4)", "period": "CAST(date_trunc('month', l_shipdate) AS DATE)", "run_id": "l_orderkey % 200", "category": "l_returnflag",
         "cost_usd": "l_extendedprice", "settlement": "CASE WHEN l_linestatus = 'F' THEN 'settled' ELSE 'provisional' END", "delay_days": "CAST(l_linenumber AS INTEGER)",
     }),
 })
@@ -91,7 +91,7 @@ def scores(spark, sf):
 def _gaps(name: str, where: str, key: str, gap_s: int) -> str:
     """Silent stretches per key, in whole gaps, the last one running to the newest event."""
     return f"""g AS (SELECT {key} AS k, epoch_us(ts) / 1e6 AS s, lead(epoch_us(ts) / 1e6) OVER (PARTITION BY {key} ORDER BY ts) AS nxt FROM {name} WHERE {where}),
-f AS (SELECT k, CAST(floor((coalesce(nxt, (SELECT floor(max(epoch_us(ts)) / 1000) / 1000 FROM {name} WHERE {where})) - s) / {gap_s}) AS BIGINT) AS n FROM g)"""
+f AS (SELECT k, greatest(0, CAST(floor((coalesce(nxt, (SELECT floor(max(epoch_us(ts)) / 1000) / 1000 FROM {name} WHERE {where})) - s) / {gap_s}) AS BIGINT)) AS n FROM g)"""
 
 
 QUERIES = {
@@ -105,6 +105,12 @@ SQL = {
     "g3_settle_ledger": f"""{with_views('bills')}, t AS (SELECT *, max(delay_days) OVER (PARTITION BY project, period) AS latest FROM bills WHERE delay_days <= 5) SELECT project, strftime(period, '%Y-%m-%d') AS period, count(*) AS n_rows, CAST(sum(CAST(cost_usd AS DECIMAL(28,6))) AS DOUBLE) AS cost_usd FROM t WHERE delay_days = latest GROUP BY 1, 2""",
     "g4_protocol_counters": f"{with_views('protocol')} SELECT run_id, stage, task, epoch, turns, arrival FROM protocol QUALIFY row_number() OVER (PARTITION BY run_id, stage, task, epoch ORDER BY turns DESC, arrival DESC) = 1",
     "g5_stage_attribution": f"{with_views('history')}, c AS (SELECT *, last_value(CASE WHEN kind = 'entered' THEN state END IGNORE NULLS) OVER (PARTITION BY execution ORDER BY event_id) AS current_state FROM history) SELECT execution, event_id, current_state, error FROM c WHERE kind = 'failed'",
+    "g6_unanswered_pages": f"""{with_views('run_events')}, m AS (SELECT least(max(ts) FILTER (name = 'HumanPaged'), max(ts) FILTER (stage = 'purchase')) - INTERVAL 1 HOUR AS wm FROM run_events)
+SELECT run_id, epoch_us(ts) AS paged_us FROM run_events p, m WHERE name = 'HumanPaged' AND ts + INTERVAL 6 HOUR < wm
+  AND NOT EXISTS (SELECT 1 FROM run_events a WHERE a.stage = 'purchase' AND a.run_id = p.run_id AND a.ts >= p.ts AND a.ts <= p.ts + INTERVAL 6 HOUR)""",
+    "g8_turn_sessions": f"""{with_views('run_events')}, n AS (SELECT run_id, stage, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 8 HOUR THEN 0 ELSE 1 END AS fresh FROM run_events WINDOW w AS (PARTITION BY run_id, stage ORDER BY ts)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY run_id, stage ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM n)
+SELECT run_id, stage, epoch_us(min(ts)) AS started_us, count(*) AS turns FROM s GROUP BY run_id, stage, sid HAVING max(ts) + INTERVAL 8 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM run_events)""",
     "g7_daily_metrics": f"{with_views('metrics')}, w AS (SELECT owner, date_trunc('day', ts) AS d, CAST(sum(value) AS BIGINT) AS value FROM metrics WHERE metric = 'Invocations' GROUP BY 1, 2) SELECT owner, strftime(d, '%Y-%m-%d') AS day, value FROM w WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM metrics WHERE metric = 'Invocations')",
     "g9_incremental_scores": evaluation._REPORT,
 }
