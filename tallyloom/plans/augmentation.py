@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import grids as g
 from tallyloom.operators import augmentation as a
-from tallyloom.session import table
+from tallyloom.session import spread, table
 
 K, SEED = 20, 11
 
@@ -20,7 +20,7 @@ def _grid_sql(o: int) -> str:
 
 
 def triplets(spark, sf):
-    return table(spark, sf, "part").selectExpr(
+    return spread(table(spark, sf, "part")).selectExpr(
         "p_partkey", "lpad(hex(p_partkey), 8, '0') AS task_id",
         f"'Task ' || p_name || '\\nInput ' || {_grid_sql(1)} || 'Output ' || {_grid_sql(2)} || 'End.' AS prompt",
         "'import x\\ndef transform(grid):\\n    return grid  # transform ' || p_size || '\\n\\n' AS code")

@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import text as tx
 from tallyloom.operators import curation, retrieval
-from tallyloom.session import durable, table
+from tallyloom.session import spread, table
 
 SEED = 7
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 def layers(spark, sf):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.names import session_id
 from tallyloom.operators import audits, intake, runs, telemetry
 from tallyloom.plans.views import view, with_views
-from tallyloom.session import table
+from tallyloom.session import spread, table
 
 US = "epoch_us({})"
 
@@ -540,7 +540,7 @@ _RULES = audits.SECRET_RULES + (("token assignment", r'token = "[0-9a-f]{40}"',
 
 
 def _planted(spark, sf):
-    return table(spark, sf, "documents").selectExpr(
+    return spread(table(spark, sf, "documents")).selectExpr(
         "doc_id", "text || CASE doc_id % 10 WHEN 0 THEN '\\nkey AK' || 'IA' || 'ABCDEFGH' || (10000000 + doc_id) WHEN 1 THEN '\\nid ' || (100000000000 + doc_id) || ' x'"
         " WHEN 2 THEN '\\nhttps://abc123.execute-api.eu-west-1.amazonaws.com' WHEN 3 THEN '\\nhttps://live' || doc_id || '.execute-api.eu-west-1.amazonaws.com/x'"
         " WHEN 4 THEN '\\nar' || 'n:aws:s3:eu-west-1:' || (100000000000 + doc_id) || ':b' ELSE '' END AS text")
