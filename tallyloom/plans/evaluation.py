@@ -21,7 +21,7 @@ VIEWS.update({
     }),
     "executed": ("lineitem", {
         "run": "l_returnflag", "task_id": "l_orderkey", "variant": "CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE 'v' || (l_suppkey % 3) END",
-        "sample_idx": "l_partkey * 8 + l_linenumber",
+        "sample_idx": "(l_partkey * 8 + l_linenumber) * 10000 + l_suppkey % 10000",
         "status": "CASE WHEN l_partkey % 19 = 0 THEN 'no_matching_val_row' END",
         "format_status": "CASE l_partkey % 13 WHEN 0 THEN 'no_transform_emitted' WHEN 1 THEN 'unparseable_code' ELSE 'valid' END",
         "bad_prompt": "CASE WHEN l_partkey % 29 = 0 THEN 'shape' END",
@@ -32,7 +32,7 @@ VIEWS.update({
     "items": ("orders", {"layer": "CASE WHEN o_orderkey % 3 = 0 THEN 'ood' ELSE 'id' END", "item_id": "o_orderkey", "category": "o_orderpriority"}),
     "judgments": ("lineitem", {
         "layer": "CASE WHEN l_orderkey % 3 = 0 THEN 'ood' ELSE 'id' END", "item_id": "l_orderkey",
-        "position": "CASE WHEN l_linenumber % 2 = 0 THEN 'A' ELSE 'B' END", "attempt": "l_partkey * 8 + l_linenumber",
+        "position": "CASE WHEN l_linenumber % 2 = 0 THEN 'A' ELSE 'B' END", "attempt": "(l_partkey * 8 + l_linenumber) * 10000 + l_suppkey % 10000",
         "verdict": "CASE WHEN l_partkey % 6 = 0 THEN NULL WHEN l_suppkey % 3 = 0 THEN 'tie' WHEN l_suppkey % 3 = 1 THEN 'A' ELSE 'B' END",
         "stop_reason": "CASE WHEN l_partkey % 6 <> 0 THEN 'end_turn' WHEN l_partkey % 12 = 0 THEN 'content_filtered' ELSE 'max_tokens' END",
         "student_answer_chars": "l_partkey % 500 + 1", "reference_answer_chars": "l_suppkey % 400 + 1",

@@ -13,7 +13,7 @@ LINE_COUNT_MAX_BYTES = 32 * 1024 * 1024
 # Accepted data set suffixes; gz wraps any of the text formats.
 FORMATS = {"jsonl": "json", "json": "json", "csv": "csv", "tsv": "csv", "txt": "text", "parquet": "parquet"}
 
-COCO = T.StructType.fromDDL(
+COCO = (
     "images array<struct<id:bigint,file_name:string,width:int,height:int>>,"
     "annotations array<struct<id:bigint,image_id:bigint,category_id:bigint,bbox:array<double>,area:double,iscrowd:int>>,"
     "categories array<struct<id:bigint,name:string>>"
