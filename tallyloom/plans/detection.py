@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.operators import detection as d
-from tallyloom.session import table
+from tallyloom.session import spread, table
 
 _RAW = """CASE o_orderkey % 9 WHEN 0 THEN '{"bbox":[1,2,3],"category_id":1,"score":0.5}' WHEN 1 THEN '{"bbox":[1,2,0,4],"category_id":1,"score":0.5}' WHEN 2 THEN '{"bbox":[1,2,3,4],"category_id":1,"score":true}'
  WHEN 3 THEN '{"bbox":[1,2,3,4],"category_id":1.5,"score":0.5}' WHEN 4 THEN 'oops' WHEN 5 THEN '{"bbox":[1,true,3,4],"category_id":1,"score":0.5}' WHEN 6 THEN '{"bbox":[1,2,3,4],"category_id":1,"score":1.5}'
@@ -14,7 +14,7 @@ _RAW = """CASE o_orderkey % 9 WHEN 0 THEN '{"bbox":[1,2,3],"category_id":1,"scor
 
 def boxes(spark, sf):
     """(detections, ground truth): about ten crowded boxes per customer image, shifted and scored."""
-    rows = table(spark, sf, "orders").selectExpr(
+    rows = spread(table(spark, sf, "orders")).selectExpr(
         "o_orderkey", "o_custkey AS image_id", "o_orderkey % 3 AS category_id",
         "CAST(o_orderkey * 37 % 60 AS double) AS x", "CAST(o_orderkey * 91 % 50 AS double) AS y",
         "CAST(20 + o_orderkey % 30 AS double) AS w", "CAST(20 + o_orderkey * 7 % 25 AS double) AS h")
