@@ -174,7 +174,7 @@ UNION ALL SELECT 'rate', 'rejection_rate', CAST(count(*) FILTER (status = 'rejec
 
 def _tagged(spark, sf):
     rows = table(spark, sf, "orders").selectExpr("o_orderkey AS task_id", "o_orderpriority AS code", "o_orderkey % 7 <> 0 AS all_pass")
-    prov = table(spark, sf, "orders").where("o_orderkey % 5 <> 0").selectExpr("o_orderkey AS task_id", "CASE WHEN o_custkey % 9 = 0 THEN NULL ELSE o_custkey % 4 END AS rounds_used", "CASE WHEN o_orderkey % 3 = 0 THEN 'other' WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderpriority END AS code")
+    prov = table(spark, sf, "orders").selectExpr("CASE WHEN o_orderkey % 5 = 0 THEN -1 - o_orderkey ELSE o_orderkey END AS task_id", "CASE WHEN o_custkey % 9 = 0 THEN NULL ELSE o_custkey % 4 END AS rounds_used", "CASE WHEN o_orderkey % 3 = 0 THEN 'other' WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderpriority END AS code")
     return a.provenance_tag(rows, prov)
 
 

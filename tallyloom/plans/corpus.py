@@ -131,7 +131,7 @@ def _boxes(spark, sf):
     notes = table(spark, sf, "lineitem").selectExpr(
         "l_partkey + CASE WHEN l_suppkey % 40 = 0 THEN 10000000 ELSE 0 END AS image_id", "l_linenumber AS category_id",
         "array(0D, 0D, l_quantity - 2, l_quantity) AS bbox")
-    files = images.where("id % 25 <> 4").select("file_name")
+    files = images.selectExpr("CASE WHEN id % 25 = 4 THEN 'lost-' || id ELSE file_name END AS file_name")
     return images, notes, files
 
 
@@ -182,7 +182,7 @@ def _assembled(spark, sf):
     """Documents' labels as tickets, nearest embeddings' documents as passages."""
     emb = table(spark, sf, "embeddings")
     near = retrieval.vector_topk(emb.selectExpr("vec_id AS query_id", "embedding"), emb.selectExpr("vec_id AS id", "embedding"), 6)
-    got = near.where("query_id % 10 <> 9").selectExpr("query_id AS doc_id", "id", "rank")
+    got = near.selectExpr("CASE WHEN query_id % 10 = 9 THEN -1 - query_id ELSE query_id END AS doc_id", "id", "rank")
     rows = docs(spark, sf).join(emb.selectExpr("vec_id AS doc_id"), "doc_id", "left_semi").selectExpr("doc_id", "'ticket ' || doc_id AS ticket", "lang AS answer")
     oracle = rows.selectExpr("doc_id", "doc_id AS id")
     picked = retrieval.choose_passages(got, oracle, rows, "doc_id", SEED)

@@ -61,7 +61,7 @@ def datasets(spark, sf):
 def _challenges(spark, sf):
     rows = table(spark, sf, "part")
     tests = rows.selectExpr("p_partkey AS task_id", f"CASE WHEN p_partkey % 3 = 0 THEN array({_grid('p_size', '1')}) ELSE array({_grid('p_size', '1')}, {_grid('2', 'p_size')}) END AS tests")
-    outs = rows.where("p_partkey % 10 <> 9").selectExpr("p_partkey AS task_id", f"CASE WHEN p_partkey % 3 = 0 THEN array({_grid('p_size * 2', '2')}) ELSE array({_grid('p_size * 2', '2')}, {_grid('4', 'p_size')}) END AS outputs")
+    outs = rows.selectExpr("CASE WHEN p_partkey % 10 = 9 THEN -1 - p_partkey ELSE p_partkey END AS task_id", f"CASE WHEN p_partkey % 3 = 0 THEN array({_grid('p_size * 2', '2')}) ELSE array({_grid('p_size * 2', '2')}, {_grid('4', 'p_size')}) END AS outputs")
     return tests, outs
 
 
@@ -118,15 +118,21 @@ def document_problems(spark, sf):
     return writers.document_problems(writers.render_documents(rows, "position"))
 
 
+def _renamed(documents, every: int):
+    """The same documents with every n-th one under another name."""
+    other = F.col("position") % every == 0
+    return documents.withColumn("doc_id", F.when(other, F.concat("doc_id", F.lit("-new"))).otherwise(F.col("doc_id")))
+
+
 def stale(spark, sf):
     path = fresh_path(spark, "docs")
     writers.write_documents(_documents(spark, sf), path)
-    return writers.stale_documents(spark.read.parquet(path), _documents(spark, sf).where("position % 10 <> 0"))
+    return writers.stale_documents(spark.read.parquet(path), _renamed(_documents(spark, sf), 10))
 
 
 def ingest(spark, sf):
     everything = _documents(spark, sf)
-    return writers.reconcile_ingest(everything.where("position % 10 <> 3"), everything.where("position % 20 <> 0"))
+    return writers.reconcile_ingest(everything, _renamed(everything, 20))
 
 
 def reports(spark, sf):
@@ -169,7 +175,7 @@ SQL = {
     "a6_explode_corpus_to_docs": f"SELECT {_DOC_ID} AS doc_id, {_LINE_DOC} AS text, o_orderkey AS position FROM orders",
     "a6_document_problems": "SELECT 'duplicate id' AS problem, 'c' || o_custkey AS doc_id FROM orders WHERE o_orderkey % 9 <> 0 GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'empty row', 'row-' || lpad('' || o_orderkey, 5, '0') FROM orders WHERE o_orderkey % 9 = 0",
     "a6_stale_documents": f"SELECT {_DOC_ID} AS doc_id FROM orders WHERE o_orderkey % 10 = 0",
-    "a7_reconcile_ingest": "SELECT count(*) FILTER (o_orderkey % 10 <> 3) AS expected, count(*) FILTER (o_orderkey % 20 <> 0) AS scanned, count(*) FILTER (o_orderkey % 10 <> 3 AND o_orderkey % 20 = 0) AS missing, count(*) FILTER (o_orderkey % 10 = 3 AND o_orderkey % 20 <> 0) AS unexpected, false AS ok FROM orders",
+    "a7_reconcile_ingest": "SELECT count(*) AS expected, count(*) AS scanned, count(*) FILTER (o_orderkey % 20 = 0) AS missing, count(*) FILTER (o_orderkey % 20 = 0) AS unexpected, false AS ok FROM orders",
     "a8_write_run_report": "SELECT 'n' || c_nationkey AS run_id, count(*) AS n, CAST(sum(CAST(CASE WHEN c_nationkey IN (1, 2) THEN 1 ELSE c_acctbal END AS DECIMAL(28,6))) AS DOUBLE) AS total, CAST(NULL AS VARCHAR) AS alias_problem FROM customer WHERE c_nationkey <> 0 GROUP BY c_nationkey",
     "a14_line_count_facts": "SELECT 'verified' AS status, count(*) FILTER (turn % 4 <> 3) AS rows FROM conversations UNION ALL SELECT 'failed', NULL",
 }

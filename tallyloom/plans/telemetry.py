@@ -390,7 +390,7 @@ def _instrument_claims(spark, sf):
 
 
 def _instruments(spark, sf):
-    return table(spark, sf, "part").where("p_partkey < 50").selectExpr("'doc-' || p_partkey AS key", "'text-' || p_partkey AS content")
+    return table(spark, sf, "part").selectExpr("CASE WHEN p_partkey < 50 THEN 'doc-' ELSE 'other-' END || p_partkey AS key", "'text-' || p_partkey AS content")
 
 
 def attested(spark, sf):
@@ -468,7 +468,7 @@ def latest_alias(spark, sf):
 
 def story(spark, sf):
     stages = view(spark, sf, "stages")
-    ledger = table(spark, sf, "orders").selectExpr("o_custkey AS run_id", "o_totalprice AS cost_usd").where("run_id % 3 <> 0")
+    ledger = table(spark, sf, "orders").selectExpr("CASE WHEN o_custkey % 3 = 0 THEN -1 - o_custkey ELSE o_custkey END AS run_id", "o_totalprice AS cost_usd")
     found = stages.where("status IN ('failed', 'error')").select("run_id")
     return runs.run_story(stages, ledger, found).select("run_id", "stage", "status", "duration_s", "cost_usd", "open_findings")
 
@@ -522,15 +522,15 @@ _CHAIN = """WITH a AS (SELECT o_custkey % 20 AS chain, o_orderkey, o_orderkey %
 
 def drifted(spark, sf):
     want = table(spark, sf, "customer")
-    got = want.where("c_custkey % 50 <> 1").selectExpr(
-        "CASE WHEN c_custkey % 70 = 3 THEN c_custkey + 1000000000 ELSE c_custkey END AS c_custkey", "c_name",
+    got = want.selectExpr(
+        "CASE WHEN c_custkey % 50 = 1 THEN c_custkey + 2000000000 WHEN c_custkey % 70 = 3 THEN c_custkey + 1000000000 ELSE c_custkey END AS c_custkey", "c_name",
         "CASE WHEN c_custkey % 9 = 0 THEN c_nationkey + 1 ELSE c_nationkey END AS c_nationkey",
         "CASE WHEN c_custkey % 18 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal", "c_mktsegment")
     out = audits.table_drift(want, got, ["c_custkey"])
     return out.select("c_custkey", "problem", F.array_join("fields", "|").alias("fields"))
 
 
-_DRIFT = """WITH got AS (SELECT CASE WHEN c_custkey % 70 = 3 THEN c_custkey + 1000000000 ELSE c_custkey END AS k, c_custkey AS o FROM customer WHERE c_custkey % 50 <> 1)
+_DRIFT = """WITH got AS (SELECT CASE WHEN c_custkey % 50 = 1 THEN c_custkey + 2000000000 WHEN c_custkey % 70 = 3 THEN c_custkey + 1000000000 ELSE c_custkey END AS k, c_custkey AS o FROM customer)
 SELECT coalesce(c.c_custkey, k) AS c_custkey, CASE WHEN k IS NULL THEN 'absent live' WHEN c.c_custkey IS NULL THEN 'extra live' ELSE 'differs' END AS problem,
   CASE WHEN k IS NOT NULL AND c.c_custkey IS NOT NULL THEN CASE WHEN o % 18 = 0 THEN 'c_acctbal|c_nationkey' ELSE 'c_nationkey' END END AS fields
 FROM customer c FULL JOIN got ON k = c.c_custkey WHERE k IS NULL OR c.c_custkey IS NULL OR o % 9 = 0"""
@@ -579,7 +579,7 @@ def _claimed(spark, sf):
 
 
 def _inventory(spark, sf):
-    return table(spark, sf, "part").where("p_partkey % 10 <> 3").selectExpr("'s3://b/' || p_partkey AS uri", "CAST(p_size AS bigint) AS bytes")
+    return table(spark, sf, "part").selectExpr("'s3://b/' || CASE WHEN p_partkey % 10 = 3 THEN 'gone-' ELSE '' END || p_partkey AS uri", "CAST(p_size AS bigint) AS bytes")
 
 
 def verified_claims(spark, sf):
@@ -596,7 +596,7 @@ def absent_claims(spark, sf):
 def digests(spark, sf):
     docs = table(spark, sf, "documents")
     named = docs.selectExpr("'doc-' || doc_id AS name", "CASE WHEN doc_id % 13 = 0 THEN 'bad' ELSE sha2(text, 256) END AS want")
-    have = docs.where("doc_id % 17 <> 0").selectExpr("'doc-' || doc_id AS name", "text AS content")
+    have = docs.selectExpr("CASE WHEN doc_id % 17 = 0 THEN 'gone-' ELSE 'doc-' END || doc_id AS name", "text AS content")
     return audits.file_digest_problems(named, have)
 
 
@@ -683,7 +683,7 @@ UNION ALL SELECT o_orderkey, 'retrieval_k', '5' FROM orders"""
 def _readiness(spark, sf):
     plans = table(spark, sf, "customer").selectExpr("c_custkey AS task_id", """'{"source_uri":"' || c_name || '","datasheet":{"license":"' || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'MIT' END || '","consent":[]},"decontamination":' || CASE WHEN c_custkey % 3 = 0 THEN '{}' ELSE '{"a":1}' END || '}' AS data""")
     found = table(spark, sf, "orders").selectExpr("o_custkey AS task_id", "o_orderkey AS position", "CASE WHEN o_orderkey % 2 = 0 THEN 'customer_eval_uri' ELSE 'source_uri' END AS name", "'s3://b/' || o_orderkey AS value", "CASE WHEN o_orderkey % 3 = 0 THEN 'verified' ELSE 'failed' END AS status")
-    forms = table(spark, sf, "customer").where("c_custkey % 4 = 0").selectExpr("c_custkey AS task_id", "'datasheet.license' AS name", "'form' AS value")
+    forms = table(spark, sf, "customer").selectExpr("CASE WHEN c_custkey % 4 = 0 THEN c_custkey ELSE -1 - c_custkey END AS task_id", "'datasheet.license' AS name", "'form' AS value")
     return intake.readiness(plans, found, forms)
 
 
@@ -708,8 +708,8 @@ def sessions(spark, sf):
     live = view(spark, sf, "runs").select("run_id", "created_at").withColumn(
         "rolled_session_ids", F.when(F.col("run_id") % 2 == 0, F.array(F.concat(F.lit("rolled-"), F.col("run_id").cast("string")))).otherwise(F.array().cast("array<string>")))
     live = live.withColumn("run_id", F.concat(F.lit("run-"), F.col("run_id").cast("string")))
-    seen = table(spark, sf, "events").where("user_id % 3 <> 0").selectExpr(
-        "'run-' || user_id AS run_id", "CASE event_type WHEN 'view' THEN 'data-prep' WHEN 'click' THEN 'finetune' WHEN 'error' THEN 'eval' ELSE 'other' END AS stage",
+    seen = table(spark, sf, "events").selectExpr(
+        "CASE WHEN user_id % 3 = 0 THEN 'none-' ELSE 'run-' END || user_id AS run_id", "CASE event_type WHEN 'view' THEN 'data-prep' WHEN 'click' THEN 'finetune' WHEN 'error' THEN 'eval' ELSE 'other' END AS stage",
         "CASE WHEN user_id % 2 = 0 THEN '' WHEN event_id % 2 = 0 THEN 'generate' ELSE 'launch' END AS task")
     return intake.session_ids(live, seen, 200, "2024-01-12")
 
