@@ -12,9 +12,9 @@ from tallyloom.plans import registry
 from tallyloom.session import build_session
 
 HEADLINE = (
-    "a9_rate_as_of", "b4_exact_duplicates", "b5_near_duplicates", "b10_decontamination_stats", "b16_recall_at_k", "b17_vector_topk",
+    "a9_rate_as_of", "b4_exact_duplicates", "b5_near_duplicates", "b10_decontamination_stats", "b17_vector_topk",
     "b19_curation_funnel", "c5_variant_texts", "c6_pair_verdict", "c13_stratified_group_split", "d8_pass_at_k", "d10_judge_rollup",
-    "d14_gate_row", "d24_map_report", "e4_estimate_lines", "e8_attribute_actuals", "e14_reconcile", "e17_cost_overview", "f3_stage_flow",
+    "d14_gate_row", "d23_average_precision", "e4_estimate_lines", "e8_attribute_actuals", "e14_reconcile", "e17_cost_overview", "f3_stage_flow",
     "f14_silence_alarms", "f18_mine_facts", "f21_hash_chain", "f23_secret_scan", "g7_daily_metrics",
 )
 
