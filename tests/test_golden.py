@@ -279,3 +279,19 @@ def test_pii_scrub(spark):
 def test_strip_think_is_not_greedy(spark):
     row = one(spark.range(1).select(tx.strip_think(F.lit("<think>a\nb</think>x<think>c</think>y")).alias("t")))
     assert row.t == "xy"
+
+
+def test_rouge_l(spark):
+    rows = spark.createDataFrame([(1, "the cat sat on the mat", "the cat lay on a mat"), (2, "", "x")], "id int, p string, r string")
+    got = {r.id: r for r in judging.rouge_l(rows, "id", "p", "r").collect()}
+    assert got[1].recall == pytest.approx(4 / 6) and got[1].f1 == pytest.approx(4 / 6) and got[2].f1 == 0.0
+
+
+def test_bootstrap_bounds(spark):
+    gts = spark.range(12).selectExpr("id AS gt_id", "id AS image_id", "1L AS category_id", "array(0D, 0D, 10D, 10D) AS bbox", "id AS ord")
+    exact = gts.selectExpr("gt_id AS det_id", "image_id", "category_id", "bbox", "ord", "0.5D AS score")
+    assert tuple(one(detection.bootstrap_ci(exact, gts, 15, 1))) == (pytest.approx(1.0), pytest.approx(1.0))
+    half = exact.where("image_id % 2 = 0")
+    row = one(detection.bootstrap_ci(half, gts, 15, 1))
+    assert 0.0 <= row.low < row.high < 1.0
+    assert tuple(row) == tuple(one(detection.bootstrap_ci(half, gts, 15, 1)))
