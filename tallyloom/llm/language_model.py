@@ -77,7 +77,7 @@ def chunks(docs: DataFrame, train, chunk_tokens: int) -> DataFrame:
         if held.ids:
             yield held.batch(part << 32 | seq, fields)
 
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text"), train.alias("train"))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     return given.mapInArrow(run, CHUNKS)
 
 
