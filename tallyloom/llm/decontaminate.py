@@ -218,15 +218,21 @@ def _automaton(key: str, pieces: list, window: int) -> Automaton:
     return _BUILT[key]
 
 
+_STATE = "_spans array<array<int>>, _items array<string>, _longest int"
+_FOUND = ("n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, longest_match int,"
+          " spans array<array<int>>, contaminated boolean, rejected boolean")
+
+
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_span: int = 1,
-    max_coverage: float = 0.5, block_words: int = BLOCK_WORDS,
+    max_coverage: float = 0.5, block_words: int = BLOCK_WORDS, texts: bool = True,
 ) -> DataFrame:
     """Documents with `n_words`, `n_hit`, `n_items`, `items`, `items_sha256`, `longest_match`,
     `spans` (word runs that items cover), `contaminated`, `rejected` and `clean_text`.
 
     Runs of at least `min_span` words are cut from `clean_text`; a document whose hit share is
-    above `max_coverage` is marked `rejected`. The broadcast of a block is checked against its size.
+    above `max_coverage` is marked `rejected`. Without `texts`, neither `text` nor `clean_text`
+    is returned. The broadcast of a block is checked against its size.
     """
     spark = docs.sparkSession
     size = benchmark.select(F.sum(F.length(body()))).first()[0] or 0
@@ -234,75 +240,60 @@ def decontaminate(
     pieces = _pieces(benchmark, window, blocks)
     if blocks > 1:
         pieces = durable(pieces, "items")
-    state = docs.withColumns({
-        "_spans": F.lit(None).cast("array<array<int>>"), "_items": F.lit(None).cast("array<string>"),
-        "_longest": F.lit(0),
-    })
+    state = docs
     for block in range(blocks):
         part = [(r.item, bytes(r.words), r.short) for r in pieces.where(F.col("block") == block).toLocalIterator()]
         held = sum(len(w) for _, w, _ in part)
         if held > 8 * (block_words * 6 + PIECE_WORDS * 64):
             raise ValueError(f"block {block} holds {held} bytes; lower block_words")
-        key = f"{uuid.uuid4().hex}-{block}"
-        state = _scan(state, spark.sparkContext.broadcast(part), window, key)
-    return _finish(state, min_span, max_coverage)
+        matcher = (f"{uuid.uuid4().hex}-{block}", spark.sparkContext.broadcast(part), window)
+        if block + 1 < blocks:
+            state = _pass(state, matcher, [*docs.columns], _STATE, None)
+        else:
+            names = [c for c in docs.columns if texts or c != "text"]
+            state = _pass(state, matcher, names, _FOUND + ", clean_text string" * texts, (min_span, max_coverage))
+    return state
 
 
-def _scan(state: DataFrame, block, window: int, key: str) -> DataFrame:
-    schema = state.schema
+def _pass(state: DataFrame, matcher: tuple, names: list[str], added: str, limits: tuple | None) -> DataFrame:
+    """Stream the documents through one block; `limits` on the last pass, which judges them."""
+    new = T.StructType.fromDDL(added)
+    kept = [f for f in state.schema.fields if f.name in names and f.name not in new.names]
+    schema = T.StructType([*kept, *new.fields])
     fields = schema_of(ddl_of(schema))
+    key, block, window = matcher
+    continued = "_spans" in state.columns
 
     def run(batches):
-        matcher = _automaton(key, block.value, window)
+        scan = _automaton(key, block.value, window).scan
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            spans, items = batch.column("_spans").to_pylist(), batch.column("_items").to_pylist()
-            longest = batch.column("_longest").to_pylist()
-            for at, text in enumerate(texts):
-                if text is None:
-                    continue
-                found, met, most = matcher.scan(words_of(text.encode("utf-8", "surrogatepass")))
-                if found:
-                    spans[at] = union([*(spans[at] or []), *found])
-                    items[at] = sorted({*(items[at] or []), *met})
-                    longest[at] = max(longest[at], most)
-            new = {"_spans": spans, "_items": items, "_longest": longest}
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(new[f.name], f.type) if f.name in new else batch.column(f.name).cast(f.type) for f in fields],
-                schema=fields,
-            )
-
-    return state.mapInArrow(run, schema)
-
-
-def _finish(state: DataFrame, min_span: int, max_coverage: float) -> DataFrame:
-    columns = [c for c in state.columns if c not in ("_spans", "_items", "_longest")]
-    added = ("n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, "
-             "longest_match int, spans array<array<int>>, contaminated boolean, rejected boolean, clean_text string")
-    names = [part.split()[0] for part in added.split(", ")]
-    kept = [f for f in state.schema.fields if f.name in columns and f.name not in names]
-    schema = T.StructType([*kept, *T.StructType.fromDDL(added).fields])
-    fields = schema_of(ddl_of(schema))
-
-    def run(batches):
-        for batch in batches:
-            out: dict[str, list] = {n: [] for n in names}
-            rows = zip(*(batch.column(c).to_pylist() for c in ("text", "_spans", "_items", "_longest")))
-            for text, spans, items, longest in rows:
+            before = zip(*(batch.column(c).to_pylist() for c in ("_spans", "_items", "_longest"))) if continued else repeat((None, None, 0))
+            out: dict[str, list] = {n: [] for n in new.names}
+            for text, (spans, items, longest) in zip(texts, before):
                 raw = b"" if text is None else text.encode("utf-8", "surrogatepass")
-                n, hit = len(words_of(raw)), sum(b - a + 1 for a, b in spans or [])
-                found = items or []
-                values = (n, hit, len(found), found, hashlib.sha256(",".join(found).encode()).hexdigest(),
-                          longest, spans or [], hit > 0, hit > max_coverage * n,
-                          text if not spans else _cut(raw, spans, min_span))
-                for name, value in zip(names, values):
+                words = words_of(raw)
+                found, met, most = scan(words)
+                if found:
+                    spans, items, longest = union([*(spans or []), *found]), sorted({*(items or []), *met}), max(longest, most)
+                row = _judged(words, spans or [], items or [], longest, *limits) if limits else (spans, items, longest)
+                for name, value in zip(new.names, row):
                     out[name].append(value)
+                if limits and "clean_text" in out:
+                    out["clean_text"].append(_cut(raw, spans, limits[0]) if spans else text)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out[f.name], f.type) if f.name in out else batch.column(f.name).cast(f.type) for f in fields],
                 schema=fields,
             )
 
-    return state.mapInArrow(run, schema)
+    read = state.select(*[c for c in state.columns if c in names or c == "text" or c.startswith("_")])
+    return read.mapInArrow(run, schema)
+
+
+def _judged(words: list, spans: list, items: list, longest: int, min_span: int, max_coverage: float) -> tuple:
+    n, hit = len(words), sum(b - a + 1 for a, b in spans)
+    digest = hashlib.sha256(",".join(items).encode()).hexdigest()
+    return n, hit, len(items), items, digest, longest, spans, hit > 0, hit > max_coverage * n
 
 
 def _cut(raw: bytes, spans, min_span: int) -> str:

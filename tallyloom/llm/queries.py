@@ -12,7 +12,7 @@ from tallyloom.session import fresh_path, table
 
 def op1(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    found = decontaminate.decontaminate(docs, table(spark, sf, "benchmark"), window=10)
+    found = decontaminate.decontaminate(docs, table(spark, sf, "benchmark"), window=10, texts=False)
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
