@@ -22,12 +22,14 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallyloom.llm.common import WordCache, map_rows, schema_of
+from tallyloom.llm.token_counts import byte_symbols
 
 BLOCK = 512
 SEGMENT_TOKENS = 1_000_000
@@ -111,6 +113,7 @@ def encode(ids: np.ndarray) -> bytes:
 #: A mark that does not follow a letter or digit, and white space other than blanks and line breaks.
 _MARK = re.compile(r"[.,](?<=[\W_].)")
 _OTHER = re.compile(r"[^\S \n]|\0")
+_BATCH_BYTES = 4_000_000
 
 
 def certain(text: str) -> bool:
@@ -126,24 +129,33 @@ class UnitEncoder:
 
     The file's splitting rule always parts before a lone blank, around a lone line break and
     between a letter or digit and a mark. So a text's ids are those of its units in turn; texts
-    where this is not certain go to the library whole.
+    where this is not certain go to the library whole. A unit of letters is one pre-token, which
+    the library's model takes without the rest of its chain.
     """
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
-        self.words = WordCache(self._raw)
+        self.words = WordCache(self._units)
+        symbols = byte_symbols()
+        self.symbols = str.maketrans({chr(b): c for b, c in symbols.items()})
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for first in range(0, len(texts), 20_000):
-            part = self.library.encode_batch_fast(texts[first:first + 20_000], add_special_tokens=False)
-            out += [array("I", e.ids).tobytes() for e in part]
+        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _units(self, units: list[str]) -> list[bytes]:
+        model, symbols, out = self.library.model.tokenize, self.symbols, []
+        for unit in units:
+            if unit.removeprefix(" ").isalpha():
+                pieces = model(unit.encode().decode("latin-1").translate(symbols))
+                out.append(array("I", [p.id for p in pieces]).tobytes())
+            else:
+                out += self._raw([unit])
         return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         units = [
-            [] if not certain(t)
-            else t.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(".", "\0.").replace(",", "\0,").split("\0")
+            t.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(".", "\0.").replace(",", "\0,").split("\0") if certain(t) else []
             for t in texts
         ]
         table = self.words.fill(units)
@@ -166,15 +178,17 @@ SEGMENT = "part int, seq int, n_tokens long, doc_ids array<long>, lengths array<
 def segments(docs: DataFrame, path: str, end_id: int = END_ID, segment_tokens: int = SEGMENT_TOKENS) -> DataFrame:
     """Segments in ascending order of doc_id; a document is never split, so a segment may be longer."""
     spark = docs.sparkSession
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).repartitionByRange(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id"
-    ).sortWithinPartitions("doc_id", "text")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted(set(given.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts)))
+    place = F.coalesce(sum((F.when(F.col("doc_id") >= int(b), 1).otherwise(0) for b in bounds), F.lit(0)), F.lit(0))
+    ordered = given.repartitionById(len(bounds) + 1, place).sortWithinPartitions("doc_id", "text")
     fields = schema_of(SEGMENT)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         work, part = encoder(path), TaskContext.get().partitionId()
-        seq, held, ids, lengths = 0, [], [], []
+        seq, total, held, ids, lengths = 0, 0, [], [], []
 
         def flush():
             values = np.frombuffer(b"".join(held), "<u4")
@@ -182,24 +196,34 @@ def segments(docs: DataFrame, path: str, end_id: int = END_ID, segment_tokens: i
                 "part": part, "seq": seq, "n_tokens": len(values), "doc_ids": ids, "lengths": lengths, "codes": encode(values),
             }], schema=fields)
 
-        total = 0
-        for batch in batches:
-            names, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for first in range(0, len(names), 500):
-                for name, raw in zip(names[first:first + 500], work([t or "" for t in texts[first:first + 500]])):
-                    held += [raw, end]
-                    ids.append(name)
-                    lengths.append(len(raw) // 4 + 1)
-                    total += lengths[-1]
-                    if total >= segment_tokens:
-                        yield flush()
-                        seq, total, held, ids, lengths = seq + 1, 0, [], [], []
+        for names, texts in slices(batches):
+            for name, found in zip(names.to_pylist(), work(texts.to_pylist())):
+                held += [found, end]
+                ids.append(name)
+                lengths.append(len(found) // 4 + 1)
+                total += lengths[-1]
+                if total >= segment_tokens:
+                    yield flush()
+                    seq, total, held, ids, lengths = seq + 1, 0, [], [], []
         if ids:
             yield flush()
 
     return ordered.mapInArrow(run, SEGMENT)
 
 
+def slices(batches):
+    """Ids and texts of the batches in slices of bounded size."""
+    for batch in batches:
+        names, texts = batch.column("doc_id"), batch.column("text")
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy())
+        first = 0
+        while first < len(names):
+            before = sizes[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(sizes, before + _BATCH_BYTES, "right")))
+            yield names[first:last], texts[first:last]
+            first = last
+
+
 def write_token_files(docs: DataFrame, folder: str, path: str, **settings) -> None:
     segments(docs, path, **settings).write.mode("errorifexists").parquet(folder)
 
