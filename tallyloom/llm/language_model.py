@@ -31,6 +31,7 @@ no training document, every score is that of the base.
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -43,8 +44,8 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import body, crc_mod, mix, pack, schema_of, unpack
 from tallyloom.session import durable
 
-CHUNK_TOKENS = 3_000_000
-PAIRS_PER_SHARD = 2_000_000
+CHUNK_TOKENS = 1_000_000
+PAIRS_PER_SHARD = 600_000
 WORDS_PER_SHARD = 500_000
 SWEEPS = 4
 SAMPLES = 2
@@ -83,16 +84,14 @@ def chunks(docs: DataFrame, train, chunk_tokens: int) -> DataFrame:
 
 class _Chunk:
     def __init__(self):
-        self.numbers: dict[bytes, int] = {_END_WORD: 0}
+        self.numbers: defaultdict[bytes, int] = defaultdict()
+        self.numbers.default_factory = self.numbers.__len__
+        self.numbers[_END_WORD] = 0
         self.ids, self.lengths, self.used, self.parts, self.n_tokens = [], [], [], [], 0
 
     def add(self, doc, text: bytes, used: bool):
         words = text.lower().split()
-        numbers = self.numbers
-        for word in words:
-            if word not in numbers:
-                numbers[word] = len(numbers)
-        part = np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words))
+        part = np.fromiter(map(self.numbers.__getitem__, words), np.uint32, len(words))
         self.parts.append(np.append(part, np.uint32(0)))
         self.ids.append(doc)
         self.lengths.append(len(words) + 1)
@@ -175,10 +174,14 @@ class _Pairs:
     def __init__(self, rows: list[dict], train_docs: int, shards: int, inverse: bool):
         chunk = next(r for r in rows if r["kind"] == 0)
         answers = [r for r in rows if r["kind"] == 1]
-        self.ids = np.concatenate([unpack(r["a"], np.int64) for r in answers])
-        self.counts = np.concatenate([unpack(r["b"], np.int64) for r in answers])
+        ids = np.concatenate([unpack(r["a"], np.int64) for r in answers])
+        self.by_id = np.argsort(ids)
+        self.ids = ids[self.by_id]
+        self.counts = np.concatenate([unpack(r["b"], np.int64) for r in answers])[self.by_id]
         self.lengths, self.used = unpack(chunk["a"], np.uint32).astype(np.int64), unpack(chunk["b"], np.uint8)
-        self.tokens = unpack(chunk["c"], np.uint32).astype(np.int64)
+        place = np.empty(len(ids), np.int64)
+        place[self.by_id] = np.arange(len(ids))
+        self.tokens = place[unpack(chunk["c"], np.uint32)]
         n = len(self.ids)
         starts = np.cumsum(self.lengths) - self.lengths
         before = np.empty_like(self.tokens)
@@ -313,19 +316,28 @@ class Restaurants:
         return tables, totals
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; runs that are in order already are merged, not sorted."""
+    ordered = np.sort(values, kind="stable")
+    return ordered[np.concatenate(([True], ordered[1:] != ordered[:-1]))] if len(ordered) else ordered
+
+
 def _seat_contexts(shard: int, rows: list[dict], n_train: int, word_shards: int):
     """Sweeps over a shard's contexts; answers to chunks, tables to the word shards."""
     heads = [unpack(r["a"], np.int64).reshape(3, -1) for r in rows]
     words = [unpack(r["b"], np.int64) for r in rows]
-    context = np.concatenate([np.repeat(h[0], h[2]) for h in heads])
-    word = np.concatenate(words)
-    names, owner = np.unique(context, return_inverse=True)
-    spread = np.int64(word.max()) + 1
+    names = distinct(np.concatenate([h[0] for h in heads]))
+    spread = np.int64(max(int(w.max()) for w in words)) + 1
     if spread * len(names) >= 1 << 62:
         raise ValueError("more word ids than a shard can key; lower PAIRS_PER_SHARD")
-    keys, first, place = np.unique(owner * spread + word, return_index=True, return_inverse=True)
-    customers = np.bincount(place, np.concatenate([unpack(r["c"], np.int64) for r in rows])).astype(np.int64)
-    level = np.concatenate([unpack(r["d"], np.uint8) for r in rows])[first]
+    # every message is in key order, so lookups run through memory in order
+    sent_keys = [np.repeat(np.searchsorted(names, h[0]), h[2]) * spread + w for h, w in zip(heads, words)]
+    keys = distinct(np.concatenate(sent_keys))
+    places = [np.searchsorted(keys, k) for k in sent_keys]
+    customers, level = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.uint8)
+    for r, at in zip(rows, places):
+        customers[at] += unpack(r["c"], np.int64)
+        level[at] = unpack(r["d"], np.uint8)
     base = np.exp2(level / 6.0) / max(n_train, 1)
     pair_owner, pair_word = keys // spread, keys % spread
     whole = np.zeros(len(names), np.int64)
@@ -337,11 +349,10 @@ def _seat_contexts(shard: int, rows: list[dict], n_train: int, word_shards: int)
     tables, totals = model.run()
     kept = (customers - d * tables).astype(np.float32)
     passed = (STRENGTH + d * totals).astype(np.float32)
-    out, at = [], 0
-    for r, h, w in zip(rows, heads, words):
-        part = place[at:at + len(w)]
-        at += len(w)
-        out.append(message(r["src"], 3, shard, pack(kept[part]), pack(passed[np.searchsorted(names, h[0])])))
+    out = [
+        message(r["src"], 3, shard, pack(kept[at]), pack(passed[np.searchsorted(names, h[0])]))
+        for r, h, at in zip(rows, heads, places)
+    ]
     seen, where = np.unique(pair_word, return_inverse=True)
     sent = np.bincount(where, model.tables).astype(np.int64)
     dest = (seen - 1) % word_shards
@@ -352,7 +363,7 @@ def _seat_contexts(shard: int, rows: list[dict], n_train: int, word_shards: int)
     return out
 
 
-def _seat_words(shard: int, rows: list[dict], distinct: int, shards: int):
+def _seat_words(shard: int, rows: list[dict], n_distinct: int, shards: int):
     """The parent's sweeps over a word shard; answers to chunks, and this shard's sums."""
     tables = [r for r in rows if r["kind"] == 4]
     asked = [(r["src"], unpack(r["a"], np.int64)) for r in rows if r["kind"] == 1]
@@ -360,7 +371,7 @@ def _seat_words(shard: int, rows: list[dict], distinct: int, shards: int):
     customers = np.zeros(max(size, 1), np.int64)
     for r in tables:
         np.add.at(customers, (unpack(r["a"], np.int64) - 1) // shards, unpack(r["b"], np.int64))
-    base = np.full(len(customers), 1 / (distinct + 1))
+    base = np.full(len(customers), 1 / (n_distinct + 1))
     d = discount(customers)
     model = Restaurants(np.zeros(len(customers), np.int64), customers, base, d, np.array([float(shards)]), shard)
     mean, _ = model.run()
@@ -377,7 +388,7 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def _scores(name: int, rows: list[dict], totals: dict, shards: int) -> list[dict]:
     p = _Pairs(rows, totals["train_docs"], shards, inverse=True)
     answers = {r["src"]: r for r in rows if r["kind"] == 3}
-    words = np.concatenate([unpack(r["a"], np.float32) for r in rows if r["kind"] == 5]).astype(float)
+    words = np.concatenate([unpack(r["a"], np.float32) for r in rows if r["kind"] == 5])[p.by_id].astype(float)
     n, v = totals["n_train"], totals["distinct"]
     parent = (words + (STRENGTH + totals["passed"]) / (v + 1)) / (STRENGTH + totals["customers"])
     chance = np.empty(len(p.context))
@@ -424,7 +435,7 @@ def score_texts(docs: DataFrame, train=None, chunk_tokens: int = CHUNK_TOKENS) -
         lambda shard, rows: _word_answers(shard, rows, word_shards), MESSAGE,
     ), "words")
     sums = words.where("dest = -1").select(F.sum(F.col("a").cast("string").cast("long")).alias("n"), F.sum(F.col("b").cast("string").cast("long")).alias("v")).first()
-    n_train, distinct = sums.n or 0, sums.v or 0
+    n_train, n_distinct = sums.n or 0, sums.v or 0
 
     own = send(made.select("chunk", "lengths", "train", "tokens", "doc_ids"), _chunk_message)
     asked = words.where("dest >= 0")
@@ -434,9 +445,9 @@ def score_texts(docs: DataFrame, train=None, chunk_tokens: int = CHUNK_TOKENS) -
     parents = seated.where("kind = 4").withColumn("dest", -2 - F.col("dest"))
     waiting = asked.select(F.col("src").alias("dest"), "kind", F.col("dest").alias("src"), "a", F.lit(None).cast("binary").alias("b"),
                            F.lit(None).cast("binary").alias("c"), F.lit(None).cast("binary").alias("d"))
-    parent = durable(by_key(parents.unionByName(waiting), lambda shard, rows: _seat_words(shard, rows, distinct, word_shards), MESSAGE), "parent")
+    parent = durable(by_key(parents.unionByName(waiting), lambda shard, rows: _seat_words(shard, rows, n_distinct, word_shards), MESSAGE), "parent")
     ends = parent.where("dest = -1").select(F.sum(F.col("a").cast("string").cast("long")).alias("c"), F.sum(F.col("b").cast("string").cast("double")).alias("p")).first()
-    totals = {"n_train": n_train, "distinct": distinct, "train_docs": train_docs, "customers": ends.c or 0, "passed": ends.p or 0.0}
+    totals = {"n_train": n_train, "distinct": n_distinct, "train_docs": train_docs, "customers": ends.c or 0, "passed": ends.p or 0.0}
 
     everything = own.unionByName(asked).unionByName(seated.where("kind = 3")).unionByName(parent.where("dest >= 0"))
     return by_key(everything, lambda name, rows: _scores(name, rows, totals, shards), SCORES)
