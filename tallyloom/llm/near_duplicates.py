@@ -181,21 +181,24 @@ def _confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
 
 def components(edges: DataFrame) -> DataFrame:
     """`id, component`: the smallest id each node of `edges(a, b)` reaches, by alternating star steps."""
-    current = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
-    before = None
-    while True:
+    current = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    current = durable(current, "stars")
+    while not _is_star_forest(current):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(F.col("u").alias("c")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, F.col("u") == F.col("c")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         lows = large.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
         small = large.join(lows, F.col("u") == F.col("c")).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        following = durable(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct(), "stars")
-        state = following.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        current = following
-        if state == before:
-            break
-        before = state
-    return current.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
+        current = durable(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct(), "stars")
+    return current.select(F.col("u").alias("id"), F.col("v").alias("component"))
+
+
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every `u` has one `v` and no `v` is a `u` itself: then each `v` is its component's smallest id."""
+    ends = edges.select(F.explode(F.array(
+        F.struct(F.col("u").alias("id"), F.lit(1).alias("child")), F.struct(F.col("v").alias("id"), F.lit(0).alias("child"))
+    )).alias("e")).groupBy("e.id").agg(F.sum("e.child").alias("children"), F.min("e.child").alias("least"))
+    return not ends.where("children > 1 or children = 1 and least = 0").limit(1).count()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = THRESHOLD) -> DataFrame:
