@@ -37,7 +37,7 @@ def bind(value: Column, use) -> Column:
 
 
 def shingles(text: Column, n: int = 3, unit: str = "word") -> Column:
-    """Sorted distinct 64-bit hashes of the text's n-grams; empty for shorter texts."""
+    """Sorted distinct 64-bit hashes of the text's n-grams; a shorter text is one gram, an empty one none."""
     if unit == "word":
         items = words(text)
     elif unit == "char":
@@ -50,7 +50,9 @@ def shingles(text: Column, n: int = 3, unit: str = "word") -> Column:
             F.size(parts) >= n, F.sequence(F.lit(0), F.size(parts) - n)
         ).otherwise(F.array().cast("array<int>"))
         hashed = F.transform(starts, lambda i: F.xxhash64(*[F.get(parts, i + k) for k in range(n)]))
-        return F.sort_array(F.array_distinct(hashed))
+        whole = F.array(F.xxhash64(F.array_join(parts, " "), F.size(parts)))
+        short = (F.size(parts) > 0) & (F.size(parts) < n) & (F.array_join(parts, "") != "")
+        return F.when(short, whole).otherwise(F.sort_array(F.array_distinct(hashed)))
 
     return bind(items, grams)
 

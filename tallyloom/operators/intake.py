@@ -16,6 +16,7 @@ ALIASES = {
     "source_uri": ("source_uri", "source", "data_uri", "dataset_uri", "training_data_uri", "training_data"),
     "customer_eval_uri": ("customer_eval_uri", "eval_uri", "acceptance_uri", "eval_set_uri", "acceptance_set"),
     "ood_eval_uri": ("ood_eval_uri", "ood_uri", "ood_set"),
+    "model_artifact_uri": ("model_artifact_uri", "model_uri", "artifact_uri"),
     "readiness_report_uri": ("readiness_report_uri", "audit_report_uri"),
     "retrieval_kb_id": ("retrieval_kb_id", "kb_id", "knowledge_base_id", "retrieval_kb", "knowledge_base"),
     "retrieval_k": ("retrieval_k",),
@@ -161,8 +162,9 @@ def validate_forms(
         F.col("type") == "bool", F.when(low.isin("true", "yes"), "true").otherwise("false")
     ).otherwise(F.substring("value", 1, 2000))
     given = F.col("type").isNotNull() & (F.col("value") != "")
-    clean = checked.where(F.col("error").isNull() & given).select(
-        "form_id", "param", normal.alias("value")
+    # Several names of one field in a form: the canonical name first, then by name.
+    clean = checked.where(F.col("error").isNull() & given).groupBy("form_id", "param").agg(
+        F.min_by(normal, F.struct(F.col("field") != F.col("param"), "field")).alias("value")
     )
     bad = checked.where(F.col("error").isNotNull()).select(
         "form_id",
@@ -271,27 +273,64 @@ def session_ids(runs: DataFrame, events: DataFrame, cap: int, cutoff: str | None
 
 # ---- turn classes ------------------------------------------------------------------------
 
+_NAME = "[A-Za-z_][A-Za-z0-9_]*"
+# Fixed: the one call that may stand as a bare name, as it reads no argument.
+NO_ARGUMENT_CALLS = ("checkpoint",)
+
+
+def _object_pattern(depth: int) -> str:
+    """A brace-balanced object with quoted strings, nested up to `depth`."""
+    string = r'"(?:[^"\\]|\\.)*+"'
+    inner = string
+    for _ in range(depth):
+        inner = rf'(?:{string}|\{{[^{{}}"]*+(?:{inner}[^{{}}"]*+)*+\}})'
+    return rf'\{{[^{{}}"]*+(?:{inner}[^{{}}"]*+)*+\}}'
+
+
+_OBJECT = _object_pattern(24)
+# Heads of typed calls; what must follow a head is only looked at, so that heads inside are seen too.
+_TYPED = (
+    rf'(?s)<invoke\s+name="({_NAME})"\s*>(?=(.*?)</invoke>)'
+    rf"|\b({_NAME})\(\s*(?:\*\*)?\s*(?=({_OBJECT}))"
+    rf"|\*\*({_NAME})\*\*(?=[\s:]*(?:```(?:json)?\s*)?({_OBJECT}))?"
+)
+_PARAMETER = rf'(?s)<parameter\s+name="({_NAME})"\s*>\s*(.*?)\s*</parameter>'
+
+
 def classify_turns(turns: DataFrame, serviced: Sequence[str] = SERVICED_TOOLS, trailer: Sequence[str] = ()) -> DataFrame:
     """How each turn ended: a structured call, a call typed into the text, or prose.
 
-    `turns`: text, tool_name (null when none). The last typed call of a serviced name wins.
+    `turns`: text, tool_name (null when none). A typed call is a closed tag, a name with one valid
+    JSON object as its argument, or a bold name with such an object; only `NO_ARGUMENT_CALLS` may
+    stand bare. The last one of a serviced name wins; `arguments` holds its object as JSON text.
     `trailer` keys, when given, add the last fenced JSON object carrying all of them.
     """
-    names = "|".join(serviced)
-    typed = (
-        rf'<invoke\s+name="({names})"\s*>'
-        rf"|\b({names})\(\s*(?:\*\*)?\s*\{{"
-        rf"|\*\*({names})\*\*"
-    )
-    found = F.regexp_extract_all("text", F.lit(typed), F.lit(0))
-    last = F.when(F.size(found) > 0, F.regexp_extract(F.element_at(found, -1), rf"({names})", 1))
+    group = lambda i: F.regexp_extract_all("text", F.lit(_TYPED), F.lit(i))
+    heads = F.arrays_zip(*[group(i).alias(n) for i, n in enumerate(("tag", "body", "call", "object", "bold", "given"), 1)])
+
+    def typed(h: Column) -> Column:
+        is_tag, is_call = h["tag"] != "", h["call"] != ""
+        text = F.when(is_call, h["object"]).otherwise(h["given"])
+        valid = F.coalesce(F.try_parse_json(text).isNotNull(), F.lit(False)) & (text != "")
+        name = F.when(is_tag, h["tag"]).when(is_call, h["call"]).otherwise(h["bold"])
+        bare = ~is_tag & ~is_call & h["bold"].isin(*NO_ARGUMENT_CALLS)
+        given = F.arrays_zip(
+            F.regexp_extract_all(h["body"], F.lit(_PARAMETER), F.lit(1)).alias("name"),
+            F.regexp_extract_all(h["body"], F.lit(_PARAMETER), F.lit(2)).alias("value"),
+        )
+        arguments = F.when(is_tag, F.to_json(given)).when(valid, text).otherwise("{}")
+        return F.struct(name.alias("name"), (is_tag | valid | bare).alias("stands"), arguments.alias("arguments"))
+
+    found = F.filter(F.transform(heads, typed), lambda c: c["stands"] & c["name"].isin(*serviced))
+    last = F.try_element_at(found, F.lit(-1))
     called = F.col("tool_name").isin(*serviced)
-    out = turns.withColumns(
+    out = turns.withColumn("_typed", last).withColumns(
         {
-            "call": F.when(called, F.col("tool_name")).otherwise(last),
-            "turn_end": F.when(called, "structured").when(F.size(found) > 0, "recovered").otherwise("prose"),
+            "call": F.when(called, F.col("tool_name")).otherwise(F.col("_typed.name")),
+            "turn_end": F.when(called, "structured").when(F.col("_typed").isNotNull(), "recovered").otherwise("prose"),
+            "arguments": F.when(~F.coalesce(called, F.lit(False)), F.col("_typed.arguments")),
         }
-    )
+    ).drop("_typed")
     if trailer:
         fenced = F.regexp_extract_all("text", F.lit(r"(?s)```(?:json)?\s*(\{.*?\})\s*```"), F.lit(1))
         complete = F.filter(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.stats import count_where, money_sum
@@ -242,11 +242,10 @@ def immutable_field_tamper(versions: DataFrame, chunk: Column, blocks: Sequence[
     )
 
 
-def stage_history(events: DataFrame, limit: int) -> DataFrame:
-    """Every recorded iteration of every stage in order (append-only), newest `limit` per run."""
-    from tallyloom.operators.ordering import newest
-
-    return newest(events, ["run_id"], [F.col("ts").desc(), F.col("event_id").desc()], limit)
+def stage_history(events: DataFrame) -> DataFrame:
+    """Every recorded iteration of every stage with its position, oldest first (append-only)."""
+    order = Window.partitionBy("run_id").orderBy("ts", "event_id")
+    return events.withColumn("position", F.row_number().over(order).cast("long"))
 
 
 def stage_map(events: DataFrame) -> DataFrame:

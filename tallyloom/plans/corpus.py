@@ -21,7 +21,7 @@ def layers(spark, sf):
 
 
 _WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
-_GRAMS = "unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))"
+_GRAMS = "unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) || CASE WHEN len(w) IN (1, 2) THEN [array_to_string(w, ' ')] ELSE [] END)"
 _SETS = f"""ds AS (SELECT DISTINCT doc_id, {_GRAMS} AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
 dn AS (SELECT doc_id, count(*) AS n FROM ds GROUP BY 1),
 bs AS (SELECT DISTINCT item_id, {_GRAMS} AS s FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)),

@@ -92,7 +92,7 @@ VIEWS.update({
     "endings": ("conversations", {
         "conv_id": "conv_id", "turn": "turn", "role": "role",
         "tool_name": "CASE WHEN turn % 4 = 0 THEN 'checkpoint' WHEN turn % 4 = 1 AND conv_id % 2 = 0 THEN 'shell' END",
-        "text": "text || CASE conv_id % 4 WHEN 0 THEN ' <invoke name=\"stage_complete\">' WHEN 1 THEN ' **checkpoint** then escalate_human({' WHEN 2 THEN ' **shell**' ELSE '' END",
+        "text": "text || CASE conv_id % 4 WHEN 0 THEN CASE WHEN turn % 2 = 0 THEN ' <invoke name=\"stage_complete\">' ELSE ' <invoke name=\"stage_complete\"><parameter name=\"a\">1</parameter></invoke>' END WHEN 1 THEN ' **checkpoint** then escalate_human({' WHEN 2 THEN CASE WHEN turn % 2 = 0 THEN ' see **stage_complete** or stage_complete({not json' ELSE ' stage_complete(**{\"a\": {\"b\": \"}\"}}) **shell**' END ELSE '' END",
     }),
     "steps": ("conversations", {
         "run_id": "conv_id", "step": "turn + 1", "seconds": "length(text) / 8.0",
@@ -454,7 +454,7 @@ _TAMPER = f"""{with_views('versions')}, d AS (SELECT doc, version, array_to_stri
 
 
 def history_list(spark, sf):
-    return runs.stage_history(view(spark, sf, "run_events"), 25).select("run_id", "position", "event_id", "stage")
+    return runs.stage_history(view(spark, sf, "run_events")).select("run_id", "position", "event_id", "stage")
 
 
 def last_by_stage(spark, sf):
@@ -730,8 +730,8 @@ def turn_classes(spark, sf):
     return intake.classify_turns(view(spark, sf, "endings")).select("conv_id", "turn", "turn_end", "call")
 
 
-_TURNS = f"""{with_views('endings')} SELECT conv_id, turn, CASE WHEN tool_name = 'checkpoint' THEN 'structured' WHEN conv_id % 4 IN (0, 1) THEN 'recovered' ELSE 'prose' END AS turn_end,
-  CASE WHEN tool_name = 'checkpoint' THEN 'checkpoint' WHEN conv_id % 4 = 0 THEN 'stage_complete' WHEN conv_id % 4 = 1 THEN 'escalate_human' END AS call FROM endings"""
+_TURNS = f"""{with_views('endings')} SELECT conv_id, turn, CASE WHEN tool_name = 'checkpoint' THEN 'structured' WHEN conv_id % 4 = 1 OR conv_id % 2 = 0 AND turn % 2 = 1 THEN 'recovered' ELSE 'prose' END AS turn_end,
+  CASE WHEN tool_name = 'checkpoint' OR conv_id % 4 = 1 THEN 'checkpoint' WHEN conv_id % 2 = 0 AND turn % 2 = 1 THEN 'stage_complete' END AS call FROM endings"""
 
 
 def turn_counts(spark, sf):
@@ -897,7 +897,7 @@ SQL = {
     "f27_turn_end_counts": f"SELECT role, count(*) AS turns, count(*) FILTER (turn_end <> 'prose') AS serviced_turns, count(*) FILTER (turn_end = 'prose') AS prose_turns, count(*) FILTER (turn_end = 'recovered') AS recovered_typed_calls FROM ({_TURNS.replace('SELECT conv_id,', 'SELECT role, conv_id,', 1)}) GROUP BY 1",
     "f28_directive_delivery": _DELIVERY,
     "f29_join_job_events": _JOINED,
-    "f30_stage_history": f"{with_views('run_events')} SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, event_id DESC) AS position, event_id, stage FROM run_events QUALIFY position <= 25",
+    "f30_stage_history": f"{with_views('run_events')} SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id) AS position, event_id, stage FROM run_events",
     "f30_stage_map": f"{with_views('run_events')} SELECT run_id, stage, count(*) OVER (PARTITION BY run_id, stage) AS n_records, event_id, name FROM run_events QUALIFY row_number() OVER (PARTITION BY run_id, stage ORDER BY ts DESC, event_id DESC) = 1",
     "f31_rebuild_transcripts": "SELECT conv_id, 'k-' || lpad('' || turn, 6, '0') AS key, role, substr(text, 1, 200) AS display_text, substr(text, 1, 400) AS audit_text, length(text) > 200 AS display_cut, length(text) > 400 AS audit_cut FROM conversations",
     "f31_thread_states": "SELECT conv_id, count(*) AS n_messages, count(*) FILTER (length(text) > 200) AS n_cut, CASE WHEN conv_id % 2 = 0 THEN 'thinking' ELSE 'closed' END AS status, conv_id % 2 = 0 AND conv_id % 40 + 1 > 20 AS stale FROM conversations GROUP BY conv_id",

@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 
 CORRUPT = "_corrupt_record"
 GRID = "array<array<int>>"
-LINE_COUNT_MAX_BYTES = 32 * 1024 * 1024
 
 # Accepted data set suffixes; gz wraps any of the text formats.
 FORMATS = {"jsonl": "json", "json": "json", "csv": "csv", "tsv": "csv", "txt": "text", "parquet": "parquet"}
@@ -94,14 +93,15 @@ def split_coco(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return part("images"), notes, part("categories")
 
 
-def line_count_facts(spark: SparkSession, path: str, claims: DataFrame, max_bytes: int = LINE_COUNT_MAX_BYTES) -> DataFrame:
-    """Facts on claimed files (uri): verified, failed, and the row count of small .jsonl files."""
-    files = (
-        spark.read.option("recursiveFileLookup", True).format("text").load(path)
-        .select(F.col("value"), F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_size").alias("bytes")))
-    counts = files.groupBy("uri", "bytes").agg(F.count(F.when(F.trim("value") != "", 1)).alias("rows"))
-    jsonl = F.col("uri").endswith(".jsonl")
+def line_count_facts(spark: SparkSession, path: str, claims: DataFrame) -> DataFrame:
+    """Facts on claimed files (uri): verified or failed, bytes, and the rows of .jsonl files of any size.
+
+    Files are listed apart from their lines, so an empty file is verified with no rows.
+    """
+    below = spark.read.option("recursiveFileLookup", True)
+    files = below.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("uri"), F.col("length").alias("bytes"))
+    lines = below.format("text").load(path).where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("uri"))
+    counts = files.join(lines.groupBy("uri").agg(F.count("*").alias("rows")), "uri", "left")
     return claims.join(counts, "uri", "left").select(
         "uri", F.when(F.col("bytes").isNull(), "failed").otherwise("verified").alias("status"), "bytes",
-        F.when(jsonl & (F.col("bytes") <= max_bytes), F.col("rows")).alias("rows"),
-        F.when(jsonl & (F.col("bytes") > max_bytes), "row count skipped (size)").alias("note"))
+        F.when(F.col("uri").endswith(".jsonl") & F.col("bytes").isNotNull(), F.coalesce("rows", F.lit(0))).alias("rows"))

@@ -50,7 +50,7 @@ def document_problems(documents: DataFrame) -> DataFrame:
 def write_documents(documents: DataFrame, path: str) -> None:
     """Refuse an empty set or one with problems; otherwise replace what the path held."""
     if documents.isEmpty():
-        raise ValueError("the corpus parsed to zero rows; an empty index makes every retrieval miss")
+        raise ValueError("no document to write; the index would be empty")
     if not document_problems(documents).isEmpty():
         raise ValueError("some rows render to nothing or share a document id")
     documents.select("doc_id", "text").write.mode("overwrite").parquet(path)

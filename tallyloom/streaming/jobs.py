@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyloom.operators import actuals, scoring, telemetry
-from tallyloom.session import fresh_path
+from tallyloom.session import durable, fresh_path
 
 SEGMENTS = "key string, first_s double, last_s double, ended boolean, at timestamp"
 SILENCE = "key string, action string, silent_since_s double, deadline_s double, n int"
@@ -35,11 +36,11 @@ def drain_to_table(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def drain_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], name: str, mode: str = "append") -> None:
+def drain_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], name: str, mode: str = "append", checkpoint: str | None = None) -> None:
     spark = stream.sparkSession
     query = (
         stream.writeStream.foreachBatch(each).outputMode(mode)
-        .option("checkpointLocation", fresh_path(spark, f"{name}-checkpoint")).trigger(availableNow=True).start())
+        .option("checkpointLocation", checkpoint or fresh_path(spark, f"{name}-checkpoint")).trigger(availableNow=True).start())
     query.awaitTermination()
 
 
@@ -180,20 +181,33 @@ def score_stream(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return scoring.score_report(scored, keys)
 
 
-def settle_ledger(bills: DataFrame, path: str, name: str = "ledger", horizon_days: int = actuals.RESETTLE_DAYS) -> None:
-    """Replace every re-read period of a ledger table; rerunning a batch changes nothing.
+LEDGER = "run_id bigint, category string, cost_usd double, settlement string, read_on date, project string, period date"
 
-    `bills`: project, period, run_id, category, cost_usd, settlement, read_on. Rows read later
-    than the horizon after their period are left to the settled record.
-    """
 
-    def each(batch: DataFrame, _: int) -> None:
-        timely = batch.where(F.datediff("read_on", "period") <= horizon_days)
-        latest = timely.groupBy("project", "period").agg(F.max("read_on").alias("read_on"))
-        fresh = timely.join(latest, ["project", "period", "read_on"], "left_semi").drop("read_on")
-        actuals.write_actuals(fresh, path)
+def settle_ledger(bills: DataFrame, path: str, name: str = "ledger", checkpoint: str | None = None) -> None:
+    """Keep, per (project, period), the rows of its newest read; rerunning a batch changes nothing.
+
+    `bills`: project, period, run_id, category, cost_usd, settlement, read_on. Each batch reads the
+    partitions it touches, so rows of one read may come in several batches and an older read that
+    comes late replaces nothing. With `checkpoint` a later call goes on where this one ended.
+    """
+    columns = [c.split()[0] for c in LEDGER.split(", ")]
 
-    drain_batches(bills, each, name)
+    def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        new = durable(batch.select(*columns), f"{name}-batch")
+        touched = new.select("project", "period").distinct()
+        try:
+            known = spark.read.schema(LEDGER).parquet(path).join(touched, ["project", "period"], "left_semi")
+        except AnalysisException:  # the first batch finds no ledger
+            known = spark.createDataFrame([], LEDGER)
+        rows = known.select(*columns).unionByName(new)
+        latest = rows.groupBy("project", "period").agg(F.max("read_on").alias("read_on"))
+        kept = rows.join(latest, ["project", "period", "read_on"], "left_semi").select(*columns)
+        # what is replaced is read first, so the result is written apart before it takes its place
+        actuals.write_actuals(durable(kept, f"{name}-settled"), path)
+
+    drain_batches(bills, each, name, checkpoint=checkpoint)
 
 
 def stage_attribution(history: DataFrame, name: str, chunk: Column) -> DataFrame:
