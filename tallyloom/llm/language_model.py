@@ -268,7 +268,9 @@ def seat(customers: np.ndarray, d: float, weight: np.ndarray, step: np.ndarray,
     while len(live):
         new = weight[live] + step[live] * tables[live]
         base = d * tables[live]
-        wait = np.ceil((at - base) * np.exp(np.minimum(-np.log(draw.random(len(live))) / np.maximum(new, 1e-12), 60)) + base)
+        # Gamma(x + new) / Gamma(x) is close to (x + (new - 1) / 2) ** new
+        shift = (new - 1) / 2 - base
+        wait = np.ceil((at + shift) * np.exp(np.minimum(-np.log(draw.random(len(live))) / np.maximum(new, 1e-12), 60)) - shift)
         end = np.minimum(np.maximum(wait, at + 1), customers[live])
         log_weight[live] += _log_gamma(end - base + new) - _log_gamma(at - base + new)
         more = wait < customers[live]
