@@ -2,13 +2,15 @@
 
 1. Per document: the set of word shingles, MinHash samples, band keys, and an odd sketch (each
    sample flips one bit of a bitmap; the population count of two sketches' XOR estimates how
-   many samples differ, precisely so for high similarities).
+   many samples differ, precisely so for high similarities). A second bitmap is flipped by the
+   whole set: two sets differ in at least as many shingles as the bitmaps differ in bits.
 2. Equal sets are folded into the document with the smallest id.
 3. Sets that share a band are candidates. In a bucket each member is first held against the
    bucket's smallest id, so a group of n copies costs n comparisons. Then only members that these
    links left outside their bucket's main component are held against the others.
 4. A candidate pair goes on if sizes allow the threshold and the sketches do not rule it out
-   (six standard deviations of slack), and is confirmed on the full sets of both texts.
+   (six standard deviations of slack for the samples, none needed for the bound of the whole
+   sets), and is confirmed on the full sets of both texts.
 5. Components of the confirmed links by alternating star steps on edge tables.
 
 With 32 bands of 4 rows a pair at similarity 0.8 shares no band with probability 5e-8.
@@ -91,6 +93,14 @@ def odd_sketches(sampled: np.ndarray) -> np.ndarray:
     return np.packbits(flips & 1, axis=1, bitorder="little").view(np.int64)
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """Parity bitmaps of SKETCH_WORDS 64-bit words, flipped by every member of a (non-empty) set."""
+    width = np.uint64(64 * SKETCH_WORDS)
+    owner = np.repeat(np.arange(len(sets), dtype=np.uint64) * width, [len(s) for s in sets])
+    flips = np.bincount((owner + np.concatenate(sets) % width).astype(np.int64), minlength=len(sets) * int(width))
+    return np.packbits((flips & 1).astype(np.uint8).reshape(len(sets), -1), axis=1, bitorder="little").view(np.int64)
+
+
 def most_odd_bits(threshold: float) -> int:
     """Odd bits that a pair at the threshold stays below, six standard deviations above its mean."""
     k, n = BANDS * ROWS, 64 * SKETCH_WORDS
@@ -125,7 +135,7 @@ def _signed(ids: list, sets: list[np.ndarray]) -> list[dict]:
     full = [s for s in sets if len(s)]
     if full:
         sampled = samples(full)
-        keys, odd = iter(bands(sampled).tolist()), iter(odd_sketches(sampled).tolist())
+        keys, odd = iter(bands(sampled).tolist()), iter(np.hstack([odd_sketches(sampled), parities(full)]).tolist())
     out = []
     for name, s in zip(ids, sets):
         row = {"doc_id": name, "n_shingles": len(s)}
@@ -141,9 +151,13 @@ def _sizes_allow(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _sketches_allow(a: Column, b: Column, percent: int) -> Column:
-    odd = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(SKETCH_WORDS)), F.lit(0))
-    return odd <= most_odd_bits(percent / 100)
+def _sketches_allow(a: Column, b: Column, na: Column, nb: Column, percent: int) -> Column:
+    """Sets of `na` and `nb` shingles at the threshold differ in (100 - percent) / (100 + percent) of their sum at most."""
+
+    def odd(first: int) -> Column:
+        return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(first, first + SKETCH_WORDS)), F.lit(0))
+
+    return (odd(0) <= most_odd_bits(percent / 100)) & ((100 + percent) * odd(SKETCH_WORDS) <= (100 - percent) * (na + nb))
 
 
 def _confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -222,7 +236,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = THRESHOL
         a = figures.withColumnsRenamed({"_rep": "_ra", "_n": "_na", "_sketch": "_sa"})
         b = figures.withColumnsRenamed({"_rep": "_rb", "_n": "_nb", "_sketch": "_sb"})
         return pairs.join(a, F.col("a") == F.col("_ra")).join(b, F.col("b") == F.col("_rb")).where(
-            _sizes_allow(F.col("_na"), F.col("_nb"), percent) & _sketches_allow(F.col("_sa"), F.col("_sb"), percent)
+            _sizes_allow(F.col("_na"), F.col("_nb"), percent) & _sketches_allow(F.col("_sa"), F.col("_sb"), F.col("_na"), F.col("_nb"), percent)
         ).select("a", "b").distinct()
 
     stars = buckets.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
@@ -263,7 +277,7 @@ def _cross_pairs(buckets: DataFrame, found: DataFrame, figures: DataFrame, perce
     )
     x = mixed.where("component <> main").select(F.col("key").alias("kx"), F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("sketch").alias("sx"))
     met = x.join(mixed, (F.col("kx") == F.col("key")) & (F.col("cx") != F.col("component"))
-                 & _sizes_allow(F.col("nx"), F.col("n"), percent) & _sketches_allow(F.col("sx"), F.col("sketch"), percent))
+                 & _sizes_allow(F.col("nx"), F.col("n"), percent) & _sketches_allow(F.col("sx"), F.col("sketch"), F.col("nx"), F.col("n"), percent))
     return met.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
 
 

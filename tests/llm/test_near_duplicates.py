@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+
+from tallyloom.llm import near_duplicates as module
 from tallyloom.llm.near_duplicates import components, drop_near_duplicates, near_duplicates
 
 
@@ -65,3 +68,18 @@ def test_components(spark):
     found = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**{i: 1 for i in range(2, 13)}, 21: 20, 22: 20, 40: 30, 41: 30, 42: 30}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_no_set_pair_at_the_threshold_is_ruled_out_by_the_parity_bound():
+    draw = np.random.default_rng(5)
+    for size in (1, 4, 9, 90, 900, 9000):
+        shared = draw.integers(0, 1 << 63, size, dtype=np.uint64)
+        for extra in {0, size // 8, size // 4}:
+            a = np.unique(shared)
+            b = np.unique(np.concatenate([shared, draw.integers(0, 1 << 63, extra, dtype=np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            x, y = module.parities([a, b])
+            odd = int(np.bitwise_count(x ^ y).sum())
+            assert odd <= len(a) + len(b) - 2 * both
+            if 100 * both >= 80 * (len(a) + len(b) - both):
+                assert 180 * odd <= 20 * (len(a) + len(b))
