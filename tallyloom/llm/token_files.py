@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyloom.llm.common import WordCache, map_rows, schema_of
+from tallyloom.llm.common import CACHE_ENTRIES, map_rows, schema_of
 from tallyloom.llm.token_counts import byte_symbols
 
 BLOCK = 512
@@ -124,6 +124,28 @@ def certain(text: str) -> bool:
     )
 
 
+class Remembered(dict):
+    """What was computed for keys on first use, in two generations of bounded size."""
+
+    def __init__(self, compute, entries: int = CACHE_ENTRIES):
+        super().__init__()
+        self.compute, self.entries, self.before = compute, entries, {}
+
+    def __missing__(self, key):
+        value = self.before.get(key)
+        if value is None:
+            value = self.compute(key)
+        self[key] = value
+        return value
+
+    def table(self):
+        """The lookup for a batch; a full generation becomes the older one before it."""
+        if len(self) > self.entries:
+            self.before = dict(self)
+            self.clear()
+        return self.__getitem__
+
+
 class UnitEncoder:
     """Ids of whole texts by the library, with each distinct unit encoded once and remembered.
 
@@ -135,32 +157,35 @@ class UnitEncoder:
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
-        self.words = WordCache(self._units)
+        self.model = self.library.model.tokenize
+        self.units = Remembered(self._unit)
         symbols = byte_symbols()
-        self.symbols = str.maketrans({chr(b): c for b, c in symbols.items()})
+        self.blank, self.symbols = symbols[32], str.maketrans({chr(b): c for b, c in symbols.items()})
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def _units(self, units: list[str]) -> list[bytes]:
-        model, symbols, out = self.library.model.tokenize, self.symbols, []
-        for unit in units:
-            if unit.removeprefix(" ").isalpha():
-                pieces = model(unit.encode().decode("latin-1").translate(symbols))
-                out.append(array("I", [p.id for p in pieces]).tobytes())
-            else:
-                out += self._raw([unit])
-        return out
+    def _unit(self, unit: str) -> bytes:
+        if not unit.removeprefix(" ").isalpha():
+            return self._raw([unit])[0]
+        if unit.isascii():
+            word = unit.replace(" ", self.blank)
+        else:
+            word = unit.encode().decode("latin-1").translate(self.symbols)
+        return array("I", [p.id for p in self.model(word)]).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        units = [
-            t.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(".", "\0.").replace(",", "\0,").split("\0") if certain(t) else []
-            for t in texts
-        ]
-        table = self.words.fill(units)
-        whole = iter(self._raw([t for t, us in zip(texts, units) if not us]))
-        return [b"".join([table[u] for u in us]) if us else next(whole) for us in units]
+        known, out, whole = self.units.table(), [], []
+        for text in texts:
+            if certain(text):
+                units = text.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(".", "\0.").replace(",", "\0,").split("\0")
+                out.append(b"".join(map(known, units)))
+            else:
+                out.append(None)
+                whole.append(text)
+        rest = iter(self._raw(whole))
+        return [next(rest) if ids is None else ids for ids in out]
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}
