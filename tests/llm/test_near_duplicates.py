@@ -79,7 +79,7 @@ def test_no_set_pair_at_the_threshold_is_ruled_out_by_the_parity_bound():
             b = np.unique(np.concatenate([shared, draw.integers(0, 1 << 63, extra, dtype=np.uint64)]))
             both = len(np.intersect1d(a, b))
             x, y = module.parities([a, b])
-            odd = int(np.bitwise_count(x ^ y).sum())
+            odd = int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
             assert odd <= len(a) + len(b) - 2 * both
             if 100 * both >= 80 * (len(a) + len(b) - both):
                 assert 180 * odd <= 20 * (len(a) + len(b))
