@@ -9,7 +9,7 @@ Data flow, each arrow one shuffle of compressed arrays whose number follows the
   documents -> chunks (bounded numbers of tokens; distinct words of a chunk are numbered)
   chunks -> word shards -> chunks    training counts and dense ids of each chunk's words
   chunks -> context shards           distinct (context, word) pairs with their training counts
-  context shards                     Gibbs sweeps over the seating of every pair
+  context shards                     counts of counts of all shards; Gibbs sweeps over every pair
   context shards -> word shards      tables, which are the parent's customers; its own sweeps
   both -> chunks                     what each chunk needs for its own pairs and words: scores
 
@@ -20,9 +20,12 @@ restaurant are reseated at once, with the restaurant's tables of the last sweep.
 `STEPWISE` customers, the wait for the next new table is drawn in closed form, so a very frequent
 pair costs in proportion to its tables. Predictive probabilities are averaged over the last sweeps.
 
-Contexts with more than `PAIRS_PER_SHARD` customers are split by words over several shards; each
-part scales its number of tables up to the whole. No array sent anywhere is larger than what one
-chunk or one shard holds.
+Contexts with more than `PAIRS_PER_SHARD` customers are split by words over shards of their own, as
+the parent is split over the word shards. Before every sweep, and for the scores, a split
+restaurant's tables are summed over its parts, and the discount of a level comes from the counts of
+counts of all its shards; so a number of shards changes which draws are made, not what they follow.
+The sums are two numbers a part. No array sent anywhere is larger than what one chunk or one shard
+holds.
 
 Null texts are empty and hold the end token alone. Repeated rows each count and are each scored. With
 no training document, every score is that of the base.
@@ -32,6 +35,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -154,8 +158,11 @@ def _word_requests(row: dict, shards: int):
             yield message(shard, 0, row["chunk"], h.tobytes(), pack(c))
 
 
-def _word_answers(shard: int, rows: list[dict], shards: int):
-    """Per chunk the dense ids and training counts of its words; frequent words get small ids."""
+def _word_answers(shard: int, rows: list[dict], shards: int, most: int):
+    """Per chunk the dense ids and training counts of its words; frequent words get small ids.
+
+    The sums hold the tokens of words found more than `most` times on their own.
+    """
     parts = [np.frombuffer(r["a"], _U64) for r in rows]
     words, place = np.unique(np.concatenate(parts), return_inverse=True)
     counts = np.bincount(place, np.concatenate([unpack(r["b"], np.int64) for r in rows])).astype(np.int64)
@@ -163,15 +170,40 @@ def _word_answers(shard: int, rows: list[dict], shards: int):
     ids[np.argsort(-counts, kind="stable")] = np.arange(len(words)) * shards + shard + 1
     cuts = np.cumsum([len(p) for p in parts])[:-1]
     out = [message(r["src"], 1, shard, pack(ids[p]), pack(counts[p])) for r, p in zip(rows, np.split(place, cuts))]
-    return [*out, message(-1, 1, shard, str(int(counts.sum())).encode(), str(int((counts > 0).sum())).encode())]
+    return [*out, message(-1, 1, shard, str(int(counts.sum())).encode(), str(int((counts > 0).sum())).encode(),
+                            str(int(counts[counts > most].sum())).encode())]
 
 
 # ---- pairs --------------------------------------------------------------------------------
 
+class _Shards(NamedTuple):
+    """Context shards: `whole` ones for contexts of at most `most` customers, then `split` ones."""
+
+    whole: int
+    split: int
+    most: int
+
+    @property
+    def n(self) -> int:
+        return self.whole + self.split
+
+    def of(self, ids: np.ndarray, customers: np.ndarray, context: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The shard of each pair; a split context goes by words to as many as hold it."""
+        scrambled = mix(ids)
+        shard = (scrambled % _U64(self.whole)).astype(np.int64)[context]
+        parted = customers[context] > self.most
+        if parted.any():
+            ways = -(-customers[context][parted] // self.most)
+            sub = (mix(words[parted]) % ways.astype(_U64)).astype(np.int64)
+            first = (scrambled % _U64(self.split)).astype(np.int64)[context][parted]
+            shard[parted] = self.whole + (first + sub) % self.split
+        return shard
+
+
 class _Pairs:
     """A chunk's distinct (context, word) pairs by context shard, in the order both sides rely on."""
 
-    def __init__(self, rows: list[dict], train_docs: int, shards: int, inverse: bool):
+    def __init__(self, rows: list[dict], train_docs: int, shards: _Shards, inverse: bool):
         chunk = next(r for r in rows if r["kind"] == 0)
         answers = [r for r in rows if r["kind"] == 1]
         ids = np.concatenate([unpack(r["a"], np.int64) for r in answers])
@@ -200,28 +232,15 @@ class _Pairs:
             self.n = np.zeros(len(unique), np.int64)
             self.n[np.searchsorted(unique, found)] = times
         self.context, self.word = unique // n, unique % n
-        shard = context_shard(self.context_ids, self.context_counts, shards)[self.context]
-        split = self.context_counts[self.context] > PAIRS_PER_SHARD
-        if split.any():
-            ways = split_ways(self.context_counts[self.context][split])
-            sub = (mix(self.ids[self.word[split]]) % ways.astype(_U64)).astype(np.int64)
-            shard[split] = (shard[split] + sub) % shards
+        shard = shards.of(self.context_ids, self.context_counts, self.context, self.ids[self.word])
         self.order = np.argsort(shard, kind="stable")
-        self.cuts = np.searchsorted(shard[self.order], np.arange(shards + 1))
-
-
-def split_ways(customers: np.ndarray) -> np.ndarray:
-    return -(-customers // PAIRS_PER_SHARD)
-
-
-def context_shard(ids: np.ndarray, counts: np.ndarray, shards: int) -> np.ndarray:
-    return (mix(ids) % _U64(shards)).astype(np.int64)
+        self.cuts = np.searchsorted(shard[self.order], np.arange(shards.n + 1))
 
 
-def _pair_requests(name: int, rows: list[dict], train_docs: int, shards: int):
+def _pair_requests(name: int, rows: list[dict], train_docs: int, shards: _Shards):
     p = _Pairs(rows, train_docs, shards, inverse=False)
     out = []
-    for shard in range(shards):
+    for shard in range(shards.n):
         at = p.order[p.cuts[shard]:p.cuts[shard + 1]]
         if not len(at):
             continue
@@ -230,7 +249,7 @@ def _pair_requests(name: int, rows: list[dict], train_docs: int, shards: int):
         size = np.diff(np.append(np.flatnonzero(first), len(at)))
         level = np.log2(np.maximum(p.counts[p.word[at]], 1)) * 6
         out.append(message(
-            shard, 2, name, pack(np.stack([p.context_ids[contexts], p.context_counts[contexts], size])), pack(words),
+            shard, 2, name, pack(np.stack([p.context_ids[contexts], size])), pack(words),
             pack(p.n[at]), pack(np.round(level).astype(np.uint8)),
         ))
     return out
@@ -238,9 +257,8 @@ def _pair_requests(name: int, rows: list[dict], train_docs: int, shards: int):
 
 # ---- seating ------------------------------------------------------------------------------
 
-def discount(counts: np.ndarray) -> float:
+def discount(one: int, two: int) -> float:
     """n1 / (n1 + 2 n2), kept inside (0, 1)."""
-    one, two = int((counts == 1).sum()), int((counts == 2).sum())
     return min(0.95, max(0.05, one / (one + 2 * two))) if one + two else 0.5
 
 
@@ -280,42 +298,103 @@ def seat(customers: np.ndarray, d: float, weight: np.ndarray, step: np.ndarray,
 
 
 class Restaurants:
-    """Seatings of the pairs of some restaurants."""
-
-    def __init__(self, owner: np.ndarray, customers: np.ndarray, base: np.ndarray, d: float, scale: np.ndarray, seed: int):
-        """`owner`: each pair's restaurant; `base`: its parent's probability; `scale`: what a
-        restaurant's tables here stand for among all of its tables."""
-        self.owner, self.customers, self.base, self.d, self.scale = owner, customers, base, d, scale
-        self.draw = np.random.default_rng(seed)
-        self.tables = (customers > 0).astype(float)
-        self.log_weight: np.ndarray | None = None
+    """Seatings of the pairs of some restaurants, or of their parts that one shard holds."""
+
+    def __init__(self, names: np.ndarray, owner: np.ndarray, customers: np.ndarray, base: np.ndarray, d: float, state: dict | None = None):
+        """`owner`: each pair's restaurant by its place in `names`; `base`: its parent's probability."""
+        self.names, self.owner, self.customers, self.base, self.d = names, owner, customers, base, d
         self.busy = np.flatnonzero(customers > 1)
+        self.tables, self.sampled = (customers > 0).astype(np.int64), np.zeros(len(customers), np.int64)
+        self.log_weight: np.ndarray | None = None
+        if state:
+            self.tables, self.sampled = unpack(state["a"], np.int64).copy(), unpack(state["b"], np.int64).copy()
+            self.log_weight = unpack(state["c"], np.float64)
 
-    def totals(self) -> np.ndarray:
-        return np.bincount(self.owner, self.tables, len(self.scale)) * self.scale
+    def totals(self, tables: np.ndarray) -> np.ndarray:
+        return np.bincount(self.owner, tables, len(self.names))
 
-    def sweep(self) -> None:
+    def sweep(self, totals: np.ndarray, draw: np.random.Generator) -> None:
+        """Reseat every pair, given the tables that its restaurant has in all."""
         b = self.busy
-        others = np.maximum(self.totals()[self.owner[b]] - self.tables[b], 0)
+        others = np.maximum(totals[self.owner[b]] - self.tables[b], 0)
         weight, step = (STRENGTH + self.d * others) * self.base[b], self.d * self.base[b]
-        tables, log_weight = seat(self.customers[b], self.d, weight, step, self.draw)
+        tables, log_weight = seat(self.customers[b], self.d, weight, step, draw)
         if self.log_weight is None:
             accept = np.ones(len(b), bool)
             self.log_weight = np.zeros(len(b))
         else:
-            accept = np.log(self.draw.random(len(b))) < log_weight - self.log_weight
+            accept = np.log(draw.random(len(b))) < log_weight - self.log_weight
         self.tables[b] = np.where(accept, tables, self.tables[b])
         self.log_weight = np.where(accept, log_weight, self.log_weight)
 
-    def run(self) -> tuple[np.ndarray, np.ndarray]:
-        """Mean tables of pairs and restaurants over the last samples."""
-        tables, totals = np.zeros(len(self.tables)), np.zeros(len(self.scale))
-        for sweep in range(SWEEPS):
-            self.sweep()
-            if sweep >= SWEEPS - SAMPLES:
-                tables += self.tables / SAMPLES
-                totals += self.totals() / SAMPLES
-        return tables, totals
+    def run(self, sweeps, seed: tuple[int, int], whole: Sums | None = None) -> None:
+        """Some of the sweeps; `whole` are the tables of all parts, else the shard holds them all."""
+        for number in sweeps:
+            totals = self.totals(self.tables) if whole is None else whole.of(self.names)
+            self.sweep(totals, np.random.default_rng([*seed, number]))
+            if number >= SWEEPS - SAMPLES:
+                self.sampled += self.tables
+
+    def mean(self) -> np.ndarray:
+        """Tables of the pairs, averaged over the last sweeps."""
+        return self.sampled / SAMPLES
+
+    def state(self, shard: int) -> list[dict]:
+        """What the next sweep goes on from, and this shard's share of its restaurants' tables."""
+        return [message(shard, 8, shard, pack(self.tables), pack(self.sampled), pack(self.log_weight)), self.share(shard)]
+
+    def share(self, shard: int, *more: bytes) -> dict:
+        sums = [self.totals(x).astype(np.int64) for x in (self.tables, self.sampled)]
+        return message(-1, 8, shard, pack(self.names), pack(sums[0]), pack(sums[1]), *more)
+
+
+class Sums(NamedTuple):
+    """Numbers of restaurants, in the order of their names."""
+
+    names: np.ndarray
+    values: np.ndarray
+
+    def of(self, names: np.ndarray) -> np.ndarray:
+        return self.values[np.searchsorted(self.names, names)]
+
+
+def summed(parts: DataFrame) -> tuple[Sums, Sums]:
+    """Tables of restaurants, now and sampled, over all shards; two numbers a part reach the driver."""
+    rows = parts.where("dest = -1 and a is not null").select("a", "b", "c").collect()
+    if not rows:
+        return (Sums(np.zeros(0, np.int64), np.zeros(0)),) * 2
+    names, place = np.unique(np.concatenate([unpack(r.a, np.int64) for r in rows]), return_inverse=True)
+    return tuple(Sums(names, np.bincount(place, np.concatenate([unpack(r[c], np.int64) for r in rows]))) for c in "bc")
+
+
+def counts_of_counts(merged: DataFrame) -> tuple[int, int]:
+    """How many pairs have one customer and two, over all shards."""
+    found = merged.where("dest = -1").select(F.split(F.col("d").cast("string"), " ").alias("n")).select(
+        F.sum(F.col("n")[0].cast("long")).alias("one"), F.sum(F.col("n")[1].cast("long")).alias("two")).first()
+    return found.one or 0, found.two or 0
+
+
+def _ones_and_twos(customers: np.ndarray) -> bytes:
+    return f"{int((customers == 1).sum())} {int((customers == 2).sum())}".encode()
+
+
+def in_rounds(merged: DataFrame, held: DataFrame, make, level: int, alone: bool) -> tuple[DataFrame, Sums]:
+    """The last state of each shard in `held`, and its restaurants' mean tables.
+
+    Between sweeps the tables of each restaurant are summed over the shards. `make(rows, state)`
+    gives the restaurants of a shard. A single shard needs no sums of others: one round of all sweeps.
+    """
+    state, (now, sampled) = None, summed(merged)
+    for number in range(1 if alone else SWEEPS):
+        def step(shard, rows, sweeps=range(SWEEPS) if alone else (number,), whole=None if alone else now):
+            model = make(rows, next((r for r in rows if r["kind"] == 8), None))
+            model.run(sweeps, (level, shard), whole)
+            return model.state(shard)
+
+        given = held if state is None else held.unionByName(state.where("dest >= 0"))
+        state = durable(by_key(given, step, MESSAGE), "sweep")
+        now, sampled = summed(state)
+    return state.where("dest >= 0"), Sums(sampled.names, sampled.values / SAMPLES)
 
 
 def distinct(values: np.ndarray) -> np.ndarray:
@@ -324,38 +403,51 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return ordered[np.concatenate(([True], ordered[1:] != ordered[:-1]))] if len(ordered) else ordered
 
 
-def _seat_contexts(shard: int, rows: list[dict], n_train: int, word_shards: int):
-    """Sweeps over a shard's contexts; answers to chunks, tables to the word shards."""
-    heads = [unpack(r["a"], np.int64).reshape(3, -1) for r in rows]
+def _merge_pairs(shard: int, rows: list[dict], split: bool):
+    """A shard's distinct pairs with their customers, each chunk's places among them, and sums."""
+    heads = [unpack(r["a"], np.int64).reshape(2, -1) for r in rows]
     words = [unpack(r["b"], np.int64) for r in rows]
     names = distinct(np.concatenate([h[0] for h in heads]))
     spread = np.int64(max(int(w.max()) for w in words)) + 1
     if spread * len(names) >= 1 << 62:
         raise ValueError("more word ids than a shard can key; lower PAIRS_PER_SHARD")
     # every message is in key order, so lookups run through memory in order
-    sent_keys = [np.repeat(np.searchsorted(names, h[0]), h[2]) * spread + w for h, w in zip(heads, words)]
+    sent_keys = [np.repeat(np.searchsorted(names, h[0]), h[1]) * spread + w for h, w in zip(heads, words)]
     keys = distinct(np.concatenate(sent_keys))
     places = [np.searchsorted(keys, k) for k in sent_keys]
     customers, level = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.uint8)
     for r, at in zip(rows, places):
         customers[at] += unpack(r["c"], np.int64)
         level[at] = unpack(r["d"], np.uint8)
-    base = np.exp2(level / 6.0) / max(n_train, 1)
-    pair_owner, pair_word = keys // spread, keys % spread
-    whole = np.zeros(len(names), np.int64)
-    for h in heads:
-        whole[np.searchsorted(names, h[0])] = h[1]
-    scale = np.where(whole > PAIRS_PER_SHARD, split_ways(np.maximum(whole, 1)), 1).astype(float)
-    d = discount(customers)
-    model = Restaurants(pair_owner, customers, base, d, scale, shard)
-    tables, totals = model.run()
-    kept = (customers - d * tables).astype(np.float32)
-    passed = (STRENGTH + d * totals).astype(np.float32)
+    out = [message(shard, 6, shard, pack(np.append(names, spread)), pack(np.diff(keys, prepend=0)), pack(customers), pack(level))]
+    for r, h, at in zip(rows, heads, places):
+        out.append(message(shard, 7, r["src"], pack(np.diff(at, prepend=0)), pack(np.searchsorted(names, h[0]))))
+    found = _ones_and_twos(customers)
+    if not split:
+        return [*out, message(-1, 6, shard, None, None, None, found)]
+    return [*out, Restaurants(names, keys // spread, customers, None, 0.0).share(shard, found)]
+
+
+def _context_restaurants(rows: list[dict], state: dict | None, d: float, n_train: int) -> Restaurants:
+    merged = next(r for r in rows if r["kind"] == 6)
+    names = unpack(merged["a"], np.int64)
+    names, spread = names[:-1], names[-1]
+    keys = np.cumsum(unpack(merged["b"], np.int64))
+    base = np.exp2(unpack(merged["d"], np.uint8) / 6.0) / max(n_train, 1)
+    model = Restaurants(names, keys // spread, unpack(merged["c"], np.int64), base, d, state)
+    model.words = keys % spread
+    return model
+
+
+def _context_answers(shard: int, rows: list[dict], model: Restaurants, totals: np.ndarray, word_shards: int):
+    """Answers to chunks, tables to the word shards."""
+    kept = (model.customers - model.d * model.mean()).astype(np.float32)
+    passed = (STRENGTH + model.d * totals).astype(np.float32)
     out = [
-        message(r["src"], 3, shard, pack(kept[at]), pack(passed[np.searchsorted(names, h[0])]))
-        for r, h, at in zip(rows, heads, places)
+        message(r["src"], 3, shard, pack(kept[np.cumsum(unpack(r["a"], np.int64))]), pack(passed[unpack(r["b"], np.int64)]))
+        for r in rows if r["kind"] == 7
     ]
-    seen, where = np.unique(pair_word, return_inverse=True)
+    seen, where = np.unique(model.words, return_inverse=True)
     sent = np.bincount(where, model.tables).astype(np.int64)
     dest = (seen - 1) % word_shards
     for target in range(word_shards):
@@ -365,21 +457,43 @@ def _seat_contexts(shard: int, rows: list[dict], n_train: int, word_shards: int)
     return out
 
 
-def _seat_words(shard: int, rows: list[dict], n_distinct: int, shards: int):
-    """The parent's sweeps over a word shard; answers to chunks, and this shard's sums."""
-    tables = [r for r in rows if r["kind"] == 4]
-    asked = [(r["src"], unpack(r["a"], np.int64)) for r in rows if r["kind"] == 1]
-    size = (max([int(ids.max()) for _, ids in asked], default=0) - 1) // shards + 1
-    customers = np.zeros(max(size, 1), np.int64)
-    for r in tables:
-        np.add.at(customers, (unpack(r["a"], np.int64) - 1) // shards, unpack(r["b"], np.int64))
-    base = np.full(len(customers), 1 / (n_distinct + 1))
-    d = discount(customers)
-    model = Restaurants(np.zeros(len(customers), np.int64), customers, base, d, np.array([float(shards)]), shard)
-    mean, _ = model.run()
-    kept = (customers - d * mean).astype(np.float32)
-    out = [message(chunk, 5, shard, pack(kept[(ids - 1) // shards])) for chunk, ids in asked]
-    return [*out, message(-1, 5, shard, str(int(customers.sum())).encode(), repr(float(d * mean.sum())).encode())]
+def _seat_whole(shard: int, rows: list[dict], d: float, n_train: int, word_shards: int):
+    """All sweeps over contexts that one shard holds."""
+    model = _context_restaurants(rows, None, d, n_train)
+    model.run(range(SWEEPS), (0, shard))
+    return _context_answers(shard, rows, model, model.totals(model.mean()), word_shards)
+
+
+def _answer_split(shard: int, rows: list[dict], d: float, n_train: int, word_shards: int, mean: Sums):
+    """Answers of contexts whose sweeps went over several shards."""
+    model = _context_restaurants(rows, next(r for r in rows if r["kind"] == 8), d, n_train)
+    return _context_answers(shard, rows, model, mean.of(model.names), word_shards)
+
+
+def _merge_tables(shard: int, rows: list[dict], shards: int):
+    """A word shard's customers, which are the contexts' tables, and its sums."""
+    asked = [(unpack(r["a"], np.int64) - 1) // shards for r in rows]
+    customers = np.zeros(max(int(ids.max()) for ids in asked) + 1, np.int64)
+    for ids, r in zip(asked, rows):
+        np.add.at(customers, ids, unpack(r["b"], np.int64))
+    share = Restaurants(np.zeros(1, np.int64), np.zeros(len(customers), np.int64), customers, None, 0.0).share(shard, _ones_and_twos(customers))
+    return [message(shard, 6, shard, pack(customers)), share, message(-2, 6, shard, str(int(customers.sum())).encode())]
+
+
+def _word_restaurant(rows: list[dict], state: dict | None, d: float, n_distinct: int) -> Restaurants:
+    customers = unpack(next(r for r in rows if r["kind"] == 6)["a"], np.int64)
+    return Restaurants(np.zeros(1, np.int64), np.zeros(len(customers), np.int64), customers, np.full(len(customers), 1 / (n_distinct + 1)), d, state)
+
+
+def _word_kept(shard: int, rows: list[dict], d: float, n_distinct: int, shards: int):
+    """Each chunk's words: customers less the discounts of their tables; words no context sent have none."""
+    asked = [(r["src"], (unpack(r["a"], np.int64) - 1) // shards) for r in rows if r["kind"] == 1]
+    kept = np.zeros(max((int(ids.max()) for _, ids in asked), default=0) + 1, np.float32)
+    state = next((r for r in rows if r["kind"] == 8), None)
+    if state:
+        model = _word_restaurant(rows, state, d, n_distinct)
+        kept = np.append((model.customers - d * model.mean()).astype(np.float32), kept)[:max(len(kept), len(model.customers))]
+    return [message(chunk, 5, shard, pack(kept[ids])) for chunk, ids in asked]
 
 
 # ---- scores -------------------------------------------------------------------------------
@@ -387,14 +501,14 @@ def _seat_words(shard: int, rows: list[dict], n_distinct: int, shards: int):
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scores(name: int, rows: list[dict], totals: dict, shards: int) -> list[dict]:
+def _scores(name: int, rows: list[dict], totals: dict, shards: _Shards) -> list[dict]:
     p = _Pairs(rows, totals["train_docs"], shards, inverse=True)
     answers = {r["src"]: r for r in rows if r["kind"] == 3}
     words = np.concatenate([unpack(r["a"], np.float32) for r in rows if r["kind"] == 5])[p.by_id].astype(float)
     n, v = totals["n_train"], totals["distinct"]
     parent = (words + (STRENGTH + totals["passed"]) / (v + 1)) / (STRENGTH + totals["customers"])
     chance = np.empty(len(p.context))
-    for shard in range(shards):
+    for shard in range(shards.n):
         at = p.order[p.cuts[shard]:p.cuts[shard + 1]]
         if not len(at):
             continue
@@ -402,7 +516,9 @@ def _scores(name: int, rows: list[dict], totals: dict, shards: int) -> list[dict
         first = np.concatenate(([True], np.diff(p.context[at]) != 0))
         size = np.diff(np.append(np.flatnonzero(first), len(at)))
         chance[at] = (kept + np.repeat(passed, size) * parent[p.word[at]]) / (STRENGTH + p.context_counts[p.context[at]])
-    log = np.log10(np.minimum(chance, 1.0))[p.inverse]
+    if (chance > 1 + 1e-5).any():
+        raise ValueError("a probability above one")
+    log = np.log10(np.minimum(chance, 1.0))[p.inverse]  # what single precision adds
     base = np.log10((p.counts + 1) / (n + v + 1))[p.tokens]
     starts = np.cumsum(p.lengths) - p.lengths
     sums = [np.add.reduceat(x, starts) for x in (log, base, (p.counts[p.tokens] > 0).astype(np.int64))]
@@ -420,7 +536,9 @@ def _chunk_message(row: dict):
     yield message(row["chunk"], 0, 0, row["lengths"], row["train"], row["tokens"], ids.tobytes() + known.tobytes())
 
 
-def score_texts(docs: DataFrame, train=None, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+def score_texts(
+    docs: DataFrame, train=None, chunk_tokens: int = CHUNK_TOKENS, pairs_per_shard: int = PAIRS_PER_SHARD, words_per_shard: int = WORDS_PER_SHARD
+) -> DataFrame:
     """`doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score` of every row.
 
     `train` tells which rows the model learns from; by default those whose crc32(doc_id) mod 7 is not 2.
@@ -428,28 +546,41 @@ def score_texts(docs: DataFrame, train=None, chunk_tokens: int = CHUNK_TOKENS) -
     used = crc_mod("doc_id", 7) != 2 if train is None else train
     made = durable(chunks(docs, used, chunk_tokens), "chunks")
     size = made.agg(F.sum("n_tokens").alias("tokens"), F.sum("n_words").alias("words"), F.sum("train_docs").alias("docs")).first()
-    shards = max(1, math.ceil((size.tokens or 0) / PAIRS_PER_SHARD))
-    word_shards = max(1, math.ceil((size.words or 0) / (4 * WORDS_PER_SHARD)))
+    word_shards = max(1, math.ceil((size.words or 0) / (4 * words_per_shard)))
     train_docs = size.docs or 0
 
     words = durable(by_key(
         send(made.select("chunk", "hashes", "counts"), lambda row: _word_requests(row, word_shards)),
-        lambda shard, rows: _word_answers(shard, rows, word_shards), MESSAGE,
+        lambda shard, rows: _word_answers(shard, rows, word_shards, pairs_per_shard), MESSAGE,
     ), "words")
-    sums = words.where("dest = -1").select(F.sum(F.col("a").cast("string").cast("long")).alias("n"), F.sum(F.col("b").cast("string").cast("long")).alias("v")).first()
+    number = lambda name: F.sum(F.col(name).cast("string").cast("long"))
+    sums = words.where("dest = -1").select(number("a").alias("n"), number("b").alias("v"), number("c").alias("frequent")).first()
     n_train, n_distinct = sums.n or 0, sums.v or 0
+    parted = (sums.frequent or 0) + (train_docs if train_docs > pairs_per_shard else 0)
+    in_split = (size.tokens or 0) * min(1.0, parted / max(n_train, 1))
+    shards = _Shards(max(1, math.ceil(((size.tokens or 0) - in_split) / pairs_per_shard)), math.ceil(in_split / pairs_per_shard), pairs_per_shard)
 
     own = send(made.select("chunk", "lengths", "train", "tokens", "doc_ids"), _chunk_message)
     asked = words.where("dest >= 0")
     requests = by_key(own.unionByName(asked), lambda name, rows: _pair_requests(name, rows, train_docs, shards), MESSAGE)
-    seated = durable(by_key(requests, lambda shard, rows: _seat_contexts(shard, rows, n_train, word_shards), MESSAGE), "seated")
+    merged = durable(by_key(requests, lambda shard, rows: _merge_pairs(shard, rows, shard >= shards.whole), MESSAGE), "pairs")
+    d = discount(*counts_of_counts(merged))
+    whole, split = (merged.where((F.col("dest") >= first) & (F.col("dest") < last)) for first, last in ((0, shards.whole), (shards.whole, shards.n)))
+    seated = durable(by_key(whole, lambda shard, rows: _seat_whole(shard, rows, d, n_train, word_shards), MESSAGE), "seated")
+    if shards.split:
+        state, mean = in_rounds(merged, split.where("kind = 6"), lambda rows, state: _context_restaurants(rows, state, d, n_train), 0, shards.split == 1)
+        answers = by_key(split.unionByName(state), lambda shard, rows: _answer_split(shard, rows, d, n_train, word_shards, mean), MESSAGE)
+        seated = seated.unionByName(durable(answers, "seated"))
 
     parents = seated.where("kind = 4").withColumn("dest", -2 - F.col("dest"))
-    waiting = asked.select(F.col("src").alias("dest"), "kind", F.col("dest").alias("src"), "a", F.lit(None).cast("binary").alias("b"),
-                           F.lit(None).cast("binary").alias("c"), F.lit(None).cast("binary").alias("d"))
-    parent = durable(by_key(parents.unionByName(waiting), lambda shard, rows: _seat_words(shard, rows, n_distinct, word_shards), MESSAGE), "parent")
-    ends = parent.where("dest = -1").select(F.sum(F.col("a").cast("string").cast("long")).alias("c"), F.sum(F.col("b").cast("string").cast("double")).alias("p")).first()
-    totals = {"n_train": n_train, "distinct": n_distinct, "train_docs": train_docs, "customers": ends.c or 0, "passed": ends.p or 0.0}
-
-    everything = own.unionByName(asked).unionByName(seated.where("kind = 3")).unionByName(parent.where("dest >= 0"))
+    tables = durable(by_key(parents, lambda shard, rows: _merge_tables(shard, rows, word_shards), MESSAGE), "tables")
+    customers = tables.where("dest = -2").select(number("a").alias("c")).first().c or 0
+    above = discount(*counts_of_counts(tables))
+    held = tables.where("dest >= 0")
+    state, mean = in_rounds(tables, held, lambda rows, state: _word_restaurant(rows, state, above, n_distinct), 1, word_shards == 1)
+    waiting = asked.select(F.col("src").alias("dest"), "kind", F.col("dest").alias("src"), "a", *[F.lit(None).cast("binary").alias(c) for c in "bcd"])
+    parent = by_key(held.unionByName(state).unionByName(waiting), lambda shard, rows: _word_kept(shard, rows, above, n_distinct, word_shards), MESSAGE)
+    totals = {"n_train": n_train, "distinct": n_distinct, "train_docs": train_docs, "customers": customers, "passed": above * float(mean.values.sum())}
+
+    everything = own.unionByName(asked).unionByName(seated.where("kind = 3")).unionByName(parent)
     return by_key(everything, lambda name, rows: _scores(name, rows, totals, shards), SCORES)
