@@ -65,24 +65,26 @@ TOOLS = (
 def tool_messages(conversations):
     """Conversations as messages with tool calls: an assistant turn that answers a user becomes a
     call and its result; other turns stay. By conversation number some calls lack an argument, some
-    have no result, some results come first, and some calls wait for a later one."""
-    c = F.col("conv_id")
+    results name a call there is not and leave theirs unanswered, some results come first, and some
+    calls wait for a later one. Every text stays; a null number is none of these."""
+    every = lambda modulus, rest: F.coalesce(F.col("conv_id") % modulus == rest, F.lit(False))
     call_id = F.concat(F.lit("c"), F.col("turn"))
-    argument = F.when(c % 2 == 0, "query").otherwise("key")
+    argument = F.when(every(2, 0), "query").otherwise("key")
     arguments = F.map_from_arrays(
         F.array(argument, F.lit("limit"), F.lit("after")),
-        F.array(F.concat(F.lit("q"), F.col("turn")), F.when(c % 5 == 0, "many").otherwise("10"), F.when(c % 6 == 1, F.concat(F.lit("c"), F.col("turn") + 2))),
+        F.array(F.concat(F.lit("q"), F.col("turn")), F.when(every(5, 0), "many").otherwise("10"), F.when(every(6, 1), F.concat(F.lit("c"), F.col("turn") + 2))),
     )
-    given = F.map_filter(arguments, lambda k, v: v.isNotNull() & ~((k == "limit") & (c % 2 == 1)) & ~((c % 7 == 0) & (k != "limit")))
-    name = F.when(c % 9 == 4, "other").when(c % 2 == 0, "search").otherwise("lookup")
+    given = F.map_filter(arguments, lambda k, v: v.isNotNull() & ~((k == "limit") & every(2, 1)) & ~(every(7, 0) & (k != "limit")))
+    name = F.when(every(9, 4), "other").when(every(2, 0), "search").otherwise("lookup")
     calls = F.to_json(F.struct(F.array(F.struct(call_id.alias("id"), name.alias("name"), given.alias("arguments"))).alias("tool_calls")))
-    result = F.to_json(F.struct(call_id.alias("tool_call_id"), F.col("text").alias("content")))
+    answered = F.when(every(10, 3), F.concat(F.lit("no"), call_id)).otherwise(call_id)
+    result = F.to_json(F.struct(answered.alias("tool_call_id"), F.col("text").alias("content")))
     at = F.col("turn") * 4
     parts = F.when(F.col("role") == "assistant", F.array(
         F.struct(at.alias("turn"), F.lit("assistant").alias("role"), calls.alias("text")),
-        F.struct(F.when(c % 11 == 0, at - 1).otherwise(at + 1).alias("turn"), F.lit("tool").alias("role"), result.alias("text")),
+        F.struct(F.when(every(11, 0), at - 1).otherwise(at + 1).alias("turn"), F.lit("tool").alias("role"), result.alias("text")),
     )).otherwise(F.array(F.struct(at.alias("turn"), F.col("role"), F.col("text"))))
-    rows = conversations.select("conv_id", F.explode(F.filter(parts, lambda p: ~((p["role"] == "tool") & (c % 10 == 3)))).alias("m"))
+    rows = conversations.select("conv_id", F.explode(parts).alias("m"))
     return rows.select("conv_id", "m.turn", "m.role", "m.text")
 
 
