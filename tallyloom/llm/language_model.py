@@ -13,7 +13,9 @@ Data flow, each arrow one shuffle of compressed arrays whose number follows the
   context shards -> word shards      tables, which are the parent's customers; its own sweeps
   both -> chunks                     what each chunk needs for its own pairs and words: scores
 
-A sweep reseats the customers of each (context, word) pair given all other tables: a seating is
+A sweep reseats the customers of each (context, word) pair given its restaurant's other tables; a
+word's base in all contexts is its training frequency, and levels are swept once each, contexts
+first. A seating is
 drawn customer by customer from the Chinese restaurant process and accepted by the
 Metropolis-Hastings rule, its weight being the product of the process's normalisers. Pairs of a
 restaurant are reseated at once, with the restaurant's tables of the last sweep. Beyond
