@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.stats import count_where, money_sum
-from tallyloom.operators.ordering import previous_row
+from tallyloom.operators.ordering import previous_row, range_chunks, running_total
 
 # Fixed alias lists, in priority order.
 OUTPUT_KEYS = ("outputs", "artifacts", "output", "artifact_uris", "s3_uris")
@@ -244,8 +244,10 @@ def immutable_field_tamper(versions: DataFrame, chunk: Column, blocks: Sequence[
 
 def stage_history(events: DataFrame) -> DataFrame:
     """Every recorded iteration of every stage with its position, oldest first (append-only)."""
-    order = Window.partitionBy("run_id").orderBy("ts", "event_id")
-    return events.withColumn("position", F.row_number().over(order).cast("long"))
+    run = {"_run": F.coalesce(F.col("run_id").cast("string"), F.lit("")), "_no_run": F.col("run_id").isNull()}
+    ranged = range_chunks(events.withColumns(run), [*run, "ts", "event_id"], "_range")
+    counted = running_total(ranged, [*run], ["ts", "event_id"], {"position": F.lit(1)}, "_range")
+    return counted.drop("_range", *run)
 
 
 def stage_map(events: DataFrame) -> DataFrame:
