@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import CACHE_ENTRIES, body, map_rows
+from tallyloom.llm.common import CACHE_ENTRIES, body, map_rows, mix
 
 BUCKETS = 1 << 18
 DIM = 8
@@ -28,7 +28,8 @@ EPOCHS = 6
 MAX_DOCS = 4_000
 THRESHOLD = 0.3
 _SIZES = (2, 3, 4)
-#: The word 2-gram of a word and itself, written with a back reference: one bucket for all words.
+_U64 = np.uint64
+#: A word and itself again, written with a back reference: one bucket for all words, beside each pair's own.
 _AGAIN = xxhash.xxh32_intdigest("\\1 \\1") % BUCKETS
 
 
@@ -39,6 +40,15 @@ def word_features(word: bytes) -> list[int]:
     return [xxhash.xxh32_intdigest(g) % BUCKETS for g in grams]
 
 
+def word_hash(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word)
+
+
+def pair_features(hashes: np.ndarray) -> np.ndarray:
+    """Buckets of the word 2-grams, from the hashes of a text's words in order."""
+    return (mix(hashes[:-1] * _U64(0x9E3779B97F4A7C15) + hashes[1:]) % _U64(BUCKETS)).astype(np.int64)
+
+
 def text_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and their shares."""
     counts: dict[bytes, int] = {}
@@ -49,8 +59,10 @@ def text_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     again = sum(map(eq, words, words[1:]))
     if not lists:
         return np.zeros(0, np.int64), np.zeros(0, np.float32)
-    flat = np.concatenate([*[np.array(x, np.int64) for x in lists], [_AGAIN]])
-    weight = np.append(np.repeat(np.fromiter(counts.values(), np.float64), [len(x) for x in lists]), again)
+    hashes = {w: word_hash(w) for w in counts}
+    pairs = pair_features(np.fromiter(map(hashes.__getitem__, words), _U64, len(words)))
+    flat = np.concatenate([*[np.array(x, np.int64) for x in lists], pairs, [_AGAIN]])
+    weight = np.concatenate([np.repeat(np.fromiter(counts.values(), np.float64), [len(x) for x in lists]), np.ones(len(pairs)), [again]])
     buckets, inverse = np.unique(flat, return_inverse=True)
     share = np.bincount(inverse, weights=weight)
     return buckets, (share / share.sum()).astype(np.float32)
@@ -115,11 +127,11 @@ def score(docs: DataFrame, model: np.ndarray, threshold: float = THRESHOLD) -> D
         table, bias = weights[:-1], float(weights[-1])
 
         class Words(dict):
-            """(sum of the scores, number) of a word's features."""
+            """(sum of the scores, number) of a word's features, and its hash."""
 
             def __missing__(self, word):
                 found = np.array(word_features(word))
-                self[word] = value = complex(float(table[found].sum()), len(found))
+                self[word] = value = complex(float(table[found].sum()), len(found)), word_hash(word)
                 return value
 
         words = Words()
@@ -131,7 +143,11 @@ def score(docs: DataFrame, model: np.ndarray, threshold: float = THRESHOLD) -> D
                     words.clear()
                 found = row["text"].split()
                 again = sum(map(eq, found, found[1:]))
-                total = sum(map(words.__getitem__, found), complex(again * float(table[_AGAIN]), again))
+                total = complex(again * float(table[_AGAIN]), again)
+                if found:
+                    values, hashes = zip(*map(words.__getitem__, found))
+                    pairs = pair_features(np.fromiter(hashes, _U64, len(hashes)))
+                    total += sum(values) + complex(float(table[pairs].sum()), len(pairs))
                 logit = bias + (total.real / total.imag if total.imag else 0.0)
                 value = float(1 / (1 + np.exp(-np.clip(logit, -60, 60))))
                 out.append({"doc_id": row["doc_id"], "score": value, "predicted": int(value >= threshold)})
