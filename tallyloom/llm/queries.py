@@ -5,9 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallyloom.llm import chat, classifier, decontaminate, html, language_model, mixing, near_duplicates, quality, token_counts, token_files
+from tallyloom.llm import alignment, chat, classifier, decontaminate, digest_index, html, language_model, merkle, mixing, near_duplicates, quality, token_counts, token_files
 from tallyloom.llm.common import crc_mod
-from tallyloom.session import fresh_path, table
+from tallyloom.session import durable, fresh_path, table
 
 
 def op1(spark, sf):
@@ -97,6 +97,33 @@ def op10(spark, sf):
     )
 
 
+def op11(spark, sf):
+    found = alignment.align(
+        table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12(spark, sf):
+    hit = F.col("doc_id").isNotNull() & (crc_mod("doc_id", 3) == 0)
+    tampered = F.when(hit, merkle.leaf_digest(text=merkle.lowered("text")))
+    manifest = merkle.build(table(spark, sf, "documents"), tampered=tampered)
+    root, siblings = F.lit(manifest.root), F.transform("way", lambda step: F.concat(step["left"], step["right"]))
+    rows = merkle.proofs(manifest).withColumn("folded_root", merkle.folded(F.coalesce("tampered", "digest"), F.col("way")))
+    return rows.select(
+        F.col("id").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", root.alias("root"),
+        merkle.hashed(F.array_join(siblings, "")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == root).alias("verified"),
+    )
+
+
+def op13(spark, sf):
+    rows = durable(digest_index.digests(table(spark, sf, "documents")), "digests")
+    index = digest_index.DigestIndex(spark, fresh_path(spark, "digest-index"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    for part in range(2):  # the second delivery meets the digests of the first
+        index.deliver(rows.where(crc_mod("doc_id", 2) == part), f"delivery {part}")
+    return digest_index.verdicts(rows, index)
+
+
 def pipeline(spark, sf):
     import corpus_pipeline
 
@@ -114,5 +141,8 @@ QUERIES = {
     "op8_token_files": op8,
     "op9_source_mixing": op9,
     "op10_tool_call_chat": op10,
+    "op11_cross_tokenizer_alignment": op11,
+    "op12_merkle_manifest": op12,
+    "op13_digest_index": op13,
     "pipeline": pipeline,
 }

@@ -80,9 +80,57 @@ SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN d
 FROM j JOIN c ON j.source IS NOT DISTINCT FROM c.source
 """
 
+_FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_FIELD.format(f) for f in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+_BIT = "lambda x, _: xor(x >> 1, (x & 1) * 3988292384)"
+_CRC = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], {_BIT})), 4294967295)"
+
+
+def _tree(name: str, leaves: str, key: str) -> str:
+    """Nodes of a forest by level, and of each leaf the siblings and ancestors by level."""
+    return f"""{name} AS (SELECT {key} AS tree, 0 AS level, pos, digest, count(*) OVER (PARTITION BY {key}) AS n FROM {leaves}
+  UNION ALL SELECT tree, level + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), max(n + 7) // 8 FROM {name} WHERE n > 1 GROUP BY tree, level, pos // 8),
+{name}_steps AS (SELECT a.tree, a.level, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS before, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS after
+  FROM {name} a JOIN {name} b ON a.tree = b.tree AND a.level = b.level AND a.pos // 8 = b.pos // 8 WHERE a.n > 1 GROUP BY 1, 2, 3)"""
+
+
+OP12 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf('text')} AS digest,
+  CASE WHEN {_CRC} % 3 = 0 THEN {_leaf(f"translate(text, '{_UP}', '{_LOW}')")} ELSE {_leaf('text')} END AS given FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos FROM d),
+{_tree('t', 'leaves', 'tree')},
+subroots AS (SELECT tree AS lang_tree, digest, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos FROM t WHERE n = 1),
+{_tree('u', 'subroots', "'^'")},
+steps AS (SELECT tree, level, pos, before, after FROM t_steps UNION ALL
+  SELECT lang_tree, 100 + level, s.pos, before, after FROM subroots s JOIN u_steps x ON x.pos = s.pos >> (3 * level)),
+way AS (SELECT doc_id, l.pos AS own, l.tree, list(s.before ORDER BY s.level) AS before, list(s.after ORDER BY s.level) AS after
+  FROM leaves l LEFT JOIN steps s ON s.tree = l.tree AND s.pos = CASE WHEN s.level >= 100 THEN s.pos ELSE l.pos >> (3 * s.level) END GROUP BY 1, 2, 3),
+folds AS (SELECT tree, pos, 1 AS step, given AS node FROM leaves
+  UNION ALL SELECT f.tree, f.pos, step + 1, sha256(before[step] || node || after[step]) FROM folds f JOIN way w ON w.tree = f.tree AND w.own = f.pos WHERE before[step] IS NOT NULL),
+ends AS (SELECT tree, pos, arg_max(node, step) AS folded_root FROM folds GROUP BY 1, 2),
+top AS (SELECT digest AS root FROM u WHERE n = 1)
+SELECT l.doc_id, l.digest AS leaf, s.digest AS subroot, root, sha256(coalesce(array_to_string(list_transform(range(1, len(before) + 1), lambda i: coalesce(before[i] || after[i], '')), ''), '')) AS proof_sha256,
+  folded_root, folded_root = root AS verified
+FROM leaves l JOIN way w ON w.tree = l.tree AND w.own = l.pos JOIN ends e ON e.tree = l.tree AND e.pos = l.pos JOIN subroots s ON s.lang_tree = l.tree, top
+"""
+
+OP13 = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
+k AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS keep_id,
+  count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM k
+"""
+
 SQL = {
     "op1_benchmark_decontamination": OP1,
     "op4_quality_rules": OP4,
     "op5_odd_sketch_near_duplicates": OP5,
     "op9_source_mixing": OP9,
+    "op12_merkle_manifest": OP12,
+    "op13_digest_index": OP13,
 }
