@@ -16,9 +16,11 @@ documents of their own. Empty tables give empty results. Only `doc_id` and `text
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +28,6 @@ from tokenizers import Tokenizer
 
 from tallyloom.llm.common import schema_of
 from tallyloom.llm.token_counts import byte_symbols
-from tallyloom.llm.token_files import slices
 from tallyloom.session import durable
 
 #: Pairs every task holds in memory at most, and one in how many documents makes a pair common.
@@ -35,6 +36,9 @@ COMMON = 1000
 #: Pair keys held by a counting task before they are summed.
 _HELD = 2_000_000
 _SMALL = 64
+#: Bytes of text aligned at a time, but for a longer text, and units encoded at a time.
+_SLICE_BYTES = 1_500_000
+_BLOCK = 4096
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -72,15 +76,37 @@ class Pair:
 
     def align(self, units: list[str]) -> Units:
         """The groups of each unit, a text that begins with the blank both tokenizers see ahead of it."""
-        a_ids = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
-        b_ids = self.b.encode([u[1:] for u in units], num_threads=1)
-        good = np.zeros(len(units), bool)
-        for i, unit in enumerate(units):
-            raw = unit.encode()
-            good[i] = len(raw) > 1 and raw == b"".join(map(self.a_bytes.__getitem__, a_ids[i])) == b"".join(map(self.b_bytes.__getitem__, b_ids[i]))
-            if not good[i]:
-                a_ids[i] = b_ids[i] = []
-        return Units(self, good, a_ids, b_ids)
+        good, a_parts, b_parts = [], [], []
+        for first in range(0, len(units), _BLOCK):  # the libraries' own objects live for a block
+            block = units[first:first + _BLOCK]
+            raw = [u.encode() for u in block]
+            a, a_n = _flat([e.ids for e in self.a.encode_batch_fast(block, add_special_tokens=False)])
+            b, b_n = _flat(self.b.encode([u[1:] for u in block], num_threads=1))
+            fine = _spells(self.a_bytes, self.a_size, a, a_n, raw) & _spells(self.b_bytes, self.b_size, b, b_n, raw)
+            fine &= np.fromiter(map(len, raw), np.int64, len(raw)) > 1
+            good.append(fine)
+            a_parts.append((a[np.repeat(fine, a_n)], np.where(fine, a_n, 0)))
+            b_parts.append((b[np.repeat(fine, b_n)], np.where(fine, b_n, 0)))
+        return Units(self, _joined(good, bool), *[_joined(part, np.int64) for parts in (a_parts, b_parts) for part in (zip(*parts) if parts else ((), ()))])
+
+
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.int64, int(lengths.sum())), lengths
+
+
+def _joined(parts, kind) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *parts])
+
+
+def _spells(table: list[bytes], sizes: np.ndarray, ids: np.ndarray, lengths: np.ndarray, raw: list[bytes]) -> np.ndarray:
+    """Which units are spelled by their tokens; a block that is right as a whole needs no look at each."""
+    same = sums(sizes[ids], lengths) == np.fromiter(map(len, raw), np.int64, len(raw))
+    words = list(map(table.__getitem__, ids.tolist()))
+    if same.all() and b"".join(words) == b"".join(raw):
+        return same
+    ends = np.cumsum(lengths).tolist()
+    return np.array([b"".join(words[end - n:end]) == unit for end, n, unit in zip(ends, lengths.tolist(), raw)], bool)
 
 
 def a_spelling(a: Tokenizer) -> list[bytes]:
@@ -115,12 +141,8 @@ def identity_map(a_bytes: list[bytes], b_bytes: list[bytes]) -> np.ndarray:
 class Units:
     """Aligned units: per unit its counts, its text of groups, its one-to-one A ids, its other pairs."""
 
-    def __init__(self, pair: Pair, good: np.ndarray, a_ids: list[list[int]], b_ids: list[list[int]]):
-        self.good = good
-        self.n_a = np.array(list(map(len, a_ids)), np.int64)
-        self.n_b = np.array(list(map(len, b_ids)), np.int64)
-        a = np.fromiter((i for ids in a_ids for i in ids), np.int64, int(self.n_a.sum()))
-        b = np.fromiter((i for ids in b_ids for i in ids), np.int64, int(self.n_b.sum()))
+    def __init__(self, pair: Pair, good: np.ndarray, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray):
+        self.good, self.n_a, self.n_b = good, n_a, n_b
         # all units in a row: tokens end at places of one line of bytes
         a_end, b_end = np.cumsum(pair.a_size[a]), np.cumsum(pair.b_size[b])
         cuts = np.intersect1d(a_end, b_end, assume_unique=True)
@@ -271,8 +293,13 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     def run(batches):
         pair = pair_of(a_path, b_path)
-        for names, texts in slices(batches):
-            yield align_slice(pair, names, texts.to_pylist(), fields)
+        for batch in batches:
+            size = pc.binary_length(batch.column("text")).to_numpy()
+            part = (np.cumsum(size) - size) // _SLICE_BYTES
+            edges = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(part)]
+            for first, end in zip(edges, edges[1:]):
+                rows = batch.slice(first, end - first)
+                yield align_slice(pair, rows.column("doc_id"), rows.column("text").to_pylist(), fields)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return durable(rows.mapInArrow(run, ALIGNED).withColumn("row", F.monotonically_increasing_id()), "aligned")
