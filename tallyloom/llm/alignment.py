@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyloom.llm.common import schema_of
+from tallyloom.llm.common import held_by_worker, schema_of
 from tallyloom.llm.token_counts import byte_symbols
 from tallyloom.session import durable
 
@@ -36,9 +36,11 @@ COMMON = 1000
 #: Pair keys held by a counting task before they are summed.
 _HELD = 2_000_000
 _SMALL = 64
+#: Units a worker remembers before it starts anew.
+_UNITS = 250_000
 #: Bytes of text aligned at a time, but for a longer text, and units encoded at a time.
 _SLICE_BYTES = 1_500_000
-_BLOCK = 4096
+_BLOCK = 8192
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -69,10 +71,23 @@ class Pair:
         marks = (",", "|", ";")
         self.marked = [f"{i}{mark}".encode() for mark in marks for i in range(most)]
         self.most = most
-        self.paths = a_path, b_path
-
-    def __reduce__(self):
-        return Pair, self.paths  # a pickled tokenizer forgets how it treats special strings
+        self.slots: dict[str, int] = {}
+        self.units: Units | None = None
+
+    def known(self, units: list[str]) -> Units:
+        """The units met so far, those of the list among them at their `slots`.
+
+        More than so many are dropped before a slice; that bounds memory, never results.
+        """
+        if len(self.slots) > _UNITS:
+            self.slots, self.units = {}, None
+        fresh = [u for u in dict.fromkeys(units) if u not in self.slots]
+        if fresh or self.units is None:
+            fresh.sort(key=lone, reverse=True)
+            self.slots.update(zip(fresh, range(len(self.slots), len(self.slots) + len(fresh))))
+            found = self.align(fresh)
+            self.units = found if self.units is None else self.units.extended(found)
+        return self.units
 
     def align(self, units: list[str]) -> Units:
         """The groups of each unit, a text that begins with the blank both tokenizers see ahead of it."""
@@ -80,7 +95,7 @@ class Pair:
         for first in range(0, len(units), _BLOCK):  # the libraries' own objects live for a block
             block = units[first:first + _BLOCK]
             raw = [u.encode() for u in block]
-            a, a_n = _flat([e.ids for e in self.a.encode_batch_fast(block, add_special_tokens=False)])
+            a, a_n = self._a_ids(block, raw)
             b, b_n = _flat(self.b.encode([u[1:] for u in block], num_threads=1))
             fine = _spells(self.a_bytes, self.a_size, a, a_n, raw) & _spells(self.b_bytes, self.b_size, b, b_n, raw)
             fine &= np.fromiter(map(len, raw), np.int64, len(raw)) > 1
@@ -89,6 +104,21 @@ class Pair:
             b_parts.append((b[np.repeat(fine, b_n)], np.where(fine, b_n, 0)))
         return Units(self, _joined(good, bool), *[_joined(part, np.int64) for parts in (a_parts, b_parts) for part in (zip(*parts) if parts else ((), ()))])
 
+    def _a_ids(self, block: list[str], raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units and how many each has; units that end at borders are encoded in one text."""
+        if all(map(lone, block)):
+            ids = np.array(self.a.encode_batch_fast(["".join(block)], add_special_tokens=False)[0].ids, np.int64)
+            ends, want = np.cumsum(self.a_size[ids]), np.cumsum(list(map(len, raw)))
+            at = np.searchsorted(ends, want)
+            if at[-1] == len(ends) - 1 and (ends[at] == want).all():
+                return ids, np.diff(at, prepend=-1)
+        return _flat([e.ids for e in self.a.encode_batch_fast(block, add_special_tokens=False)])
+
+
+def lone(unit: str) -> bool:
+    """Whether a unit's only blank is the one ahead of a non-blank."""
+    return len(unit) > 1 and unit.rfind(" ") == 0
+
 
 def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -158,6 +188,12 @@ class Units:
         self.ident, self.ident_n = a[a_last[one]], np.bincount(owner[one], minlength=len(good))
         self._pairs(a, b, a_last, b_last, p, q, owner, ~one)
 
+    def extended(self, more: Units) -> Units:
+        for name, own in vars(self).items():
+            new = getattr(more, name)
+            setattr(self, name, own + new if isinstance(own, list) else np.concatenate((own, new)))
+        return self
+
     def _texts(self, pair, a, b, a_last, b_last, p, q) -> None:
         """`a1,a2|b1;` of each group; a unit's groups are neighbours."""
         codes = np.empty(len(a) + len(b), np.int64)
@@ -213,14 +249,8 @@ def units_of(text: str | None) -> list[str]:
     return (" " + text).replace(" ", "\0 ").split("\0")[1:]
 
 
-_PAIRS: dict[tuple[str, str], Pair] = {}
-
-
 def pair_of(a_path: str, b_path: str) -> Pair:
-    key = a_path, b_path
-    if key not in _PAIRS:
-        _PAIRS[key] = Pair(*key)
-    return _PAIRS[key]
+    return held_by_worker(("aligned pair", a_path, b_path), lambda: Pair(a_path, b_path))
 
 
 ALIGNED = (
@@ -236,13 +266,13 @@ def _lists(values: np.ndarray, owner: np.ndarray, rows: int, kind) -> pa.Array:
 
 def align_slice(pair: Pair, names: pa.Array, texts: list[str | None], fields: pa.Schema) -> pa.RecordBatch:
     """One row per text: its counts, and its links as distinct pairs with their numbers."""
-    known: dict[str, int] = {}
-    slots, lengths = [], []
+    found, lengths = [], []
     for text in texts:
-        found = units_of(text)
-        lengths.append(len(found))
-        slots += [known.setdefault(u, len(known)) for u in found]
-    units = pair.align(list(known))
+        mine = units_of(text)
+        lengths.append(len(mine))
+        found += mine
+    units = pair.known(found)
+    slots = list(map(pair.slots.__getitem__, found))
     slot, size = np.array(slots, np.int64), np.array(lengths, np.int64)
     doc = np.repeat(np.arange(len(texts)), size)
     good = sums(~units.good[slot], size) == 0

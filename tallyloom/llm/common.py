@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,16 @@ class WordCache:
         return now
 
 
+def held_by_worker(key, make: Callable[[], object]):
+    """What `make` gave for a key when this process first asked; task functions, and with them the
+    globals of their modules, are unpickled anew for each task, a module of the interpreter is not."""
+    name = "_tallyloom_worker"
+    held = sys.modules.setdefault(name, ModuleType(name)).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def body(name: str = "text") -> Column:
     """A text column as UTF-8 bytes, null as empty."""
     return F.coalesce(F.col(name).cast("binary"), F.lit(b""))
