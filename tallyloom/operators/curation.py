@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import text as tx
 from tallyloom.functions.stats import count_where, order_statistics, quantile_position, ratio, upper_median_position
 from tallyloom.operators.similarity import (
-    best_similarity, fold_identical, nearly_repeated, shingle_sets, similar_pairs, token_order,
+    best_similarity, fold_identical, nearly_repeated, shingle_sets, similar_pairs,
 )
 from tallyloom.session import durable
 
@@ -78,9 +78,15 @@ def exact_dedupe(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     return df.join(exact_duplicates(df, key, columns).select(key), key, "left_anti")
 
 
-def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = NEAR_DUPLICATE_THRESHOLD, n: int = 3, unit: str = "word") -> DataFrame:
+def shingle_table(df: DataFrame, key: str, text: str, n: int = 3, unit: str = "word") -> DataFrame:
+    """The rows' shingle sets, written down for several operators to share (their `sets`)."""
+    return durable(shingle_sets(df, key, text, n, unit), "sets")
+
+
+def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = NEAR_DUPLICATE_THRESHOLD, n: int = 3, unit: str = "word", sets: DataFrame | None = None) -> DataFrame:
     """Keys of rows at least `threshold` alike (n-gram Jaccard) to a row with a smaller key."""
-    return nearly_repeated(shingle_sets(df, key, text, n, unit), threshold).withColumnRenamed("id", key)
+    sets = shingle_table(df, key, text, n, unit) if sets is None else sets
+    return nearly_repeated(sets, threshold).withColumnRenamed("id", key)
 
 
 def near_dedupe(df: DataFrame, key: str, text: str, threshold: float = NEAR_DUPLICATE_THRESHOLD, n: int = 3, unit: str = "word") -> DataFrame:
@@ -133,15 +139,15 @@ def acceptance_layers(layers: dict[str, DataFrame], key: str, text: str) -> Data
     return reduce(DataFrame.unionByName, stacked)
 
 
-def contaminated(train: DataFrame, key: str, text: str, acceptance: DataFrame, threshold: float = CONTAMINATION_THRESHOLD, n: int = 3, unit: str = "word") -> DataFrame:
+def contaminated(train: DataFrame, key: str, text: str, acceptance: DataFrame, threshold: float = CONTAMINATION_THRESHOLD, n: int = 3, unit: str = "word", sets: DataFrame | None = None) -> DataFrame:
     """(layer, key) of every training row at least `threshold` alike to an item of the layer."""
-    rows, members, items, order = _sides(train, key, text, acceptance, n, unit)
-    hits = similar_pairs(rows, items, order, threshold, "layer").select("layer", F.col("id_l").alias("rep")).distinct()
+    rows, members, items = _sides(train, key, text, acceptance, n, unit, sets)
+    hits = similar_pairs(rows, items, threshold, "layer").select("layer", F.col("id_l").alias("rep")).distinct()
     return members.join(hits, "rep").select("layer", F.col("id").alias(key))
 
 
-def _sides(train, key, text, acceptance, n, unit):
-    sets = durable(shingle_sets(train, key, text, n, unit), "train")
+def _sides(train, key, text, acceptance, n, unit, sets=None):
+    sets = shingle_table(train, key, text, n, unit) if sets is None else sets
     rows, members = fold_identical(sets)
     items = (
         acceptance.select("layer", F.col("item").alias("id"), tx.shingles(F.col("text"), n, unit).alias("toks"))
@@ -149,7 +155,7 @@ def _sides(train, key, text, acceptance, n, unit):
     )
     items, _ = fold_identical(items, "layer")
     rows = durable(rows, "rows")
-    return rows, members, durable(items, "items"), token_order(rows)
+    return rows, members, durable(items, "items")
 
 
 def decontaminate(train: DataFrame, key: str, text: str, layers: dict[str, DataFrame], item_key: str, item_text: str, threshold: float = CONTAMINATION_THRESHOLD, n: int = 3, unit: str = "word") -> tuple[DataFrame, DataFrame]:
@@ -158,12 +164,12 @@ def decontaminate(train: DataFrame, key: str, text: str, layers: dict[str, DataF
     `stats` has one row per layer with dropped (zero written out) and the largest Jaccard left.
     """
     acceptance = acceptance_layers(layers, item_key, item_text)
-    rows, members, items, order = _sides(train, key, text, acceptance, n, unit)
-    hits = similar_pairs(rows, items, order, threshold, "layer").select("layer", F.col("id_l").alias("rep")).distinct()
+    rows, members, items = _sides(train, key, text, acceptance, n, unit)
+    hits = similar_pairs(rows, items, threshold, "layer").select("layer", F.col("id_l").alias("rep")).distinct()
     bad = durable(members.join(hits, "rep").select("layer", F.col("id").alias(key)), "bad")
     clean = train.join(bad.select(key).distinct(), key, "left_anti")
     kept = rows.join(hits.select(F.col("rep").alias("id")).distinct(), "id", "left_anti")
-    left = best_similarity(kept, items, order, "layer")
+    left = best_similarity(kept, items, "layer")
     dropped = bad.groupBy("layer").agg(F.count("*").alias("dropped"))
     names = train.sparkSession.createDataFrame([(name,) for name in layers], "layer string")
     stats = names.join(dropped, "layer", "left").join(left, "layer", "left").select(
@@ -173,10 +179,10 @@ def decontaminate(train: DataFrame, key: str, text: str, layers: dict[str, DataF
     return clean, stats
 
 
-def contamination_check(sample: DataFrame, key: str, text: str, layers: dict[str, DataFrame], item_key: str, item_text: str, threshold: float = CONTAMINATION_THRESHOLD) -> DataFrame:
+def contamination_check(sample: DataFrame, key: str, text: str, layers: dict[str, DataFrame], item_key: str, item_text: str, threshold: float = CONTAMINATION_THRESHOLD, sets: DataFrame | None = None) -> DataFrame:
     """Overlap of a sample with each acceptance layer; reports only, drops nothing."""
     acceptance = acceptance_layers(layers, item_key, item_text)
-    found = contaminated(sample, key, text, acceptance, threshold)
+    found = contaminated(sample, key, text, acceptance, threshold, sets=sets)
     per = found.groupBy("layer").agg(F.countDistinct(key).alias("n_overlapping"))
     names = sample.sparkSession.createDataFrame([(name,) for name in layers], "layer string")
     return names.join(per, "layer", "left").withColumn("n_overlapping", F.coalesce("n_overlapping", F.lit(0)))
@@ -220,8 +226,9 @@ def readiness_audit(df: DataFrame, key: str, text: str, label: str, layers: dict
         count_where(F.col(label).isNotNull()).alias("n_verifiable"),
         count_where(pii > 0).alias("n_with_pii"),
     ).withColumn("_one", F.lit(1))
-    near = near_duplicates(df, key, text).agg(F.count("*").alias("n_near_duplicates")).withColumn("_one", F.lit(1))
-    dirty = contamination_check(df, key, text, layers, item_key, item_text).agg(
+    sets = shingle_table(df, key, text)
+    near = near_duplicates(df, key, text, sets=sets).agg(F.count("*").alias("n_near_duplicates")).withColumn("_one", F.lit(1))
+    dirty = contamination_check(df, key, text, layers, item_key, item_text, sets=sets).agg(
         F.sum("n_overlapping").alias("n_contaminated")).withColumn("_one", F.lit(1))
     one = facts.join(near, "_one").join(dirty, "_one").drop("_one")
     gap = lambda cond, name: F.when(cond, F.lit(name))

@@ -214,8 +214,9 @@ def funnel(spark, sf):
     """Exact copies, near copies, benchmark overlap, then unscored or low-quality rows."""
     rows = docs(spark, sf).select("doc_id", "text")
     exact = curation.exact_duplicates(rows, "doc_id", ["text"]).select("doc_id")
-    near = curation.near_duplicates(rows, "doc_id", "text", 0.9)
-    dirty = curation.contaminated(rows, "doc_id", "text", curation.acceptance_layers(layers(spark, sf), "item_id", "text"), 0.3).select("doc_id")
+    sets = curation.shingle_table(rows, "doc_id", "text")
+    near = curation.near_duplicates(rows, "doc_id", "text", 0.9, sets=sets)
+    dirty = curation.contaminated(rows, "doc_id", "text", curation.acceptance_layers(layers(spark, sf), "item_id", "text"), 0.3, sets=sets).select("doc_id")
     scored = _scores(spark, sf).where("score >= 4").select("doc_id")
     poor = rows.select("doc_id").join(scored, "doc_id", "left_anti")
     return curation.curation_funnel(rows, "doc_id", [("exact duplicates", exact), ("near duplicates", near), ("decontamination", dirty), ("quality", poor)])

@@ -70,6 +70,60 @@ def test_lexical_topk(spark):
         assert [i for _, i in sorted(have.get(q, []))] == [i for _, i in ranked]
 
 
+@pytest.mark.parametrize("lists", [1, 3, 64])
+def test_top_similar_with_short_and_long_lists(spark, lists):
+    """Copies, shared sentences and ties, whatever counts as a long list."""
+    docs = corpus(21, 120) + [(500 + i, t) for i, t in corpus(21, 40)] + [(700, "all rights reserved by the owner of this text")]
+    queries = [(i, t) for i, t in corpus(22, 12)] + [(90, corpus(21)[0][1]), (91, "all rights reserved by the owner"), (92, "nothing like it"), (93, "")]
+    sets = {i: grams(t) for i, t in docs}
+    make = lambda rows: similarity.shingle_sets(spark.createDataFrame(rows, "id int, text string"), "id", "text")
+    got = {}
+    for r in similarity.top_similar(make(queries), make(docs), 6, lists).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id, r.jaccard))
+    for q, t in queries:
+        want = sorted((-jaccard(grams(t), s), i) for i, s in sets.items() if grams(t) & s)[:6]
+        assert [(i, j) for _, i, j in sorted(got.get(q, []))] == [(i, -j) for j, i in want]
+    best = similarity.best_similarity(make(docs), make(queries).selectExpr("*", "id % 3 AS layer"), "layer", lists).collect()
+    for r in best:
+        assert r.max_jaccard == max((jaccard(grams(t), s) for q, t in queries if q % 3 == r.layer for s in sets.values()), default=0.0)
+
+
+def test_a_shared_sentence_does_not_pair_all(spark):
+    """100 queries and 1,200 documents that share a sentence: 120,000 pairs share tokens, few are scored."""
+    rng = random.Random(5)
+    sentence = "this document was provided by the committee for public use only"
+    made = lambda first, n: [(first + i, " ".join(str(rng.randrange(3000)) for _ in range(rng.randrange(5, 60))) + " " + sentence) for i in range(n)]
+    docs, queries = made(0, 1200), made(5000, 100)
+    make = lambda rows: similarity.shingle_sets(spark.createDataFrame(rows, "id int, text string"), "id", "text")
+    found = similarity.search(make(queries), make(docs), 5)
+    assert found.pairs.count() + found.combined.count() < 12_000
+    sets, got = {i: grams(t) for i, t in docs}, {}
+    for r in found.rows.collect():
+        got.setdefault(r.group, set()).add((r.id, r.jaccard))
+    for q, t in queries[:30]:
+        want = sorted((-jaccard(grams(t), s), i) for i, s in sets.items())[:5]
+        assert got[q] == {(i, -j) for j, i in want}
+
+
+def test_boilerplate_gives_no_candidates(spark):
+    """Sets that share 1,000 frequent shingles and little else are not compared."""
+    rng = random.Random(6)
+    boiler = " ".join(f"b{i}" for i in range(1002))
+    rows = []
+    for i in range(60):
+        own = " ".join(f"w{rng.randrange(10**6)}" for _ in range(500))
+        rows.append((i, f"{own} {boiler}"))
+    for i in range(20):  # true pairs: a word of the own text is another
+        words = rows[i][1].split(" ")
+        words[rng.randrange(400)] = "other"
+        rows.append((100 + i, " ".join(words)))
+    sets = similarity.shingle_sets(spark.createDataFrame(rows, "id int, text string"), "id", "text")
+    order = similarity.ranked(sets, similarity.frequencies(sets))
+    pairs = similarity.candidates(order, order, 0.8).where("id_l < id_r")
+    assert 20 <= pairs.count() <= 40
+    assert {r.id for r in similarity.nearly_repeated(sets, 0.8).collect()} == {100 + i for i in range(20)}
+
+
 def test_vector_topk_in_blocks(spark):
     rng = np.random.RandomState(1)
     base, asks = rng.randn(70, 8), rng.randn(25, 8)
