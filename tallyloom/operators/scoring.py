@@ -84,12 +84,17 @@ def score_report(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     Held-out and intact-prompt figures are null when nothing was measured; the headline rates
     read 0 over 0 as 0.
     """
+    return score_rates(score_counts(scored, keys))
+
+
+def score_counts(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The counts the report is made of; counts of parts of a run add up."""
     solved, known = F.col("solved"), F.col("solved").isNotNull()
     held = F.col("heldout_solved").isNotNull()
     cut = F.coalesce("prompt_truncated", F.lit(False)) & (F.col("status") != "no_matching_val_row")
     bad_format = F.col("status").isin("no_transform_emitted", "unparseable_code")
     valid = F.col("status") != "no_matching_val_row"
-    sums = scored.groupBy(*keys).agg(
+    return scored.groupBy(*keys).agg(
         F.count("*").alias("n_generations"),
         count_where(known).alias("n_scored"),
         count_where(valid & ~bad_format).alias("n_format_valid"),
@@ -103,6 +108,10 @@ def score_report(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         count_where(held & solved).alias("_shown_in_subset"),
         count_where(solved & (F.col("heldout_solved") == False)).alias("n_solved_shown_only"),  # noqa: E712
     )
+
+
+def score_rates(sums: DataFrame) -> DataFrame:
+    """The score report of counts."""
     rate = lambda a, b: F.when(F.col(b) != 0, F.col(a) / F.col(b)).otherwise(0.0)
     intact = F.col("n_scored") - F.col("n_prompt_truncated")
     held_rate = ratio(F.col("n_heldout_solved"), F.col("n_heldout_scored"))

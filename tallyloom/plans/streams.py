@@ -28,6 +28,10 @@ VIEWS.update({
         "cost_usd": "l_extendedprice", "settlement": "CASE WHEN l_linestatus = 'F' THEN 'settled' ELSE 'provisional' END", "delay_days": "CAST(l_linenumber AS INTEGER)",
     }),
 })
+VIEWS.update({
+    "protocol_events": ("events", {"ts": "ts", **VIEWS["protocol"][1]}),
+    "executed_events": ("lineitem", {"ts": "l_shipdate", **VIEWS["executed"][1]}),
+})
 CUT = "(SELECT max(ts) - INTERVAL 1 HOUR FROM {})"
 
 
@@ -59,12 +63,14 @@ def ledger(spark, sf):
 
 
 def counters(spark, sf):
-    out = jobs.drain_complete(jobs.protocol_counters(stream(spark, sf, "protocol"), "arrival"), "counters")
-    return out.select("run_id", "stage", "task", "epoch", "turns", "arrival")
+    path, rows = fresh_path(spark, "counters"), stream(spark, sf, "protocol_events")
+    jobs.protocol_counters(rows, "arrival", path, DELAY)
+    return spark.read.schema(rows.schema).parquet(path).select("run_id", "stage", "task", "epoch", "turns", "arrival")
 
 
 def attribution(spark, sf):
-    return jobs.stage_attribution(stream(spark, sf, "history"), "stages", F.floor(F.col("event_id") / 2000))
+    found = jobs.stage_attribution(stream(spark, sf, "history"), DELAY, 30 * 86400.0)
+    return jobs.drain_to_table(found, "stages")
 
 
 def unanswered(spark, sf):
@@ -85,7 +91,9 @@ def sessions(spark, sf):
 
 
 def scores(spark, sf):
-    return jobs.drain_complete(jobs.score_stream(scoring.score_rows(stream(spark, sf, "executed")), ["run"]), "scores")
+    path, rows = fresh_path(spark, "scores"), scoring.score_rows(stream(spark, sf, "executed_events"))
+    jobs.score_counts(rows, ["run"], ["task_id", "sample_idx"], path, DELAY)
+    return jobs.read_scores(rows, ["run"], path)
 
 
 def _gaps(name: str, where: str, key: str, gap_s: int) -> str:

@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tallyloom.operators import actuals, scoring, telemetry
-from tallyloom.session import durable, fresh_path
+from tallyloom.operators import scoring, telemetry
+from tallyloom.session import fresh_path
+from tallyloom.streaming.tables import BUCKET, KeyedTable, bucket_of
 
 SEGMENTS = "key string, first_s double, last_s double, ended boolean, at timestamp"
 SILENCE = "key string, action string, silent_since_s double, deadline_s double, n int"
@@ -25,31 +26,27 @@ NO_CAP = 1 << 30
 
 # ---- running a job -----------------------------------------------------------------------
 
-def drain_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Run an append-mode stream over what is available and return what it wrote."""
+def drain_to_table(stream: DataFrame, name: str, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Run an append-mode stream over what is available and return what it wrote.
+
+    With `path` and `checkpoint` a later call goes on where this one ended.
+    """
     spark = stream.sparkSession
-    path = fresh_path(spark, name)
+    path = path or fresh_path(spark, name)
     query = (
         stream.writeStream.format("parquet").outputMode("append")
-        .option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start(path))
+        .option("checkpointLocation", checkpoint or f"{path}-checkpoint").trigger(availableNow=True).start(path))
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def drain_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], name: str, mode: str = "append", checkpoint: str | None = None) -> None:
-    spark = stream.sparkSession
+def drain_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> list:
+    """Run a stream over what is available, batch by batch; its progress reports."""
     query = (
-        stream.writeStream.foreachBatch(each).outputMode(mode)
-        .option("checkpointLocation", checkpoint or fresh_path(spark, f"{name}-checkpoint")).trigger(availableNow=True).start())
+        stream.writeStream.foreachBatch(each).outputMode("append")
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
-
-
-def drain_complete(stream: DataFrame, name: str) -> DataFrame:
-    """Run a complete-mode stream; every batch replaces the whole result."""
-    spark = stream.sparkSession
-    path = fresh_path(spark, name)
-    drain_batches(stream, lambda df, _: df.write.mode("overwrite").parquet(path), name, "complete")
-    return spark.read.schema(stream.schema).parquet(path)
+    return list(query.recentProgress)
 
 
 # ---- silence: liveness and missing invocations -------------------------------------------
@@ -171,70 +168,139 @@ def unanswered_pages(pages: DataFrame, answers: DataFrame, delay: str, within: s
 
 # ---- folds over tables -------------------------------------------------------------------
 
-def protocol_counters(rows: DataFrame, arrival: str) -> DataFrame:
-    """Running form of the monotonic upsert; replays and late smaller counters change nothing."""
-    return telemetry.monotonic_upsert(rows, arrival)
+PROTOCOL_KEYS = ("run_id", "stage", "task", "epoch")
+BUCKETS = 32
 
 
-def score_stream(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """The score report of whatever part of a run has arrived."""
-    return scoring.score_report(scored, keys)
+def _once(rows: DataFrame, identity: Sequence[str], delay: str) -> DataFrame:
+    """Rows without repeats of their identity; what is remembered leaves `delay` after its time."""
+    return rows.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(identity))
 
 
-LEDGER = "run_id bigint, category string, cost_usd double, settlement string, read_on date, project string, period date"
+def _ddl(rows: DataFrame, *more: str) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), *more])
 
 
-def settle_ledger(bills: DataFrame, path: str, name: str = "ledger", checkpoint: str | None = None) -> None:
-    """Keep, per (project, period), the rows of its newest read; rerunning a batch changes nothing.
+def protocol_counters(rows: DataFrame, arrival: str, path: str, delay: str, checkpoint: str | None = None, keys: Sequence[str] = PROTOCOL_KEYS, buckets: int = BUCKETS) -> list:
+    """Running form of the monotonic upsert into a table: the changed keys' buckets are merged.
 
-    `bills`: project, period, run_id, category, cost_usd, settlement, read_on. Each batch reads the
-    partitions it touches, so rows of one read may come in several batches and an older read that
-    comes late replaces nothing. With `checkpoint` a later call goes on where this one ended.
+    `rows` hold `ts`, the keys, `turns` and `arrival`. Replays and late smaller counters change
+    nothing. The stream remembers counters of `delay` only; a row older than the newest by more
+    than that is dropped. With `checkpoint` a later call goes on where this one ended.
     """
-    columns = [c.split()[0] for c in LEDGER.split(", ")]
+    table = KeyedTable(rows.sparkSession, path, _ddl(rows, f"{BUCKET} int"), [BUCKET])
+    checkpoint = checkpoint or fresh_path(rows.sparkSession, "counters-checkpoint")
+    best = lambda df: telemetry.monotonic_upsert(df, arrival, keys).withColumn(BUCKET, bucket_of(keys, buckets))
 
     def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = durable(batch.select(*columns), f"{name}-batch")
-        touched = new.select("project", "period").distinct()
-        try:
-            known = spark.read.schema(LEDGER).parquet(path).join(touched, ["project", "period"], "left_semi")
-        except AnalysisException:  # the first batch finds no ledger
-            known = spark.createDataFrame([], LEDGER)
-        rows = known.select(*columns).unionByName(new)
-        latest = rows.groupBy("project", "period").agg(F.max("read_on").alias("read_on"))
-        kept = rows.join(latest, ["project", "period", "read_on"], "left_semi").select(*columns)
-        # what is replaced is read first, so the result is written apart before it takes its place
-        actuals.write_actuals(durable(kept, f"{name}-settled"), path)
-
-    drain_batches(bills, each, name, checkpoint=checkpoint)
-
-
-def stage_attribution(history: DataFrame, name: str, chunk: Column) -> DataFrame:
-    """Attribute failures to the state last entered, across batches.
-
-    `history`: execution, event_id, kind, state, error. The state kept between batches is one row
-    per execution in a table written per batch, so a replayed batch starts from the same state.
+        table.merge(best(batch), number, checkpoint, lambda known, new: best(known.unionByName(new).drop(BUCKET)))
+
+    return drain_batches(_once(rows, [*keys, "turns", arrival], delay), each, checkpoint)
+
+
+def score_counts(scored: DataFrame, keys: Sequence[str], identity: Sequence[str], path: str, delay: str, checkpoint: str | None = None, buckets: int = BUCKETS) -> list:
+    """Add up a run's score counts as its rows arrive; `read_scores` gives the report so far.
+
+    `scored` holds `ts`. Rows of one `identity` count once while it is remembered, for `delay`;
+    an older row than that is dropped. A batch that is run again is not added twice.
     """
-    spark = history.sparkSession
-    root = fresh_path(spark, name)
-    state_schema = "execution bigint, event_id bigint, kind string, state string, error string"
+    spark, keys = scored.sparkSession, list(keys)
+    empty = scoring.score_counts(spark.createDataFrame([], scored.schema), keys)
+    table = KeyedTable(spark, path, _ddl(empty, f"{BUCKET} int"), [BUCKET])
+    checkpoint = checkpoint or fresh_path(spark, "scores-checkpoint")
+    sums = [c for c in empty.columns if c not in keys]
 
     def each(batch: DataFrame, number: int) -> None:
-        cols = ["execution", "event_id", "kind", "state", "error"]
-        known = spark.createDataFrame([], state_schema)
-        if number > 0:
-            known = spark.read.schema(state_schema).parquet(f"{root}/state/{number - 1}")
-        rows = batch.select(*cols).withColumn("_new", F.lit(True)).unionByName(
-            known.withColumn("_new", F.lit(False)))
-        placed = telemetry.attribute_errors(rows, chunk)
-        out = placed.where("_new AND kind IN ('failed', 'timed_out')").select(
-            "execution", "event_id", "current_state", "error")
-        out.write.mode("overwrite").parquet(f"{root}/out/{number}")
-        entered = rows.where("kind = 'entered'").groupBy("execution").agg(
-            F.max_by(F.struct("event_id", "kind", "state", "error"), "event_id").alias("r")).select("execution", "r.*")
-        entered.write.mode("overwrite").parquet(f"{root}/state/{number}")
-
-    drain_batches(history, each, name)
-    return spark.read.schema("execution bigint, event_id bigint, current_state string, error string").option(
-        "recursiveFileLookup", True).parquet(f"{root}/out")
+        new = scoring.score_counts(batch, keys).withColumn(BUCKET, bucket_of(keys or [F.lit(0)], buckets))
+        table.merge(new, number, checkpoint, lambda known, more: known.unionByName(more).groupBy(*keys, BUCKET).agg(*[F.sum(c).alias(c) for c in sums]))
+
+    return drain_batches(_once(scored, identity, delay), each, checkpoint)
+
+
+def read_scores(scored: DataFrame, keys: Sequence[str], path: str) -> DataFrame:
+    """The score report of the counts that `score_counts` has written; `scored` gives the columns."""
+    spark = scored.sparkSession
+    empty = scoring.score_counts(spark.createDataFrame([], scored.schema), keys)
+    table = KeyedTable(spark, path, _ddl(empty, f"{BUCKET} int"), [BUCKET])
+    return scoring.score_rates(table.read().drop(BUCKET))
+
+
+LEDGER = "run_id bigint, category string, cost_usd double, settlement string, read_on date, job string, origin string, project string, period date"
+
+
+def settle_ledger(bills: DataFrame, path: str, name: str = "ledger", checkpoint: str | None = None) -> list:
+    """Keep, per (project, period), the rows of its newest read.
+
+    `bills`: project, period, run_id, category, cost_usd, settlement, read_on. Rows of one read may
+    come in several batches, and an older read that comes late replaces nothing. Batches run again
+    change nothing. With `checkpoint` a later call goes on where this one ended. Without it a call
+    reads its whole input again, so in what it touches it replaces what earlier calls of the same
+    `name` wrote; sources of different names share the ledger.
+    """
+    columns = [c.split()[0] for c in LEDGER.split(", ")]
+    given = [c for c in columns if c not in ("job", "origin")]
+    table = KeyedTable(bills.sparkSession, path, LEDGER, ["project", "period"])
+    checkpoint = checkpoint or fresh_path(bills.sparkSession, f"{name}-checkpoint")
+    again = F.col("job").eqNullSafe(name) & ~F.col("origin").eqNullSafe(checkpoint)
+
+    def newest(known: DataFrame, new: DataFrame) -> DataFrame:
+        rows = known.where(~again).unionByName(new)
+        latest = rows.groupBy(F.col("project").alias("_p"), F.col("period").alias("_d")).agg(F.max("read_on").alias("_read"))
+        same = F.col("project").eqNullSafe(F.col("_p")) & F.col("period").eqNullSafe(F.col("_d")) & F.col("read_on").eqNullSafe(F.col("_read"))
+        return rows.join(latest, same, "left_semi")
+
+    def each(batch: DataFrame, number: int) -> None:
+        tagged = batch.select(*given).withColumns({"job": F.lit(name), "origin": F.lit(checkpoint)})
+        table.merge(tagged.select(*columns), number, checkpoint, newest)
+
+    return drain_batches(bills, each, checkpoint)
+
+
+# ---- a state machine per execution -------------------------------------------------------
+
+FAILURES = "execution bigint, event_id bigint, current_state string, error string"
+
+
+def attribute_step(known: tuple | None, rows: pd.DataFrame) -> tuple[pd.DataFrame, tuple | None]:
+    """(failures with the state entered last before each, the state known afterwards)."""
+    rows = rows.sort_values("event_id", kind="stable")
+    entered, failed = rows[rows["kind"] == "entered"], rows[rows["kind"].isin(["failed", "timed_out"])]
+    ids, states = entered["event_id"].to_numpy(), entered["state"].to_numpy()
+    if known:
+        at = int(np.searchsorted(ids, known[0]))
+        ids, states = np.insert(ids, at, known[0]), np.insert(states, at, known[1])
+    place = np.searchsorted(ids, failed["event_id"].to_numpy(), "right") - 1
+    current = [states[p] if p >= 0 else None for p in place]
+    out = failed[["event_id", "error"]].assign(current_state=current)[["event_id", "current_state", "error"]]
+    return out, ((int(ids[-1]), states[-1]) if len(ids) else None)
+
+
+def stage_attribution(history: DataFrame, delay: str, idle_s: float, ended: Sequence[str] = ("ended",)) -> DataFrame:
+    """Stream of failures with the state their execution had entered last, across batches.
+
+    `history`: execution, event_id, ts, kind, state, error; an execution's events arrive in order
+    but for those of one batch. The state kept is one (event, state) per running execution: it
+    leaves on an event of a kind in `ended`, or when `idle_s` of event time pass without one.
+    A batch's events of one execution are one task's work, so bound batches at the source.
+    """
+    kinds = ["entered", "failed", "timed_out", *ended]
+    rows = history.where(F.col("kind").isin(*kinds)).select("execution", "event_id", "ts", "kind", "state", "error").withWatermark("ts", delay)
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        batch = pd.concat(list(frames))
+        out, known = attribute_step(state.get if state.exists else None, batch)
+        if known is None or batch["kind"].isin(ended).any():
+            if state.exists:
+                state.remove()
+        else:
+            state.update(known)
+            newest = int(batch["ts"].max().timestamp() * 1000 + idle_s * 1000)
+            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs() + 1))
+        if len(out):
+            yield out.assign(execution=key[0])[["execution", "event_id", "current_state", "error"]]
+
+    return rows.groupBy("execution").applyInPandasWithState(
+        step, FAILURES, "event_id long, state string", "append", GroupStateTimeout.EventTimeTimeout)
