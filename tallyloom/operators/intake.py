@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions import text as tx
 from tallyloom.functions.names import session_id
 from tallyloom.functions.stats import count_where, money
 from tallyloom.operators.ordering import newest, newest_overall
@@ -278,23 +280,56 @@ _NAME = "[A-Za-z_][A-Za-z0-9_]*"
 NO_ARGUMENT_CALLS = ("checkpoint",)
 
 
-def _object_pattern(depth: int) -> str:
-    """A brace-balanced object with quoted strings, nested up to `depth`."""
-    string = r'"(?:[^"\\]|\\.)*+"'
-    inner = string
-    for _ in range(depth):
-        inner = rf'(?:{string}|\{{[^{{}}"]*+(?:{inner}[^{{}}"]*+)*+\}})'
-    return rf'\{{[^{{}}"]*+(?:{inner}[^{{}}"]*+)*+\}}'
+# Fixed: the heads of typed calls as agents write them, a closed tag with its parameters, a name
+# with an object in parentheses, a bold name that an object may follow.
+_TAG = r'<invoke\s+name="({0})"\s*>(?=(.*?)</invoke>)'
+_CALL = r"\b({0})\(\s*(?:\*\*)?\s*(?=(\{{.*))"
+_BOLD = r"\*\*({0})\*\*(?=[\s:]*(?:```(?:json)?\s*)?(\{{.*)?)"
+_PARAMETER = rf'(?s)<parameter\s+name="({_NAME})"\s*>\s*(.*?)\s*</parameter>'
+# Everything of a text in pieces: a quoted string (to the end, if it does not close), a brace, the rest.
+_PIECES = r'(?s)"(?:[^"\\]|\\.|\\\z)*+(?:"|\z)|[{}]|[^"{}]++'
 
 
-_OBJECT = _object_pattern(24)
-# Heads of typed calls; what must follow a head is only looked at, so that heads inside are seen too.
-_TYPED = (
-    rf'(?s)<invoke\s+name="({_NAME})"\s*>(?=(.*?)</invoke>)'
-    rf"|\b({_NAME})\(\s*(?:\*\*)?\s*(?=({_OBJECT}))"
-    rf"|\*\*({_NAME})\*\*(?=[\s:]*(?:```(?:json)?\s*)?({_OBJECT}))?"
-)
-_PARAMETER = rf'(?s)<parameter\s+name="({_NAME})"\s*>\s*(.*?)\s*</parameter>'
+def balanced_object(text: Column) -> Column:
+    """The brace-balanced object a text begins with, nested however deep; null if it does not close."""
+    pieces = F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(False).alias("closed"))
+
+    def step(at: Column, piece: Column) -> Column:
+        depth = at["depth"] + F.when(piece == "{", 1).when(piece == "}", -1).otherwise(0)
+        return F.when(at["closed"], at).otherwise(
+            F.struct(depth.alias("depth"), (at["size"] + F.length(piece)).alias("size"), (depth == 0).alias("closed")))
+
+    end = F.aggregate(pieces, start, step)
+    return tx.bind(end, lambda e: F.when(e["closed"] & text.startswith("{"), F.substring(text, F.lit(1), e["size"])))
+
+
+def _is_json(text: Column) -> Column:
+    return F.coalesce(F.try_parse_json(text).isNotNull(), F.lit(False)) & (text != "")
+
+
+def _quoted(text: Column) -> Column:
+    """A string as a JSON value."""
+    listed = F.to_json(F.array(text))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def _tag_arguments(body: Column) -> Column:
+    """The parameters of a tag as one JSON object: JSON values as they are, others as strings.
+
+    A name given twice keeps its first place and its last value.
+    """
+    part = lambda i: F.regexp_extract_all(body, F.lit(_PARAMETER), F.lit(i))
+
+    def joined(given: Column) -> Column:
+        def entry(name: Column) -> Column:
+            value = F.element_at(F.filter(given, lambda g: g["name"] == name), -1)["value"]
+            return F.concat(_quoted(name), F.lit(":"), F.when(_is_json(value), value).otherwise(_quoted(value)))
+
+        names = F.array_distinct(F.transform(given, lambda g: g["name"]))
+        return F.concat(F.lit("{"), F.array_join(F.transform(names, entry), ","), F.lit("}"))
+
+    return tx.bind(F.arrays_zip(part(1).alias("name"), part(2).alias("value")), joined)
 
 
 def classify_turns(turns: DataFrame, serviced: Sequence[str] = SERVICED_TOOLS, trailer: Sequence[str] = ()) -> DataFrame:
@@ -305,23 +340,24 @@ def classify_turns(turns: DataFrame, serviced: Sequence[str] = SERVICED_TOOLS, t
     stand bare. The last one of a serviced name wins; `arguments` holds its object as JSON text.
     `trailer` keys, when given, add the last fenced JSON object carrying all of them.
     """
-    group = lambda i: F.regexp_extract_all("text", F.lit(_TYPED), F.lit(i))
-    heads = F.arrays_zip(*[group(i).alias(n) for i, n in enumerate(("tag", "body", "call", "object", "bold", "given"), 1)])
+    names = "|".join(sorted(map(re.escape, serviced), key=len, reverse=True)) or r"[^\s\S]"
+    heads = rf"(?s){_TAG}|{_CALL}|{_BOLD}".format(rf"(?:{names})(?![A-Za-z0-9_])")
+    group = lambda i: F.regexp_extract_all("text", F.lit(heads), F.lit(i))
+    heads_of = F.arrays_zip(*[group(i).alias(n) for i, n in enumerate(("tag", "body", "call", "object", "bold", "given"), 1)])
 
     def typed(h: Column) -> Column:
         is_tag, is_call = h["tag"] != "", h["call"] != ""
-        text = F.when(is_call, h["object"]).otherwise(h["given"])
-        valid = F.coalesce(F.try_parse_json(text).isNotNull(), F.lit(False)) & (text != "")
         name = F.when(is_tag, h["tag"]).when(is_call, h["call"]).otherwise(h["bold"])
         bare = ~is_tag & ~is_call & h["bold"].isin(*NO_ARGUMENT_CALLS)
-        given = F.arrays_zip(
-            F.regexp_extract_all(h["body"], F.lit(_PARAMETER), F.lit(1)).alias("name"),
-            F.regexp_extract_all(h["body"], F.lit(_PARAMETER), F.lit(2)).alias("value"),
-        )
-        arguments = F.when(is_tag, F.to_json(given)).when(valid, text).otherwise("{}")
-        return F.struct(name.alias("name"), (is_tag | valid | bare).alias("stands"), arguments.alias("arguments"))
 
-    found = F.filter(F.transform(heads, typed), lambda c: c["stands"] & c["name"].isin(*serviced))
+        def call(text: Column) -> Column:
+            valid = F.coalesce(_is_json(text), F.lit(False))
+            arguments = F.when(is_tag, _tag_arguments(h["body"])).when(valid, text).otherwise("{}")
+            return F.struct(name.alias("name"), (is_tag | valid | bare).alias("stands"), arguments.alias("arguments"))
+
+        return tx.bind(F.when(~is_tag, balanced_object(F.when(is_call, h["object"]).otherwise(h["given"]))), call)
+
+    found = F.filter(F.transform(heads_of, typed), lambda c: c["stands"])
     last = F.try_element_at(found, F.lit(-1))
     called = F.col("tool_name").isin(*serviced)
     out = turns.withColumn("_typed", last).withColumns(

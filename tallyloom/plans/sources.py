@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyloom.operators import curation
 from tallyloom.session import fresh_path, table
 from tallyloom.sources import readers, writers
+from tallyloom.sources.listing import list_files
 
 
 def _grid(a: str, b: str) -> str:
@@ -146,13 +147,16 @@ def reports(spark, sf):
 
 
 def line_counts(spark, sf):
+    """Full, empty and absent files, a folder with and one without files, and a claim of no place."""
     path = fresh_path(spark, "lines")
     lines = table(spark, sf, "conversations").select(F.when(F.col("turn") % 4 == 3, "").otherwise(F.to_json(F.struct("conv_id", "turn"))).alias("value"))
-    _write_lines(lines.repartition(4), path, "jsonl")
-    files = spark.read.format("text").load(path).select(F.col("_metadata.file_path").alias("uri")).distinct()
+    _write_lines(lines.repartition(4), f"{path}/full", "jsonl")
+    _write_lines(lines.limit(0).coalesce(1), f"{path}/none", "jsonl")
+    files = list_files(spark, path).where("uri LIKE '%.jsonl'").select("uri")
     gone = files.select(F.concat("uri", F.lit(".gone")).alias("uri"))
-    facts = readers.line_count_facts(spark, path, files.unionByName(gone))
-    return facts.groupBy("status").agg(F.sum("rows").alias("rows"))
+    others = spark.createDataFrame([(f"{path}/full/",), (f"{path}/nowhere/",), ("kb-1",)], "uri string")
+    facts = readers.line_count_facts(spark, path, files.unionByName(gone).unionByName(others))
+    return facts.groupBy("status").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"), F.sum((F.col("rows") == 0).cast("long")).alias("n_empty"))
 
 
 _LINE_DOC = """'customer: ' || o_custkey || CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE chr(10) || chr(10) || 'id: a b/' || o_orderkey END || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE chr(10) || chr(10) || 'priority: ' || o_orderpriority END || chr(10) || chr(10) || 'tags: ["' || o_orderstatus || '","x"]'"""
@@ -177,5 +181,5 @@ SQL = {
     "a6_stale_documents": f"SELECT {_DOC_ID} AS doc_id FROM orders WHERE o_orderkey % 10 = 0",
     "a7_reconcile_ingest": "SELECT count(*) AS expected, count(*) AS scanned, count(*) FILTER (o_orderkey % 20 = 0) AS missing, count(*) FILTER (o_orderkey % 20 = 0) AS unexpected, false AS ok FROM orders",
     "a8_write_run_report": "SELECT 'n' || c_nationkey AS run_id, count(*) AS n, CAST(sum(CAST(CASE WHEN c_nationkey IN (1, 2) THEN 1 ELSE c_acctbal END AS DECIMAL(28,6))) AS DOUBLE) AS total, CAST(NULL AS VARCHAR) AS alias_problem FROM customer WHERE c_nationkey <> 0 GROUP BY c_nationkey",
-    "a14_line_count_facts": "SELECT 'verified' AS status, count(*) FILTER (turn % 4 <> 3) AS rows FROM conversations UNION ALL SELECT 'failed', NULL",
+    "a14_line_count_facts": "SELECT 'verified' AS status, 6::BIGINT AS n, count(*) FILTER (turn % 4 <> 3) AS rows, 1::BIGINT AS n_empty FROM conversations UNION ALL SELECT 'failed', 6, NULL, NULL UNION ALL SELECT 'asserted', 1, NULL, NULL",
 }

@@ -727,11 +727,12 @@ SELECT row_number() OVER (ORDER BY created_at DESC, 'run-' || run_id DESC, i) AS
 
 
 def turn_classes(spark, sf):
-    return intake.classify_turns(view(spark, sf, "endings")).select("conv_id", "turn", "turn_end", "call")
+    return intake.classify_turns(view(spark, sf, "endings")).select("conv_id", "turn", "turn_end", "call", "arguments")
 
 
 _TURNS = f"""{with_views('endings')} SELECT conv_id, turn, CASE WHEN tool_name = 'checkpoint' THEN 'structured' WHEN conv_id % 4 = 1 OR conv_id % 2 = 0 AND turn % 2 = 1 THEN 'recovered' ELSE 'prose' END AS turn_end,
-  CASE WHEN tool_name = 'checkpoint' OR conv_id % 4 = 1 THEN 'checkpoint' WHEN conv_id % 2 = 0 AND turn % 2 = 1 THEN 'stage_complete' END AS call FROM endings"""
+  CASE WHEN tool_name = 'checkpoint' OR conv_id % 4 = 1 THEN 'checkpoint' WHEN conv_id % 2 = 0 AND turn % 2 = 1 THEN 'stage_complete' END AS call,
+  CASE WHEN tool_name = 'checkpoint' THEN NULL WHEN conv_id % 4 = 1 THEN '{{}}' WHEN conv_id % 4 = 0 AND turn % 2 = 1 THEN '{{"a":1}}' WHEN conv_id % 2 = 0 AND turn % 2 = 1 THEN '{{"a": {{"b": "}}"}}}}' END AS arguments FROM endings"""
 
 
 def turn_counts(spark, sf):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.session import durable
+from tallyloom.sources.listing import list_files
+
 CORRUPT = "_corrupt_record"
 GRID = "array<array<int>>"
 
@@ -93,15 +96,41 @@ def split_coco(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return part("images"), notes, part("categories")
 
 
+def plain_uri(uri: Column) -> Column:
+    """One spelling of local paths: file:///..."""
+    return F.regexp_replace(uri, r"^(?:file:)?/+(?=[^/])", "file:///")
+
+
 def line_count_facts(spark: SparkSession, path: str, claims: DataFrame) -> DataFrame:
-    """Facts on claimed files (uri): verified or failed, bytes, and the rows of .jsonl files of any size.
+    """Facts on claims (uri) about files below `path`: status, bytes, rows of .jsonl files, detail.
 
-    Files are listed apart from their lines, so an empty file is verified with no rows.
+    A file is `verified` if it is listed, an empty one too, and `failed` if not; a claim that ends
+    with a slash is verified if a file lies below it. What lies in a folder that cannot be listed
+    is `unverified`, with the reason; a claim that names no location is `asserted`. Files of any
+    size are counted, line by line in parallel.
     """
-    below = spark.read.option("recursiveFileLookup", True)
-    files = below.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("uri"), F.col("length").alias("bytes"))
-    lines = below.format("text").load(path).where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("uri"))
-    counts = files.join(lines.groupBy("uri").agg(F.count("*").alias("rows")), "uri", "left")
-    return claims.join(counts, "uri", "left").select(
-        "uri", F.when(F.col("bytes").isNull(), "failed").otherwise("verified").alias("status"), "bytes",
-        F.when(F.col("uri").endswith(".jsonl") & F.col("bytes").isNotNull(), F.coalesce("rows", F.lit(0))).alias("rows"))
+    listed = durable(list_files(spark, path).withColumn("uri", plain_uri(F.col("uri"))), "listing")
+    files = listed.where("error IS NULL").select(F.col("uri").alias("_uri"), "bytes")
+    lines = spark.read.option("recursiveFileLookup", True).format("text").load(path).where(F.trim("value") != "")
+    rows = lines.select(plain_uri(F.col("_metadata.file_path")).alias("_line")).groupBy("_line").agg(F.count("*").alias("_rows"))
+    # every folder above a file, each once
+    parts = F.split("_uri", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")))
+    folders = files.select(F.explode(above).alias("_folder")).distinct()
+    hidden = listed.where("error IS NOT NULL").select(F.col("uri").alias("_hidden"), F.col("error").alias("_error"))
+
+    asked = claims.select("uri").distinct().withColumn("_at", plain_uri(F.col("uri")))
+    own = F.split("_at", "/")
+    ways = F.transform(F.sequence(F.lit(1), F.size(own)), lambda i: F.concat(F.array_join(F.slice(own, F.lit(1), i), "/"), F.lit("/")))
+    lost = asked.select("uri", F.explode(ways).alias("_way")).join(hidden, F.col("_way") == F.col("_hidden")).groupBy(F.col("uri").alias("_lost")).agg(F.min("_error").alias("_error"))
+    found = (
+        asked.join(files, F.col("_at") == F.col("_uri"), "left").join(rows, F.col("_at") == F.col("_line"), "left")
+        .join(folders, F.col("_at") == F.col("_folder"), "left").join(lost, F.col("uri") == F.col("_lost"), "left"))
+    there = F.col("_uri").isNotNull() | F.col("_folder").isNotNull()
+    located = F.coalesce(F.rlike("_at", F.lit("^[A-Za-z][A-Za-z0-9+.-]*:/")), F.lit(False))
+    status = F.when(~located, "asserted").when(there, "verified").when(F.col("_lost").isNotNull(), "unverified").otherwise("failed")
+    counted = F.col("_at").endswith(".jsonl") & F.col("_uri").isNotNull()
+    detail = F.when(~located, "not checkable").when(F.col("_folder").isNotNull(), "files below").when(~there, F.coalesce("_error", F.lit("not listed")))
+    facts = found.select(
+        F.col("uri").alias("_claim"), status.alias("status"), "bytes", F.when(counted, F.coalesce("_rows", F.lit(0))).alias("rows"), detail.alias("detail"))
+    return claims.join(facts, F.col("uri").eqNullSafe(F.col("_claim"))).select("uri", "status", "bytes", "rows", "detail")
