@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import grids as g
 from tallyloom.functions.stats import count_where, order_statistics, ratio, upper_median_position, wilson
+from tallyloom.functions.text import bind
 from tallyloom.operators.ordering import rank_overall
 
 MIN_TRAIN_MULTIPLE = 5
@@ -24,43 +25,62 @@ SLOTS = (
 )
 
 
-def _permutation(task: Column, slot: int, full: bool, seed: int) -> Column:
-    """Digits ordered by a hash of (task, slot, digit).
+TRIES = 64
 
-    perm10 must move 0, so when 0 would land on itself the list is rotated by one; a perm9
-    that came out as the identity is rotated likewise behind its fixed 0.
+
+def _permutation(task: Column, slot: Column, full: Column, seed: int, attempt: Column, top: int) -> Column:
+    """Digits up to `top` ordered by a hash of (task, slot, digit) and, from the second draw on, its number.
+
+    A full permutation must move 0, so when 0 would land on itself the list is rotated by one; one
+    that fixes 0 and came out as the identity is rotated likewise behind it.
     """
-    draw = lambda d: F.xxhash64(F.lit(seed), task, F.lit(slot), d)
-    digits = F.sequence(F.lit(0 if full else 1), F.lit(9))
-    shuffled = F.transform(
-        F.sort_array(F.transform(digits, lambda d: F.struct(draw(d).alias("h"), d.alias("d")))), lambda x: x["d"]
-    )
-    rotated = lambda p: F.concat(F.slice(p, 2, 9), F.slice(p, 1, 1))
-    if full:
-        return F.when(F.get(shuffled, F.lit(0)) == 0, rotated(shuffled)).otherwise(shuffled)
-    plain = F.when(shuffled == digits, rotated(shuffled)).otherwise(shuffled)
-    return F.concat(F.array(F.lit(0)), plain)
+    draw = lambda d: F.when(attempt == 0, F.xxhash64(F.lit(seed), task, slot, d)).otherwise(F.xxhash64(F.lit(seed), task, slot, d, attempt))
+    digits = F.sequence(F.when(full, F.lit(0)).otherwise(1), F.lit(top))
+    shuffled = F.transform(F.sort_array(F.transform(digits, lambda d: F.struct(draw(d).alias("h"), d.alias("d")))), lambda x: x["d"])
+    rotated = lambda p: F.concat(F.slice(p, 2, top), F.slice(p, 1, 1))
+
+    def behind(p: Column) -> Column:
+        moved = F.when((full & (F.get(p, F.lit(0)) == 0)) | (~full & (p == F.sequence(F.lit(1), F.lit(top)))), rotated(p)).otherwise(p)
+        return F.when(full, moved).otherwise(F.concat(F.array(F.lit(0)), moved))
+
+    return bind(shuffled, behind)
+
+
+def _slot_entry(task: Column, slot: Column, seed: int, attempt: Column, top: int) -> Column:
+    """The variant of a slot by its `attempt`-th draw."""
+    geom = F.get(F.array(*[F.lit(g_).cast("string") for g_, _ in SLOTS]), slot)
+    label = F.get(F.array(*[F.lit(l_).cast("string") for _, l_ in SLOTS]), slot)
+    perm = F.when(label.isNotNull(), _permutation(task, slot, F.coalesce(label == "perm10", F.lit(False)), seed, attempt, top))
+    tag = (
+        F.when(geom.isNotNull() & label.isNotNull(), F.concat(F.lit("comp:"), geom, F.lit("+"), label))
+        .when(geom.isNotNull(), F.concat(F.lit("geom:"), geom)).otherwise(F.concat(F.lit("color:"), label)))
+    colours = lambda p: F.when(p.isNull(), "id").otherwise(F.array_join(p.cast("array<string>"), ","))
+    return bind(perm, lambda p: F.struct(
+        slot.alias("slot"), geom.alias("geom"), p.alias("perm"), tag.alias("tag"),
+        F.concat(F.coalesce(geom, F.lit("id")), F.lit("|"), colours(p)).alias("sig")))
 
 
-def plan_variants(tasks: DataFrame, task: str, n: int, seed: int = 0) -> DataFrame:
+def plan_variants(tasks: DataFrame, task: str, n: int, seed: int = 0, top: int = 9) -> DataFrame:
     """(task, slot, geom, perm, tag, sig): the first n distinct variants of each task.
 
-    Deterministic per task. Draws that repeat an earlier signature of the task are left out.
+    Deterministic per task. A draw that repeats an earlier signature of the task is drawn again,
+    with the number of the try in its hash, until it is new; a slot without a new one in `TRIES`
+    draws, as on a tiny alphabet, is left out. `top` is the largest colour.
     """
-    entries = []
-    for i, (geom, label) in enumerate(SLOTS):
-        perm = (
-            _permutation(F.col(task), i, label == "perm10", seed) if label else F.lit(None).cast("array<int>")
-        )
-        tag = f"comp:{geom}+{label}" if geom and label else f"geom:{geom}" if geom else f"color:{label}"
-        colours = F.array_join(perm.cast("array<string>"), ",") if label else F.lit("id")
-        entries.append(F.struct(
-            F.lit(i).alias("slot"), F.lit(geom).cast("string").alias("geom"), perm.alias("perm"),
-            F.lit(tag).alias("tag"), F.concat(F.lit(f"{geom or 'id'}|"), colours).alias("sig")))
-    planned = tasks.select(task, F.array(*entries).alias("_p"))
-    sigs = F.transform("_p", lambda x: x["sig"])
-    fresh = F.filter("_p", lambda x, i: F.array_position(sigs, x["sig"]) == i + 1)
-    return planned.select(task, F.explode(F.slice(fresh, 1, n)).alias("v")).select(task, "v.*")
+    key = F.col(task)
+    entry = lambda slot, attempt: _slot_entry(key, slot, seed, attempt, top)
+    slots = F.sequence(F.lit(0), F.lit(len(SLOTS) - 1))
+    planned = tasks.select(task, F.transform(slots, lambda i: entry(i, F.lit(0))).alias("_p"))
+    none = F.slice("_p", 1, 0)
+
+    def again(so_far: Column, i: Column) -> Column:
+        fresh = F.filter(F.transform(F.sequence(F.lit(0), F.lit(TRIES - 1)), lambda t: entry(i, t)), lambda e: ~F.exists(so_far, lambda x: x["sig"] == e["sig"]))
+        return F.concat(so_far, F.slice(fresh, 1, 1))
+
+    repeated = F.size(F.array_distinct(F.transform("_p", lambda x: x["sig"]))) < len(SLOTS)
+    # only the few tasks with a repeat pay for the tries
+    drawn = F.when(repeated, F.aggregate(slots, none, again)).otherwise(F.col("_p"))
+    return planned.select(task, F.explode(F.slice(drawn, 1, n)).alias("v")).select(task, "v.*")
 
 
 def build_variants(triplets: DataFrame, n: int, seed: int = 0) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.stats import count_where, ratio
-from tallyloom.operators.ordering import range_chunks, running_total
+from tallyloom.operators.ordering import range_chunks, rank_overall, running_total
 from tallyloom.session import durable
 
 # Fixed thresholds and recall points.
@@ -57,32 +58,60 @@ def iou(a: Column, b: Column) -> Column:
     return F.when(union > 0, inter / union).otherwise(0.0)
 
 
-def _cells(box: str, size: float) -> Column:
+LOWEST, HIGHEST = -10, 40  # powers of two that a box's side is classed by
+
+
+def _level(box: str) -> Column:
+    """The power of two not below the longer side."""
+    side = F.greatest(F.get(F.col(box), F.lit(2)), F.get(F.col(box), F.lit(3)))
+    power = F.when(side > 0, F.ceil(F.log2(side))).otherwise(LOWEST)
+    return F.greatest(F.lit(LOWEST), F.least(F.lit(HIGHEST), power)).cast("int")
+
+
+def _cells(box: str, level: str) -> Column:
+    """The cells of a level's grid that a box covers: four at most from its own level on."""
     at = lambda i: F.get(F.col(box), F.lit(i))
+    size = F.pow(F.lit(2.0), F.col(level))
     run = lambda i: F.sequence(F.floor(at(i) / size), F.floor((at(i) + at(i + 2)) / size))
     return F.flatten(F.transform(run(0), lambda x: F.transform(run(1), lambda y: F.struct(x.alias("x"), y.alias("y")))))
 
 
-def box_iou(dets: DataFrame, gts: DataFrame, floor: float = 0.0, cell: float = 256.0) -> DataFrame:
+def _placed(boxes: DataFrame, box: str, own: str, span: Column) -> DataFrame:
+    """One row per cell of the box's own level and those up to `span` above it."""
+    classed = boxes.withColumn(own, _level(box))
+    levels = classed.withColumn("level", F.explode(F.sequence(F.col(own), F.greatest(F.col(own), span))))
+    return levels.withColumn("cell", F.explode(_cells(box, "level")))
+
+
+def box_iou(dets: DataFrame, gts: DataFrame, floor: float = 0.0) -> DataFrame:
     """(image_id, category_id, det_id, gt_id, iou) of overlapping boxes with IoU >= floor.
 
-    Boxes meet through the grid cells they cover, and each pair is kept in the one cell that
-    holds the corner of its intersection, so an image's boxes are not paired all with all.
+    Boxes are classed by size, a power of two, and meet in the cells of the larger one's grid, of
+    which each covers four at most; a pair is kept in the one cell that holds the corner of its
+    intersection. Sides of boxes that reach the floor differ by a factor of 1 / floor at most, so a
+    box enters only so many grids above its own; without a floor, those of all sizes present.
     `dets`: det_id, image_id, category_id, bbox; `gts`: gt_id and the same.
     """
-    d = dets.select("image_id", "category_id", "det_id", F.col("bbox").alias("_d")).withColumn("cell", F.explode(_cells("_d", cell)))
-    t = gts.select("image_id", "category_id", "gt_id", F.col("bbox").alias("_t")).withColumn("cell", F.explode(_cells("_t", cell)))
+    d = dets.select("image_id", "category_id", "det_id", F.col("bbox").alias("_d"))
+    t = gts.select("image_id", "category_id", "gt_id", F.col("bbox").alias("_t"))
+    if floor > 0:
+        above = max(0, math.ceil(math.log2(1 / floor)))
+        span = lambda own: F.col(own) + above
+    else:
+        top = d.select(F.max(_level("_d")).alias("m")).unionByName(t.select(F.max(_level("_t")).alias("m"))).agg(F.max("m")).first()[0]
+        span = lambda own: F.lit(LOWEST if top is None else top)
+    d, t = _placed(d, "_d", "_own_d", span("_own_d")), _placed(t, "_t", "_own_t", span("_own_t"))
     at = lambda c, i: F.get(F.col(c), F.lit(i))
-    corner = lambda i: F.floor(F.greatest(at("_d", i), at("_t", i)) / cell)
+    corner = lambda i: F.floor(F.greatest(at("_d", i), at("_t", i)) / F.pow(F.lit(2.0), F.col("level")))
     area = lambda c: at(c, 2) * at(c, 3)
-    pairs = d.join(t, ["image_id", "category_id", "cell"]).where(
-        (F.col("cell.x") == corner(0)) & (F.col("cell.y") == corner(1))
+    pairs = d.join(t, ["image_id", "category_id", "level", "cell"]).where(
+        (F.col("level") == F.greatest("_own_d", "_own_t")) & (F.col("cell.x") == corner(0)) & (F.col("cell.y") == corner(1))
         & (F.least(area("_d"), area("_t")) >= floor * F.greatest(area("_d"), area("_t"))))
     return pairs.withColumn("iou", iou(F.col("_d"), F.col("_t"))).where(
         (F.col("iou") > 0) & (F.col("iou") >= floor)).select("image_id", "category_id", "det_id", "gt_id", "iou")
 
 
-def greedy_match(dets: DataFrame, gts: DataFrame, thresholds: Sequence[float] = THRESHOLDS, cell: float = 256.0) -> DataFrame:
+def greedy_match(dets: DataFrame, gts: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
     """(thr, det_id, gt_id) true positives of score-ordered greedy matching.
 
     Taking detections by (score desc, input order), each claims the unclaimed box with the
@@ -90,7 +119,7 @@ def greedy_match(dets: DataFrame, gts: DataFrame, thresholds: Sequence[float] =
     for the box it wants, which yields the sequential result without ordering a group in one
     task. `dets` adds score and ord; `gts` adds ord.
     """
-    pairs = box_iou(dets, gts, min(thresholds), cell)
+    pairs = box_iou(dets, gts, min(thresholds))
     rank = dets.select("det_id", F.struct((-F.col("score")).alias("s"), F.col("ord").alias("o")).alias("prio"))
     place = gts.select("gt_id", F.col("ord").alias("gt_ord"))
     thr = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
@@ -159,8 +188,8 @@ def average_precision(ordered: DataFrame, n_gt: DataFrame, n_thr: int, keys: Seq
     return grid.join(found, [*keys, "t"], "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
 
 
-def evaluate(dets: DataFrame, gts: DataFrame, thresholds: Sequence[float] = THRESHOLDS, cell: float = 256.0) -> DataFrame:
-    matches = greedy_match(dets, gts, thresholds, cell)
+def evaluate(dets: DataFrame, gts: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
+    matches = greedy_match(dets, gts, thresholds)
     ordered = ordered_detections(flagged_detections(dets, matches, gts, thresholds))
     n_gt = gts.groupBy("category_id").agg(F.count("*").alias("n_gt"))
     return average_precision(ordered, n_gt, len(thresholds))
@@ -185,25 +214,28 @@ def ap50_per_category(ap: DataFrame) -> DataFrame:
 
 
 def bootstrap_weights(gts: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """(b, image_id, weight): how often each resample with replacement draws an image."""
-    from tallyloom.operators.ordering import rank_overall
+    """(b, image_id, weight): how often each resample with replacement draws an image.
 
+    Draw j of resample b is a hash of (seed, b, j), one row of a range that Spark makes in parallel;
+    images are numbered by name. Draws of an image are combined before they are shuffled.
+    """
     images = gts.select(F.col("image_id").cast("string").alias("_name"), "image_id").distinct()
-    ranked = durable(rank_overall(images, ["_name"], "_r").select("image_id", (F.col("_r") - 1).alias("pos")), "images")
-    n = ranked.count()
-    draws = ranked.sparkSession.range(replicates).select(F.col("id").alias("b")).repartition("b").select(
-        "b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n - 1, 0)).cast("long"))).alias("j"))
-    drawn = draws.withColumn("pos", F.pmod(F.xxhash64(F.lit(seed), "b", "j"), F.lit(max(n, 1))))
-    return drawn.groupBy("b", "pos").agg(F.count("*").alias("weight")).join(ranked, "pos").drop("pos")
+    numbered = durable(rank_overall(images, ["_name"], "_r").select("image_id", (F.col("_r") - 1).alias("pos")), "images")
+    n = numbered.count()
+    b, j = F.floor(F.col("id") / max(n, 1)), F.pmod(F.col("id"), F.lit(max(n, 1)))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), b.cast("string"), j.cast("string")))
+    draws = gts.sparkSession.range(replicates * n).select(
+        b.alias("b"), F.pmod(F.conv(F.substring(digest, 1, 13), 16, 10).cast("long"), F.lit(max(n, 1))).alias("pos"))
+    return draws.groupBy("b", "pos").agg(F.count("*").alias("weight")).join(numbered, "pos").drop("pos")
 
 
-def bootstrap_ci(dets: DataFrame, gts: DataFrame, replicates: int = 1000, seed: int = 42, cell: float = 256.0) -> DataFrame:
+def bootstrap_ci(dets: DataFrame, gts: DataFrame, replicates: int = 1000, seed: int = 42) -> DataFrame:
     """95% percentile interval of mAP50 over resampled images.
 
     Matching stays within an image, so it runs once; a resample only changes how often each
     image's rows count. Draws are seeded and reproducible, though not those of another generator.
     """
-    matches = greedy_match(dets, gts, THRESHOLDS[:1], cell)
+    matches = greedy_match(dets, gts, THRESHOLDS[:1])
     ordered = ordered_detections(flagged_detections(dets, matches, gts, THRESHOLDS[:1]))
     weights = durable(bootstrap_weights(gts, replicates, seed), "weights")
     keys = ["b", "category_id"]

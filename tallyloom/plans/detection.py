@@ -42,11 +42,41 @@ def validity(spark, sf):
 
 
 def overlaps(spark, sf):
-    return d.box_iou(*boxes(spark, sf), cell=32.0)
+    return d.box_iou(*boxes(spark, sf))
 
 
 def matched(spark, sf):
-    return d.greedy_match(*boxes(spark, sf)).groupBy("thr").agg(F.count("*").alias("n_matched"))
+    return d.greedy_match(*boxes(spark, sf)).select("thr", "det_id", "gt_id")
+
+
+#: Detections of an image and category in score order, each taking the best box not yet taken.
+_GREEDY = f"""th(t, thr) AS (VALUES {', '.join(f'({i}, {t!r}::DOUBLE)' for i, t in enumerate(d.THRESHOLDS))}),
+dn AS (SELECT k, image_id, category_id, row_number() OVER (PARTITION BY image_id, category_id ORDER BY score DESC, k) AS rn FROM de),
+ca AS (SELECT det_id, list(struct_pack(g := gt_id, v := iou) ORDER BY iou DESC, gt_id DESC) AS c FROM io GROUP BY 1),
+m AS (SELECT image_id, category_id, t, thr, 0 AS n, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS det_id, CAST(NULL AS BIGINT) AS gt_id FROM (SELECT DISTINCT image_id, category_id FROM de) CROSS JOIN th
+  UNION ALL SELECT image_id, category_id, t, thr, n + 1, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, k, pick
+  FROM (SELECT m.image_id, m.category_id, m.t, m.thr, m.n, m.used, dn.k, list_filter(ca.c, lambda x: x.v >= m.thr AND NOT list_contains(m.used, x.g))[1].g AS pick
+    FROM m JOIN dn ON dn.image_id = m.image_id AND dn.category_id = m.category_id AND dn.rn = m.n + 1 LEFT JOIN ca ON ca.det_id = dn.k)),
+hit AS (SELECT t, thr, det_id, gt_id FROM m WHERE gt_id IS NOT NULL)"""
+
+
+def _area(rows: str, keys: str) -> str:
+    """Average precision of `rows` (keys, tp, wt, score, image_id, k) against `ng` (keys, n_gt)."""
+    return f"""r AS (SELECT {keys}, CAST(sum(wt * tp) OVER o AS DOUBLE) AS c, sum(wt) OVER o AS rn FROM {rows} WINDOW o AS (PARTITION BY {keys} ORDER BY score DESC, CAST(image_id AS VARCHAR), k ROWS UNBOUNDED PRECEDING)),
+pr AS (SELECT {keys}, len(list_filter(range(101), lambda i: i * 0.01::DOUBLE <= c / n_gt)) - 1 AS step, max(c / rn) AS p FROM r JOIN ng USING ({keys}) GROUP BY ALL),
+ap AS (SELECT {keys}, sum(e) / 101 AS ap FROM (SELECT {keys}, i, coalesce((SELECT max(p) FROM pr WHERE {' AND '.join(f'pr.{x} = ng.{x}' for x in keys.split(', '))} AND step >= i), 0) AS e FROM ng CROSS JOIN (SELECT unnest(range(101)) AS i)) GROUP BY {keys})"""
+
+
+_MAP = f"""WITH RECURSIVE {_BOXES}, {_GREEDY}, fl AS (SELECT de.*, t, 1 AS wt, CASE WHEN EXISTS (SELECT 1 FROM hit WHERE hit.t = th.t AND hit.det_id = de.k) THEN 1 ELSE 0 END AS tp FROM de CROSS JOIN th),
+ng AS (SELECT category_id, t, count(*) AS n_gt FROM b CROSS JOIN th GROUP BY ALL), {_area('fl', 'category_id, t')}"""
+REPLICATES = 40
+_BOOTSTRAP = f"""WITH RECURSIVE {_BOXES}, {_GREEDY}, im AS (SELECT image_id, row_number() OVER (ORDER BY CAST(image_id AS VARCHAR)) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT image_id FROM b)),
+dr AS (SELECT r AS rep, CAST('0x' || substr(md5('42:' || r || ':' || j), 1, 13) AS BIGINT) % n AS pos FROM (SELECT max(n) AS n FROM im), range({REPLICATES}) x(r), (SELECT pos AS j FROM im)),
+we AS (SELECT rep, image_id, count(*) AS wt FROM dr JOIN im USING (pos) GROUP BY 1, 2),
+fl AS (SELECT de.*, rep, wt, CASE WHEN EXISTS (SELECT 1 FROM hit WHERE hit.t = 0 AND hit.det_id = de.k) THEN 1 ELSE 0 END AS tp FROM de JOIN we USING (image_id)),
+ng AS (SELECT rep, category_id, sum(wt) AS n_gt FROM b JOIN we USING (image_id) GROUP BY 1, 2), {_area('fl', 'rep, category_id')},
+ma AS (SELECT r AS rep, coalesce((SELECT avg(ap) FROM ap WHERE ap.rep = r), 0) AS map50 FROM range({REPLICATES}) x(r))
+SELECT quantile_cont(map50, 0.025) AS low, quantile_cont(map50, 0.975) AS high FROM ma"""
 
 
 def own_box_ap(spark, sf):
@@ -75,7 +105,7 @@ def per_category(spark, sf):
 
 
 def interval(spark, sf):
-    return d.bootstrap_ci(*boxes(spark, sf), replicates=40)
+    return d.bootstrap_ci(*boxes(spark, sf), replicates=REPLICATES)
 
 
 def uplift(spark, sf):
@@ -92,7 +122,11 @@ SQL = {
     "d20_validate_predictions": "SELECT o_orderkey, o_orderkey % 9 > 6 AS valid FROM orders",
     "d20_format_validity": "SELECT count(*) AS n_records, count(*) FILTER (o_orderkey % 9 <= 6) AS invalid_predictions, CAST(count(*) FILTER (o_orderkey % 9 > 6) AS DOUBLE) / count(*) AS format_validity FROM orders",
     "d21_box_iou": f"WITH {_BOXES} SELECT * FROM io",
+    "d22_greedy_match": f"WITH RECURSIVE {_BOXES}, {_GREEDY} SELECT thr, det_id, gt_id FROM hit",
     "d23_average_precision": _AP,
+    "d24_map_report": f"{_MAP} SELECT avg(ap) FILTER (t = 0) AS map50, avg(ap) AS map50_95, (SELECT count(DISTINCT image_id) FROM b) AS images, (SELECT count(DISTINCT category_id) FROM b) AS categories FROM ap",
+    "d24_ap50_per_category": f"{_MAP} SELECT category_id, ap AS ap50 FROM ap WHERE t = 0",
+    "d25_bootstrap_ci": _BOOTSTRAP,
     "d26_uplift_gate": """WITH x AS (SELECT c_custkey AS run, CAST(c_custkey * 3 % 100 AS DOUBLE) / 100 AS student, CAST(c_custkey * 7 % 100 AS DOUBLE) / 100 AS baseline, (c_custkey % 3 = 0) = (c_custkey % 7 = 0) AS same FROM customer)
 SELECT run, student, baseline, CASE WHEN same THEN student - baseline END AS uplift, CASE WHEN NOT same THEN 'different scorer' WHEN student - baseline >= 0.05 THEN 'passed' ELSE 'failed' END AS status FROM x""",
 }

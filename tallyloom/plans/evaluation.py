@@ -285,6 +285,16 @@ s AS (SELECT p.id, coalesce((SELECT sum(n) FROM pw WHERE pw.id = p.id), 0) AS np
 SELECT id, CASE WHEN np > 0 THEN CAST(o AS DOUBLE) / CAST(np AS DOUBLE) ELSE 0 END AS precision, CASE WHEN nr > 0 THEN CAST(o AS DOUBLE) / CAST(nr AS DOUBLE) ELSE 0 END AS recall, CASE WHEN np + nr > 0 THEN CAST(2 * o AS DOUBLE) / CAST(np + nr AS DOUBLE) ELSE 0 END AS f1 FROM s"""
 
 
+#: The usual table row by row; as rows never fall from left to right, a running maximum completes one.
+_ROUGE_L = """WITH RECURSIVE q AS (SELECT a.conv_id || '-' || a.turn AS id, regexp_extract_all(lower(a.text), '[\\p{L}\\p{N}]+') AS p, regexp_extract_all(lower(b.text), '[\\p{L}\\p{N}]+') AS r
+  FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+x AS (SELECT id, p, r, 0 AS i, list_transform(range(len(r) + 1), lambda k: 0::BIGINT) AS line FROM q
+  UNION ALL SELECT id, p, r, i + 1, list_prepend(0::BIGINT, list_transform(range(1, len(r) + 1), lambda j: list_max(best[1:j])))
+  FROM (SELECT id, p, r, i, list_transform(range(1, len(r) + 1), lambda k: greatest(line[k + 1], CASE WHEN p[i + 1] = r[k] THEN line[k] + 1 ELSE 0 END)) AS best FROM x WHERE i < len(p))),
+s AS (SELECT id, len(p) AS np, len(r) AS nr, line[len(r) + 1] AS o FROM x WHERE i = len(p))
+SELECT id, CASE WHEN np > 0 THEN CAST(o AS DOUBLE) / CAST(np AS DOUBLE) ELSE 0 END AS precision, CASE WHEN nr > 0 THEN CAST(o AS DOUBLE) / CAST(nr AS DOUBLE) ELSE 0 END AS recall, CASE WHEN np + nr > 0 THEN CAST(2 * o AS DOUBLE) / CAST(np + nr AS DOUBLE) ELSE 0 END AS f1 FROM s"""
+
+
 def comparable(spark, sf):
     side = lambda n: F.expr(f"named_struct('digest', o_custkey % {n}, 'temperature', o_orderkey % 2, 'thinking', CASE WHEN o_orderkey % {n} = 0 THEN NULL ELSE o_orderstatus END)")
     rows = table(spark, sf, "orders").select("o_orderkey", side(3).alias("a"), side(4).alias("b"))
@@ -354,7 +364,7 @@ SQL = {
     "d15_ood_layer": "SELECT c_custkey AS run_id, CASE WHEN c_custkey % 3 = 0 THEN 'reported' WHEN c_custkey % 2 = 0 AND c_custkey % 5 <> 0 THEN 'missing' ELSE 'not requested' END AS ood_status FROM customer",
     "d16_category_breakdown": f"{_OUT}, {_rollup_sql('layer, category')} SELECT *, category <> '5-LOW' AS in_training FROM rr",
     "d17_length_ratio": _RATIOS,
-    "d18_rouge_n": _ROUGE,
+    "d18_rouge_n": _ROUGE, "d18_rouge_l": _ROUGE_L,
     "d19_judge_missingness": f"{_OUT} SELECT sl.layer, category, stop_reason, count(*) AS n_slots, CAST(sum(attempts) AS BIGINT) AS attempts, count(*) - count(o) AS n_unscorable, CAST(count(*) - count(o) AS DOUBLE) / count(*) AS unscorable_share, count(*) FILTER (o IS NOT NULL AND first_bad) AS n_recovered FROM sl LEFT JOIN items USING (layer, item_id) GROUP BY 1, 2, 3",
     "d28_run_comparability": _COMPARABLE,
     "d29_trim_new_tokens": _TRIMMED,

@@ -160,7 +160,7 @@ def test_greedy_match_is_the_sequential_result(spark):
     gts = [(i, box()) for i in range(40)]
     d = spark.createDataFrame([(1, 1, i, i, s, b) for i, s, b in dets], "image_id int, category_id int, det_id int, ord int, score double, bbox array<double>")
     t = spark.createDataFrame([(1, 1, i, i, b) for i, b in gts], "image_id int, category_id int, gt_id int, ord int, bbox array<double>")
-    got = detection.greedy_match(d, t, (0.3, 0.5), cell=16.0).collect()
+    got = detection.greedy_match(d, t, (0.3, 0.5)).collect()
     for thr in (0.3, 0.5):
         assert {(r.det_id, r.gt_id) for r in got if r.thr == thr} == greedy(dets, gts, thr)
 
@@ -192,3 +192,77 @@ def test_as_of_and_global_rank(spark):
     assert got == {i: max((float(d) for _, _, d in right if d <= day), default=None) for _, i, day in left}
     ranked = ordering.rank_overall(l.select("i", "d"), ["d", "i"], "rank").collect()
     assert {r.i: r["rank"] for r in ranked} == {i: n for n, (_, i) in enumerate(sorted((d, i) for _, i, d in left), 1)}
+
+
+def plain_iou(a, b):
+    side = lambda i: max(0.0, min(a[i] + a[i + 2], b[i] + b[i + 2]) - max(a[i], b[i]))
+    inter = side(0) * side(1)
+    union = a[2] * a[3] + b[2] * b[3] - inter
+    return inter / union if union > 0 else 0.0
+
+
+@pytest.mark.parametrize("floor", [0.0, 0.05, 0.5, 1.0])
+def test_box_iou_of_all_sizes(spark, floor):
+    rng = random.Random(8)
+    made = lambda: [rng.uniform(-50, 50), rng.uniform(-50, 50), rng.choice([0.0, 1e-4, 0.5, 1.0, 2.0, 8.0, 33.0, 700.0, 3e5]) * rng.choice([1, rng.random()]), rng.choice([0.3, 4.0, 16.0, 100.0, 3e5])]
+    d = [(i, rng.randrange(3), 1, made()) for i in range(90)]
+    t = [(i, rng.randrange(3), 1, made() if i % 2 else d[i][3]) for i in range(60)]
+    schema = "image_id long, category_id long, bbox array<double>"
+    got = detection.box_iou(spark.createDataFrame(d, f"det_id long, {schema}"), spark.createDataFrame(t, f"gt_id long, {schema}"), floor).collect()
+    want = {(a[0], b[0]): plain_iou(a[3], b[3]) for a in d for b in t if a[1] == b[1] and plain_iou(a[3], b[3]) > 0 and plain_iou(a[3], b[3]) >= floor}
+    assert len(got) == len(want) and {(r.det_id, r.gt_id): pytest.approx(r.iou) for r in got} == want
+
+
+def test_a_large_box_covers_four_cells(spark):
+    boxes = spark.createDataFrame([([12.0, 7.0, 3e5, 2e5],), ([0.0, 0.0, 64.0, 64.0],), ([5.0, 5.0, 0.0, 0.0],)], "b array<double>")
+    assert all(r.n <= 4 for r in boxes.withColumn("level", detection._level("b")).select(F.size(detection._cells("b", "level")).alias("n")).collect())
+
+
+def test_bootstrap_weights_add_up_and_repeat(spark):
+    gts = spark.createDataFrame([(i, i % 23, 1) for i in range(60)], "gt_id long, image_id long, category_id long")
+    rows = detection.bootstrap_weights(gts, 17, 5)
+    sums = {r.b: r.w for r in rows.groupBy("b").agg(F.sum("weight").alias("w")).collect()}
+    assert sums == {b: 23 for b in range(17)}
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, detection.bootstrap_weights(gts.repartition(7), 17, 5).collect()))
+    assert detection.bootstrap_weights(gts.limit(0), 17, 5).count() == 0
+
+
+def test_longest_common_subsequence():
+    from tallyloom.operators.judging import common_length
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            diagonal = 0
+            for j, y in enumerate(b, 1):
+                diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = ([rng.randrange(rng.choice([2, 5, 50])) for _ in range(rng.randrange(0, 150))] for _ in range(2))
+        assert common_length(a, b) == plain(a, b)
+    long = [rng.randrange(500) for _ in range(20_000)]
+    import time
+
+    start = time.perf_counter()
+    assert common_length(long, long[::2]) == 10_000
+    other = [rng.randrange(500) for _ in range(20_000)]
+    common_length(long, other)
+    assert time.perf_counter() - start < 2
+
+
+def test_variants_are_drawn_again(spark):
+    from tallyloom.operators import augmentation
+
+    tasks = spark.createDataFrame([(f"t{i}",) for i in range(40)], "task string")
+    for top, perms in ((3, {"perm9": 5, "perm10": 18}), (2, {"perm9": 1, "perm10": 4})):
+        plan = augmentation.plan_variants(tasks, "task", 24, 3, top).collect()
+        for i in range(40):
+            sigs = [r.sig for r in plan if r.task == f"t{i}"]
+            assert len(sigs) == len(set(sigs))
+            # two draws of a kind without geometry, two of perm9 with each: new ones while there are any
+            kinds = [r.sig for r in plan if r.task == f"t{i}" and r.geom is None]
+            assert len(kinds) == min(2, perms["perm9"]) + min(2, perms["perm10"])
+    again = augmentation.plan_variants(tasks, "task", 24, 3, 2).collect()
+    assert again == augmentation.plan_variants(tasks.repartition(5), "task", 24, 3, 2).orderBy("task", "slot").collect() or sorted(again) == sorted(augmentation.plan_variants(tasks.repartition(5), "task", 24, 3, 2).collect())
