@@ -31,8 +31,9 @@ def count_where(cond: Column) -> Column:
 
 
 def money(col: Column | str) -> Column:
-    """Six-decimal fixed point, so sums do not depend on the order rows arrive in."""
-    return (F.col(col) if isinstance(col, str) else col).cast("decimal(28,6)")
+    """Fixed point of twelve decimals, so sums do not depend on the order rows arrive in and rows of
+    a millionth of a cent still count."""
+    return (F.col(col) if isinstance(col, str) else col).cast("decimal(30,12)")
 
 
 def money_sum(col: Column | str) -> Column:
@@ -92,5 +93,5 @@ def quantile_position(q: float) -> Column:
 
 
 def running_safe_sum(col: str) -> Column:
-    """A sum of measurements that does not depend on arrival order (six decimals)."""
+    """A sum of measurements that does not depend on arrival order."""
     return F.sum(money(col)).cast("double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as tx
@@ -38,7 +38,6 @@ ALIASES = {
 }
 URI_FIELDS = ("source_uri", "customer_eval_uri", "ood_eval_uri", "model_artifact_uri", "readiness_report_uri")
 CONTEXT_WORDS = ("kb", "knowledge base", "knowledge_base", "retrieval", "ingest")
-FACT_CAP = 40
 MESSAGE_CHARS, TRANSCRIPT_CHARS, STALE_TURN_MINUTES = 8_000, 100_000, 20
 
 # Fixed patterns of a claim in free text.
@@ -77,12 +76,12 @@ def _clean(value: Column) -> Column:
 
 
 def mine_facts(
-    turns: DataFrame, aliases: dict[str, Sequence[str]] = ALIASES, cap: int = FACT_CAP
+    turns: DataFrame, aliases: dict[str, Sequence[str]] = ALIASES, cap: int | None = None
 ) -> DataFrame:
     """Facts users state: named URIs, key/value pairs, bare URIs and knowledge-base ids.
 
-    `turns`: conv_id, turn, role, text. Distinct per conversation in order of appearance; past
-    `cap` one explicit cap row says the rest was not checked.
+    `turns`: conv_id, turn, role, text. Distinct per conversation in order of appearance, all of
+    them; with a `cap`, one explicit cap row says the rest was not checked.
     """
     fact = lambda name, value: F.struct(name.alias("name"), value.alias("value"))
 
@@ -123,9 +122,12 @@ def mine_facts(
         "conv_id", "turn", "_i", "f.*"
     )
     distinct = said.groupBy("conv_id", "name", "value").agg(F.min(F.struct("turn", "_i")).alias("_at"))
+    if cap is None:
+        position = F.row_number().over(Window.partitionBy("conv_id").orderBy("_at"))
+        return distinct.select("conv_id", position.cast("long").alias("position"), "name", "value")
     kept = newest(distinct, ["conv_id"], [F.col("_at").asc()], cap)
     facts = kept.select("conv_id", F.col("position").cast("long").alias("position"), "name",
-                        F.substring("value", 1, 300).alias("value"), "truncated")
+                        "value", "truncated")
     capped = facts.where(F.col("truncated") & (F.col("position") == cap)).select(
         "conv_id", F.lit(cap + 1).cast("long").alias("position"), F.lit("intake").alias("name"),
         F.lit("cap").alias("value"), "truncated",
@@ -162,7 +164,7 @@ def validate_forms(
     checked = checked.withColumn("error", error)
     normal = F.when(
         F.col("type") == "bool", F.when(low.isin("true", "yes"), "true").otherwise("false")
-    ).otherwise(F.substring("value", 1, 2000))
+    ).otherwise(F.col("value"))
     given = F.col("type").isNotNull() & (F.col("value") != "")
     # Several names of one field in a form: the canonical name first, then by name.
     clean = checked.where(F.col("error").isNull() & given).groupBy("form_id", "param").agg(
@@ -233,7 +235,7 @@ def readiness(plans: DataFrame, facts: DataFrame, forms: DataFrame, questions: S
     )
     return grid.join(verified, ["task_id", "field"], "left").join(given, ["task_id", "field"], "left").select(
         "task_id", "field", answered.alias("answered"), confirmed.alias("verified"),
-        by_form.alias("via_form"), F.substring(value, 1, 300).alias("value"),
+        by_form.alias("via_form"), value.alias("value"),
     )
 
 

@@ -250,6 +250,18 @@ def stage_history(events: DataFrame) -> DataFrame:
     return counted.drop("_range", *run)
 
 
+def escalation_records(events: DataFrame) -> DataFrame:
+    """Each call for a person as a finding: run, position in the run, iteration, stage, reason.
+
+    `events`: run_id, ts, event_id, stage, iteration, reason. Stage and reason are filled in where
+    they were not said, so a record is never lost for lack of them.
+    """
+    said = lambda c, default: F.coalesce(F.when(F.trim(c) != "", F.col(c)), F.lit(default))
+    return stage_history(events).select(
+        "run_id", "position", "iteration", said("stage", "unknown").alias("stage"),
+        said("reason", "no reason recorded").alias("reason"), F.lit("critical").alias("severity"))
+
+
 def stage_map(events: DataFrame) -> DataFrame:
     """The last record per (run, stage): what the manifest's stage map holds."""
     rest = [c for c in events.columns if c not in ("run_id", "stage")]

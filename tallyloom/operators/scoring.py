@@ -239,7 +239,7 @@ def generation_stats(attempts: DataFrame, dataset: str = "dataset") -> DataFrame
 
 
 def attempt_counts(attempts: DataFrame, dataset: str = "dataset") -> DataFrame:
-    money = lambda c: F.sum(F.col(c).cast("decimal(28,6)"))
+    money = lambda c: F.sum(F.col(c).cast("decimal(30,12)"))
     return attempts.groupBy(dataset, "task_id").agg(
         F.count("*").alias("attempts"), F.min(F.when(F.col("solved"), F.col("attempt"))).alias("first_success"),
         F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),

@@ -41,7 +41,6 @@ PASS_STATE = "completed"
 STALE_MINUTES, RESURRECTION_CAP = 20, 5
 ERROR_PERIOD_S = 300
 WARMUP_STEPS = 3
-FAILURE_REASON_CHARS = 200
 
 
 def starts_with_any(col: Column, prefixes: Sequence[str]) -> Column:
@@ -97,7 +96,7 @@ def stage_flow(
         F.max_by(F.when(entered, F.col("state")), F.when(entered, F.col("event_id"))).alias("state"),
         F.min_by("ts", F.when(entered, F.col("event_id"))).alias("entered_at"),
         F.max_by("ts", F.when(left, F.col("event_id"))).alias("exited_at"),
-        F.max_by(F.struct("error", F.substring("cause", 1, 400).alias("cause")),
+        F.max_by(F.struct("error", "cause"),
                  F.when(failing, F.col("event_id"))).alias("_err"),
         F.max(F.when(entered, F.col("event_id"))).alias("_last_in"),
     )
@@ -316,8 +315,8 @@ def liveness_sweep(runs: DataFrame, now: str, stale: float = STALE_MINUTES, cap:
 
 def fleet_metrics(metrics: DataFrame) -> DataFrame:
     """Per owner: sums (mean for Latency) and the error rate, zero when nothing ran."""
-    total = lambda m: F.sum(F.when(F.col("metric") == m, F.col("value").cast("decimal(28,6)"))).cast("double")
-    latency = F.when(F.col("metric") == "Latency", F.col("value").cast("decimal(28,6)"))
+    total = lambda m: F.sum(F.when(F.col("metric") == m, F.col("value").cast("decimal(30,12)"))).cast("double")
+    latency = F.when(F.col("metric") == "Latency", F.col("value").cast("decimal(30,12)"))
     out = metrics.groupBy("owner").agg(
         total("Invocations").alias("invocations"), total("Sessions").alias("sessions"),
         total("SystemErrors").alias("system_errors"), total("UserErrors").alias("user_errors"),
@@ -331,11 +330,22 @@ def fleet_metrics(metrics: DataFrame) -> DataFrame:
     )
 
 
+def token_totals(usage: DataFrame) -> DataFrame:
+    """Tokens by type (token_type, value); input and output are there even if nothing was used.
+
+    A record without a type counts under `?`.
+    """
+    named = usage.select(F.coalesce("token_type", F.lit("?")).alias("token_type"), F.col("value").cast("decimal(30,12)").alias("value"))
+    always = usage.sparkSession.createDataFrame([("input", None), ("output", None)], "token_type string, value decimal(30,12)")
+    sums = named.unionByName(always).groupBy("token_type").agg(F.sum("value").alias("tokens"))
+    return sums.select("token_type", F.coalesce(F.col("tokens").cast("double"), F.lit(0.0)).alias("tokens"))
+
+
 def daily_series(metrics: DataFrame, metric: str) -> DataFrame:
     return (
         metrics.where(F.col("metric") == metric)
         .groupBy("owner", F.to_date("ts").alias("day"))
-        .agg(F.sum(F.col("value").cast("decimal(28,6)")).cast("double").alias("value"))
+        .agg(F.sum(F.col("value").cast("decimal(30,12)")).cast("double").alias("value"))
     )
 
 
@@ -443,7 +453,7 @@ def latest_job_state(job_events: DataFrame) -> DataFrame:
     )
     return latest.select(
         "job_name", F.col("j.status").alias("job_status"),
-        F.substring("j.failure_reason", 1, FAILURE_REASON_CHARS).alias("failure_reason"),
+        F.col("j.failure_reason").alias("failure_reason"),
     )
 
 
@@ -485,6 +495,26 @@ def completed_fraction(global_step: Column, max_steps: Column, intended: Column,
     return F.when(capped, ratio(global_step, intended)).otherwise(ratio(global_step, max_steps))
 
 
+def intended_steps(rows: Column, epochs: Column, batch: Column, accumulation: Column) -> Column:
+    """Optimizer steps of a full run: one takes batch * accumulation rows."""
+    per_step = F.greatest(F.lit(1), batch.cast("long") * accumulation.cast("long"))
+    return F.greatest(F.lit(1), F.ceil(rows * epochs.cast("double") / per_step)).cast("long")
+
+
+def training_progress(log: DataFrame, runs: DataFrame, width: float = 1.0) -> DataFrame:
+    """The log's summary with step times and how much of each run was done.
+
+    `runs`: run_id, n_rows, epochs, batch_size, accumulation, max_steps (the trainer's),
+    max_steps_requested (above zero for a run cut to so many steps). A cut run is measured against
+    the full one. `log` needs `seconds`.
+    """
+    known = training_log_summary(log).join(step_timing(log, width=width).drop("global_step"), "run_id", "left").join(runs, "run_id")
+    intended = intended_steps(F.col("n_rows"), F.col("epochs"), F.col("batch_size"), F.col("accumulation"))
+    capped = F.coalesce(F.col("max_steps_requested") > 0, F.lit(False))
+    return known.withColumns({"intended_steps": intended, "step_capped": capped}).withColumn(
+        "completed_fraction", completed_fraction(F.col("global_step"), F.col("max_steps"), F.col("intended_steps"), F.col("step_capped")))
+
+
 def training_log_summary(log: DataFrame) -> DataFrame:
     """`log`: run_id, step, epoch, loss?, eval_loss?, rows_dropped?; absent values stay null."""
     has_loss, has_eval = F.col("loss").isNotNull(), F.col("eval_loss").isNotNull()

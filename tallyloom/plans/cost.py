@@ -11,7 +11,7 @@ from tallyloom.plans.views import PATTERNS, PREFIXES, PROJECT, view, with_views
 from tallyloom.session import table
 
 TODAY = "2001-06-01"
-MONEY = "CAST(sum(CAST({} AS DECIMAL(28,6))) AS DOUBLE)"
+MONEY = "CAST(sum(CAST({} AS DECIMAL(38,12))) AS DOUBLE)"
 
 
 def _sum(col: str) -> str:
@@ -199,7 +199,7 @@ def estimate_rollup(spark, sf):
 
 _ROLLUP = f"""{_LINES}, agg AS (
   SELECT plan_id, coalesce({_sum('cost_usd')}, 0) AS total_usd,
-         coalesce(CAST(sum(CASE WHEN remediable THEN CAST(cost_usd AS DECIMAL(28,6)) END) AS DOUBLE), 0) AS remediable_usd,
+         coalesce(CAST(sum(CASE WHEN remediable THEN CAST(cost_usd AS DECIMAL(38,12)) END) AS DOUBLE), 0) AS remediable_usd,
          max(CASE rate_source WHEN 'ce_realized' THEN 0 WHEN 'price_list' THEN 1 ELSE 2 END) AS r,
          coalesce(string_agg(DISTINCT CASE WHEN cost_usd IS NULL THEN sku END, ',' ORDER BY CASE WHEN cost_usd IS NULL THEN sku END), '') AS unpriced,
          count(*) FILTER (cost_usd IS NULL) AS nu
@@ -229,8 +229,8 @@ def budget_decision(spark, sf):
 
 _BUDGET = f"""{with_views('estimates')}, e AS (
   SELECT *, coalesce(worst_case_usd, total_usd) AS gating_usd FROM estimates),
-r AS (SELECT *, CAST(sum(CAST(gating_usd AS DECIMAL(28,6))) OVER (PARTITION BY project ORDER BY created_at, id ROWS UNBOUNDED PRECEDING)
-        - CAST(gating_usd AS DECIMAL(28,6)) AS DOUBLE) AS project_to_date_usd FROM e),
+r AS (SELECT *, CAST(sum(CAST(gating_usd AS DECIMAL(38,12))) OVER (PARTITION BY project ORDER BY created_at, id ROWS UNBOUNDED PRECEDING)
+        - CAST(gating_usd AS DECIMAL(38,12)) AS DOUBLE) AS project_to_date_usd FROM e),
 d AS (SELECT *, gating_usd > 500000 AS over_single, project_to_date_usd + gating_usd > 40000000 AS over_cumulative FROM r)
 SELECT id, gating_usd, project_to_date_usd, over_single, over_cumulative,
        greatest(0.0, gating_usd - 500000) AS over_budget_usd, (over_single OR over_cumulative) AS approval_required,
@@ -288,6 +288,10 @@ tagged AS (
   FROM stripped)"""
 
 
+def attributed_by_resource(spark, sf):
+    return actuals.attributed_resources(view(spark, sf, "billing"), PATTERNS, PREFIXES).withColumn("period", F.col("period").cast("string"))
+
+
 def excluded(spark, sf):
     return actuals.excluded_actuals(view(spark, sf, "billing"), PATTERNS, PREFIXES).withColumn(
         "period", F.col("period").cast("string")
@@ -351,8 +355,8 @@ def _act_by_priority(spark, sf):
     )
 
 
-_RECON = """WITH est AS (SELECT o_custkey AS run_id, o_orderpriority AS category, CAST(o_totalprice AS DECIMAL(28,6)) AS c FROM orders),
-act AS (SELECT o_custkey + (l_linenumber % 2) * 5 AS run_id, o_orderpriority AS category, CAST(l_extendedprice AS DECIMAL(28,6)) AS c,
+_RECON = """WITH est AS (SELECT o_custkey AS run_id, o_orderpriority AS category, CAST(o_totalprice AS DECIMAL(38,12)) AS c FROM orders),
+act AS (SELECT o_custkey + (l_linenumber % 2) * 5 AS run_id, o_orderpriority AS category, CAST(l_extendedprice AS DECIMAL(38,12)) AS c,
           l_linestatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 e AS (SELECT run_id, category, sum(c) AS s FROM est GROUP BY ALL), a AS (SELECT run_id, category, sum(c) AS s FROM act GROUP BY ALL),
 cats AS (SELECT run_id, category, coalesce(e.s, 0) AS es, coalesce(a.s, 0) AS s, CAST(coalesce(a.s, 0) - coalesce(e.s, 0) AS DOUBLE) AS delta_usd,
@@ -405,9 +409,11 @@ def overview(spark, sf):
 
 _OVERVIEW = f"""{with_views('ledger')}, rows_ AS (
   SELECT coalesce(nullif(category, ''), 'unknown') AS category, coalesce(nullif(service, ''), 'unknown') AS service, run_id,
-         strftime(period, '%Y-%m-%d') AS period, settlement, CAST(cost_usd AS DECIMAL(28,6)) AS c FROM ledger WHERE row_kind = 'cost'),
-runs AS (SELECT run_id, CAST(sum(c) AS DOUBLE) AS cost_usd, count(*) AS n_rows FROM rows_ WHERE run_id <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25),
-days AS (SELECT period, CAST(sum(c) AS DOUBLE) AS cost_usd, count(*) AS n_rows FROM rows_ GROUP BY 1 ORDER BY 1 DESC LIMIT 30)
+         strftime(period, '%Y-%m-%d') AS period, settlement, CAST(cost_usd AS DECIMAL(38,12)) AS c FROM ledger WHERE row_kind = 'cost'),
+run_ AS (SELECT run_id, CAST(sum(c) AS DOUBLE) AS cost_usd, count(*) AS n_rows, row_number() OVER (ORDER BY CAST(sum(c) AS DOUBLE) DESC, run_id) AS rn FROM rows_ WHERE run_id <> '' GROUP BY 1),
+day_ AS (SELECT period, CAST(sum(c) AS DOUBLE) AS cost_usd, count(*) AS n_rows, row_number() OVER (ORDER BY period DESC) AS rn FROM rows_ GROUP BY 1),
+runs AS (SELECT CASE WHEN rn <= 25 THEN run_id ELSE 'others' END, CAST(sum(CAST(cost_usd AS DECIMAL(38,12))) AS DOUBLE), CAST(sum(n_rows) AS BIGINT) FROM run_ GROUP BY 1),
+days AS (SELECT CASE WHEN rn <= 30 THEN period ELSE 'others' END, CAST(sum(CAST(cost_usd AS DECIMAL(38,12))) AS DOUBLE), CAST(sum(n_rows) AS BIGINT) FROM day_ GROUP BY 1)
 SELECT 'category' AS "grouping", category AS "key", CAST(sum(c) AS DOUBLE) AS cost_usd, count(*) AS n_rows FROM rows_ GROUP BY 2
 UNION ALL SELECT 'service', service, CAST(sum(c) AS DOUBLE), count(*) FROM rows_ GROUP BY 2
 UNION ALL SELECT 'settlement', settlement, CAST(sum(c) AS DOUBLE), count(*) FROM rows_ GROUP BY 2
@@ -429,8 +435,8 @@ def accuracy(spark, sf):
     return actuals.accuracy_trend(_yearly(spark, sf))
 
 
-_ACCURACY = f"""WITH r AS (SELECT strftime(o_orderdate, '%Y-%m') AS period, CAST(o_totalprice AS DECIMAL(28,6)) AS e, coalesce(s, 0) AS a
-  FROM orders LEFT JOIN (SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(28,6))) AS s FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey),
+_ACCURACY = f"""WITH r AS (SELECT strftime(o_orderdate, '%Y-%m') AS period, CAST(o_totalprice AS DECIMAL(38,12)) AS e, coalesce(s, 0) AS a
+  FROM orders LEFT JOIN (SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(38,12))) AS s FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey),
 p AS (SELECT period, count(*) AS n_runs, CAST(sum(e) AS DOUBLE) AS estimate_usd, CAST(sum(a) AS DOUBLE) AS actual_usd FROM r GROUP BY 1)
 SELECT *, actual_usd / estimate_usd AS accuracy_ratio,
        actual_usd / estimate_usd - lag(actual_usd / estimate_usd) OVER (ORDER BY period) AS accuracy_change FROM p
@@ -508,6 +514,7 @@ QUERIES = {
     "e6_budget_decision": budget_decision,
     "e7_approval_audit": approval_audit,
     "e8_attribute_actuals": attributed,
+    "e8_attributed_resources": attributed_by_resource,
     "e8_excluded_actuals": excluded,
     "e9_run_id_from_resource": resource_run_ids,
     "e10_settlement": settlement_by_run,
@@ -529,7 +536,7 @@ QUERIES = {
     "e22_spend_to_date": to_date,
 }
 
-_TAG_TOTALS = f"""{with_views('ledger')}, t AS (SELECT run_id, {_sum('cost_usd')} AS res, coalesce(CAST(sum(CASE WHEN service <> 'A' THEN CAST(cost_usd AS DECIMAL(28,6)) END) AS DOUBLE), 0) AS tag,
+_TAG_TOTALS = f"""{with_views('ledger')}, t AS (SELECT run_id, {_sum('cost_usd')} AS res, coalesce(CAST(sum(CASE WHEN service <> 'A' THEN CAST(cost_usd AS DECIMAL(38,12)) END) AS DOUBLE), 0) AS tag,
   bool_or(settlement = 'settled') AS act FROM ledger GROUP BY 1)"""
 
 SQL = {
@@ -544,6 +551,7 @@ SQL = {
     "e7_approval_audit": _APPROVAL,
     "e8_attribute_actuals": f"""{_TAGGED} SELECT project, strftime(period, '%Y-%m-%d') AS period, run_id, category, {_sum('cost_usd')} AS cost_usd, count(*) AS n_rows,
   bool_or(estimated) AS estimated, CASE WHEN bool_or(estimated) THEN 'provisional' ELSE 'settled' END AS settlement FROM tagged WHERE ours GROUP BY 1, 2, 3, 4""",
+    "e8_attributed_resources": f"""{_TAGGED} SELECT project, strftime(period, '%Y-%m-%d') AS period, run_id, category, resource_id, {_sum('cost_usd')} AS cost_usd, count(*) AS n_rows FROM tagged WHERE ours GROUP BY 1, 2, 3, 4, 5""",
     "e8_excluded_actuals": f"""{_TAGGED} SELECT project, strftime(period, '%Y-%m-%d') AS period, resource_id, {_sum('cost_usd')} AS cost_usd, count(*) AS n_rows,
   'not in project allowlist' AS reason FROM tagged WHERE NOT ours GROUP BY 1, 2, 3""",
     "e9_run_id_from_resource": f"{_TAGGED} SELECT DISTINCT resource_id, nullif(run_id, 'unattributed') AS run_id FROM tagged",
@@ -569,7 +577,7 @@ SELECT project, strftime(period, '%Y-%m-%d') AS period, settlement, count(*) AS
     "e16_flag_variance": f"{_VARIANCE} SELECT run_id, variance_pct, driver, CAST(NULL AS VARCHAR) AS problem FROM var WHERE abs(variance_pct) > 60",
     "e17_cost_overview": _OVERVIEW,
     "e18_accuracy_trend": _ACCURACY,
-    "e18_drivers_of_misses": f"{_RECON} SELECT driver, count(*) AS n_runs, CAST(sum(CAST(abs(driver_delta_usd) AS DECIMAL(28,6))) AS DOUBLE) AS abs_delta_usd FROM drv WHERE rn = 1 GROUP BY 1",
+    "e18_drivers_of_misses": f"{_RECON} SELECT driver, count(*) AS n_runs, CAST(sum(CAST(abs(driver_delta_usd) AS DECIMAL(38,12))) AS DOUBLE) AS abs_delta_usd FROM drv WHERE rn = 1 GROUP BY 1",
     "e19_tokens_per_run": _TOKENS,
     "e20_idle_sweep": _IDLE,
     "e20_orphan_configs": "SELECT o_orderkey AS config, o_custkey AS endpoint_name FROM orders WHERE o_custkey NOT IN (SELECT user_id FROM events)",

@@ -322,7 +322,7 @@ def attempt_hist(spark, sf):
     return scoring.attempt_histogram(view(spark, sf, "attempts"))
 
 
-_ATT = f"""{with_views('attempts')}, t AS (SELECT dataset, task_id, count(*) AS attempts, min(attempt) FILTER (solved) AS fs, sum(input_tokens) AS i, sum(output_tokens) AS o, sum(CAST(seconds AS DECIMAL(28,6))) AS s, sum(CAST(cost_usd AS DECIMAL(28,6))) AS c FROM attempts GROUP BY 1, 2)"""
+_ATT = f"""{with_views('attempts')}, t AS (SELECT dataset, task_id, count(*) AS attempts, min(attempt) FILTER (solved) AS fs, sum(input_tokens) AS i, sum(output_tokens) AS o, sum(CAST(seconds AS DECIMAL(38,12))) AS s, sum(CAST(cost_usd AS DECIMAL(38,12))) AS c FROM attempts GROUP BY 1, 2)"""
 
 
 def gen_runs(spark, sf):

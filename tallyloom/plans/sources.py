@@ -92,7 +92,7 @@ def coco(spark, sf):
     shards.write.json(path)
     _, notes, _ = readers.split_coco(spark.read.schema(readers.COCO).json(path))
     return notes.groupBy("image_id", "category_id").agg(
-        F.count("*").alias("n"), F.sum(F.col("area").cast("decimal(28,6)")).cast("double").alias("area"), F.sum("iscrowd").alias("crowds"))
+        F.count("*").alias("n"), F.sum(F.col("area").cast("decimal(30,12)")).cast("double").alias("area"), F.sum("iscrowd").alias("crowds"))
 
 
 def chat(spark, sf):
@@ -143,7 +143,7 @@ def reports(spark, sf):
     problem = writers.write_run_reports(rows, path)
     problem = problem or writers.write_run_reports(rows.where("run_id IN ('n1', 'n2')").withColumn("total", F.lit(1.0)), path)
     back = spark.read.schema("generated_at bigint, total double, run_id string").parquet(f"{path}/runs")
-    return back.groupBy("run_id").agg(F.count("*").alias("n"), F.sum(F.col("total").cast("decimal(28,6)")).cast("double").alias("total")).withColumn("alias_problem", F.lit(problem))
+    return back.groupBy("run_id").agg(F.count("*").alias("n"), F.sum(F.col("total").cast("decimal(30,12)")).cast("double").alias("total")).withColumn("alias_problem", F.lit(problem))
 
 
 def line_counts(spark, sf):
@@ -174,12 +174,12 @@ SQL = {
     "a2_read_dataset": " UNION ALL ".join(f"SELECT '{k}' AS format, {_ORDER_COLS} FROM orders" for k in ("csv", "tsv", "jsonl", "parquet")) + " UNION ALL SELECT 'txt', o_orderkey, NULL, NULL, NULL FROM orders",
     "a3_load_heldout_pairs": "SELECT p_partkey AS task_id, 0::BIGINT AS pos, CAST(p_size AS BIGINT) AS i0, 1::BIGINT AS i1, CAST(p_size * 2 AS BIGINT) AS o0, 2::BIGINT AS o1 FROM part WHERE p_partkey % 10 <> 9 UNION ALL SELECT p_partkey, 1, 2, p_size, 4, p_size FROM part WHERE p_partkey % 10 <> 9 AND p_partkey % 3 <> 0",
     "a3_heldout_mismatches": "SELECT p_partkey AS task_id, 2 AS n_tests, 1 AS n_outputs FROM part WHERE p_partkey % 10 <> 9 AND p_partkey % 3 <> 0 AND p_partkey % 4 = 1",
-    "a4_read_coco": "SELECT l_suppkey AS image_id, CAST(l_linenumber AS BIGINT) AS category_id, count(*) AS n, CAST(sum(CAST(CASE WHEN l_linenumber = 1 THEN 5 ELSE l_quantity * 4 END AS DECIMAL(28,6))) AS DOUBLE) AS area, CAST(sum(CASE WHEN l_linenumber = 2 THEN 1 ELSE 0 END) AS BIGINT) AS crowds FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier) GROUP BY 1, 2",
+    "a4_read_coco": "SELECT l_suppkey AS image_id, CAST(l_linenumber AS BIGINT) AS category_id, count(*) AS n, CAST(sum(CAST(CASE WHEN l_linenumber = 1 THEN 5 ELSE l_quantity * 4 END AS DECIMAL(38,12))) AS DOUBLE) AS area, CAST(sum(CASE WHEN l_linenumber = 2 THEN 1 ELSE 0 END) AS BIGINT) AS crowds FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier) GROUP BY 1, 2",
     "a5_write_chat_splits": "SELECT CASE WHEN CAST('0x' || substr(md5('7:' || doc_id), 1, 7) AS BIGINT) % 100 < 90 THEN 'train' ELSE 'val' END AS split, 'user' AS role0, md5(text) AS digest, source AS answer FROM documents",
     "a6_explode_corpus_to_docs": f"SELECT {_DOC_ID} AS doc_id, {_LINE_DOC} AS text, o_orderkey AS position FROM orders",
     "a6_document_problems": "SELECT 'duplicate id' AS problem, 'c' || o_custkey AS doc_id FROM orders WHERE o_orderkey % 9 <> 0 GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'empty row', 'row-' || lpad('' || o_orderkey, 5, '0') FROM orders WHERE o_orderkey % 9 = 0",
     "a6_stale_documents": f"SELECT {_DOC_ID} AS doc_id FROM orders WHERE o_orderkey % 10 = 0",
     "a7_reconcile_ingest": "SELECT count(*) AS expected, count(*) AS scanned, count(*) FILTER (o_orderkey % 20 = 0) AS missing, count(*) FILTER (o_orderkey % 20 = 0) AS unexpected, false AS ok FROM orders",
-    "a8_write_run_report": "SELECT 'n' || c_nationkey AS run_id, count(*) AS n, CAST(sum(CAST(CASE WHEN c_nationkey IN (1, 2) THEN 1 ELSE c_acctbal END AS DECIMAL(28,6))) AS DOUBLE) AS total, CAST(NULL AS VARCHAR) AS alias_problem FROM customer WHERE c_nationkey <> 0 GROUP BY c_nationkey",
+    "a8_write_run_report": "SELECT 'n' || c_nationkey AS run_id, count(*) AS n, CAST(sum(CAST(CASE WHEN c_nationkey IN (1, 2) THEN 1 ELSE c_acctbal END AS DECIMAL(38,12))) AS DOUBLE) AS total, CAST(NULL AS VARCHAR) AS alias_problem FROM customer WHERE c_nationkey <> 0 GROUP BY c_nationkey",
     "a14_line_count_facts": "SELECT 'verified' AS status, 6::BIGINT AS n, count(*) FILTER (turn % 4 <> 3) AS rows, 1::BIGINT AS n_empty FROM conversations UNION ALL SELECT 'failed', 6, NULL, NULL UNION ALL SELECT 'asserted', 1, NULL, NULL",
 }

@@ -59,7 +59,7 @@ def ledger(spark, sf):
     jobs.settle_ledger(bills, path)
     back = spark.read.schema(jobs.LEDGER).parquet(path)
     return back.groupBy("project", F.col("period").cast("string").alias("period")).agg(
-        F.count("*").alias("n_rows"), F.sum(F.col("cost_usd").cast("decimal(28,6)")).cast("double").alias("cost_usd"))
+        F.count("*").alias("n_rows"), F.sum(F.col("cost_usd").cast("decimal(30,12)")).cast("double").alias("cost_usd"))
 
 
 def counters(spark, sf):
@@ -110,7 +110,7 @@ QUERIES = {
 SQL = {
     "g2_error_alarms": f"{with_views('metrics')}, w AS (SELECT owner, CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS bucket, CAST(sum(value) AS BIGINT) AS value FROM metrics WHERE metric = 'Errors' GROUP BY 1, 2) SELECT * FROM w WHERE value >= 100 AND bucket + 3600 <= epoch((SELECT max(ts) FROM metrics WHERE metric = 'Errors')) - 3600",
     "g2_silence_alarms": f"{with_views('metrics')}, " + _gaps("metrics", "metric = 'Invocations'", "owner", 21600) + " SELECT CAST(k AS VARCHAR) AS key, CAST(sum(n) AS BIGINT) AS n_alarms FROM f GROUP BY 1 HAVING sum(n) > 0",
-    "g3_settle_ledger": f"""{with_views('bills')}, t AS (SELECT *, max(delay_days) OVER (PARTITION BY project, period) AS latest FROM bills) SELECT project, strftime(period, '%Y-%m-%d') AS period, count(*) AS n_rows, CAST(sum(CAST(cost_usd AS DECIMAL(28,6))) AS DOUBLE) AS cost_usd FROM t WHERE delay_days = latest GROUP BY 1, 2""",
+    "g3_settle_ledger": f"""{with_views('bills')}, t AS (SELECT *, max(delay_days) OVER (PARTITION BY project, period) AS latest FROM bills) SELECT project, strftime(period, '%Y-%m-%d') AS period, count(*) AS n_rows, CAST(sum(CAST(cost_usd AS DECIMAL(38,12))) AS DOUBLE) AS cost_usd FROM t WHERE delay_days = latest GROUP BY 1, 2""",
     "g4_protocol_counters": f"{with_views('protocol')} SELECT run_id, stage, task, epoch, turns, arrival FROM protocol QUALIFY row_number() OVER (PARTITION BY run_id, stage, task, epoch ORDER BY turns DESC, arrival DESC) = 1",
     "g5_stage_attribution": f"{with_views('history')}, c AS (SELECT *, last_value(CASE WHEN kind = 'entered' THEN state END IGNORE NULLS) OVER (PARTITION BY execution ORDER BY event_id) AS current_state FROM history) SELECT execution, event_id, current_state, error FROM c WHERE kind = 'failed'",
     "g6_unanswered_pages": f"""{with_views('run_events')}, m AS (SELECT least(max(ts) FILTER (name = 'HumanPaged'), max(ts) FILTER (stage = 'purchase')) - INTERVAL 1 HOUR AS wm FROM run_events)

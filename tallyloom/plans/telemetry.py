@@ -253,6 +253,15 @@ def fleet(spark, sf):
     return telemetry.fleet_metrics(view(spark, sf, "metrics")).select("owner", "invocations", "sessions", "user_errors", "latency", "error_rate_pct")
 
 
+def token_use(spark, sf):
+    usage = table(spark, sf, "events").selectExpr("CASE event_type WHEN 'view' THEN 'input' WHEN 'error' THEN NULL WHEN 'click' THEN 'cached' ELSE event_type END AS token_type", "value")
+    return telemetry.token_totals(usage)
+
+
+_TOKEN_USE = """WITH u AS (SELECT CASE event_type WHEN 'view' THEN 'input' WHEN 'error' THEN '?' WHEN 'click' THEN 'cached' ELSE event_type END AS token_type, CAST(value AS DECIMAL(38,12)) AS v FROM events UNION ALL SELECT unnest(['input', 'output']), 0)
+SELECT token_type, CAST(sum(v) AS DOUBLE) AS tokens FROM u GROUP BY 1"""
+
+
 _FLEET = f"""{with_views('metrics')}, s AS (SELECT owner, CAST(sum(value) FILTER (metric = 'Invocations') AS DOUBLE) AS invocations, CAST(sum(value) FILTER (metric = 'Sessions') AS DOUBLE) AS sessions,
   CAST(sum(value) FILTER (metric = 'UserErrors') AS DOUBLE) AS user_errors, CAST(sum(value) FILTER (metric = 'Latency') AS DOUBLE) / count(*) FILTER (metric = 'Latency') AS latency FROM metrics GROUP BY 1)
 SELECT *, CASE WHEN coalesce(invocations, 0) <> 0 THEN 100.0 * coalesce(user_errors, 0) / invocations ELSE 0 END AS error_rate_pct FROM s"""
@@ -287,7 +296,7 @@ SELECT owner, bucket FROM r WHERE seen < 1 AND rn >= periods"""
 
 def health(spark, sf):
     req = view(spark, sf, "requests")
-    rates = req.groupBy("endpoint").agg(F.sum(F.col("cost_usd").cast("decimal(28,6)")).cast("double").alias("cost_usd"))
+    rates = req.groupBy("endpoint").agg(F.sum(F.col("cost_usd").cast("decimal(30,12)")).cast("double").alias("cost_usd"))
     base = req.where("endpoint <> 'ep-3'").groupBy("endpoint").agg(F.max("output_chars").cast("double").alias("output_chars"))
     return telemetry.health(req, rates, base, 0.5)
 
@@ -295,7 +304,7 @@ def health(spark, sf):
 _HEALTH = f"""{with_views('requests')}, q AS (SELECT *, row_number() OVER (PARTITION BY endpoint ORDER BY latency_ms) - 1 AS i, count(*) OVER (PARTITION BY endpoint) AS n FROM requests),
 a AS (SELECT endpoint, count(*) AS invocations, max(latency_ms) FILTER (i = least(n - 1, CAST(floor(0.5 * n) AS BIGINT))) AS p50_ms,
   max(latency_ms) FILTER (i = least(n - 1, CAST(floor(0.9 * n) AS BIGINT))) AS p90_ms, count(*) FILTER (status BETWEEN 400 AND 499) AS c4, count(*) FILTER (status >= 500) AS c5,
-  CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(CAST(cost_usd AS DECIMAL(28,6))) AS DOUBLE) AS cost, CAST(sum(output_chars) AS DOUBLE) / count(*) AS m, CAST(max(output_chars) AS DOUBLE) AS b FROM q GROUP BY 1)
+  CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(CAST(cost_usd AS DECIMAL(38,12))) AS DOUBLE) AS cost, CAST(sum(output_chars) AS DOUBLE) / count(*) AS m, CAST(max(output_chars) AS DOUBLE) AS b FROM q GROUP BY 1)
 SELECT endpoint, invocations, p50_ms, p90_ms, CAST(c4 AS DOUBLE) / invocations AS rate_4xx, CAST(c5 AS DOUBLE) / invocations AS rate_5xx, output_tokens,
   cost / invocations AS cost_per_invocation, CASE WHEN endpoint <> 'ep-3' THEN m / b - 1 END AS length_shift, CASE WHEN endpoint <> 'ep-3' THEN abs(m / b - 1) > 0.5 END AS drift_detected FROM a"""
 
@@ -326,7 +335,7 @@ def _pick(q: float, where: str = "") -> str:
     return f"""(SELECT list(seconds ORDER BY seconds)[least(count(*) - 1, CAST(floor({q} * count(*)) AS BIGINT)) + 1] FROM steps x WHERE x.run_id = s.run_id {where})"""
 
 
-_STEPS = f"""{with_views('steps')}, s AS (SELECT run_id, count(*) AS n_steps, CAST(sum(CAST(seconds AS DECIMAL(28,6))) AS DOUBLE) / count(*) AS mean, arg_min(seconds, step) AS first_step, max(step) AS global_step FROM steps GROUP BY 1)
+_STEPS = f"""{with_views('steps')}, s AS (SELECT run_id, count(*) AS n_steps, CAST(sum(CAST(seconds AS DECIMAL(38,12))) AS DOUBLE) / count(*) AS mean, arg_min(seconds, step) AS first_step, max(step) AS global_step FROM steps GROUP BY 1)
 SELECT *, CAST({_pick(0.5)} AS DOUBLE) AS p50, CAST({_pick(0.9)} AS DOUBLE) AS p90, CAST(coalesce({_pick(0.5, 'AND step > 3')}, {_pick(0.5)}) AS DOUBLE) AS p50_steady,
   CAST(coalesce({_pick(0.9, 'AND step > 3')}, {_pick(0.9)}) AS DOUBLE) AS p90_steady FROM s"""
 
@@ -336,10 +345,33 @@ def train_log(spark, sf):
 
 
 _LOG = f"""{with_views('steps')} SELECT run_id, CAST(arg_max(loss, step) FILTER (loss IS NOT NULL) AS DOUBLE) AS final_train_loss,
-  CAST(sum(CAST(loss AS DECIMAL(28,6))) AS DOUBLE) / nullif(count(loss), 0) AS mean_train_loss, CAST(arg_max(eval_loss, step) FILTER (eval_loss IS NOT NULL) AS DOUBLE) AS final_eval_loss,
+  CAST(sum(CAST(loss AS DECIMAL(38,12))) AS DOUBLE) / nullif(count(loss), 0) AS mean_train_loss, CAST(arg_max(eval_loss, step) FILTER (eval_loss IS NOT NULL) AS DOUBLE) AS final_eval_loss,
   max(rows_dropped) AS rows_dropped, max(step) AS global_step FROM steps GROUP BY 1"""
 
 
+#: Runs of the training log: sizes by run number, every third cut to a few steps, one in eleven without a trainer's limit.
+_RUNS = "conv_id AS run_id, 40 + conv_id * 7 AS n_rows, 1 + conv_id % 3 AS epochs, 1 + conv_id % 4 AS batch_size, conv_id % 5 AS accumulation, CASE WHEN conv_id % 11 = 0 THEN 0 ELSE 5 + conv_id % 9 END AS max_steps, CASE WHEN conv_id % 3 = 0 THEN 20 ELSE -1 END AS max_steps_requested"
+
+
+def progress(spark, sf):
+    runs = table(spark, sf, "conversations").selectExpr(*_RUNS.split(", ")).distinct()
+    return telemetry.training_progress(view(spark, sf, "steps"), runs, width=16.0).select(
+        "run_id", "global_step", "n_steps", "p50_steady", "intended_steps", "step_capped", "completed_fraction")
+
+
+_STEP_SUMS = _STEPS.split("\nSELECT *")[0]
+_PROGRESS = f"""{_STEP_SUMS}, runs AS (SELECT DISTINCT {_RUNS} FROM conversations),
+i AS (SELECT s.*, runs.* EXCLUDE (run_id), greatest(1, CAST(ceil(n_rows * CAST(epochs AS DOUBLE) / greatest(1, batch_size * accumulation)) AS BIGINT)) AS intended_steps, max_steps_requested > 0 AS step_capped FROM s JOIN runs USING (run_id))
+SELECT run_id, global_step, n_steps, CAST(coalesce({_pick(0.5, 'AND step > 3')}, {_pick(0.5)}) AS DOUBLE) AS p50_steady, intended_steps, step_capped,
+  CASE WHEN step_capped THEN CAST(global_step AS DOUBLE) / intended_steps ELSE CAST(global_step AS DOUBLE) / nullif(max_steps, 0) END AS completed_fraction FROM i s"""
+
+
+def escalated(spark, sf):
+    pages = view(spark, sf, "run_events").where("name = 'HumanPaged'").selectExpr(
+        "run_id", "ts", "event_id", "event_id % 3 AS iteration", "CASE WHEN event_id % 5 = 0 THEN '' ELSE stage END AS stage", "CASE WHEN event_id % 8 = 0 THEN NULL WHEN event_id % 4 = 0 THEN ' ' ELSE detail END AS reason")
+    return runs.escalation_records(pages)
+
+
 def eval_losses(spark, sf):
     return telemetry.eval_loss_by_epoch(view(spark, sf, "steps"))
 
@@ -473,7 +505,7 @@ def story(spark, sf):
     return runs.run_story(stages, ledger, found).select("run_id", "stage", "status", "duration_s", "cost_usd", "open_findings")
 
 
-_STORY = f"""{with_views('stages')}, l AS (SELECT o_custkey AS run_id, CAST(sum(CAST(o_totalprice AS DECIMAL(28,6))) AS DOUBLE) AS cost_usd FROM orders WHERE o_custkey % 3 <> 0 GROUP BY 1),
+_STORY = f"""{with_views('stages')}, l AS (SELECT o_custkey AS run_id, CAST(sum(CAST(o_totalprice AS DECIMAL(38,12))) AS DOUBLE) AS cost_usd FROM orders WHERE o_custkey % 3 <> 0 GROUP BY 1),
 f AS (SELECT run_id, count(*) AS n FROM stages WHERE status IN ('failed', 'error') GROUP BY 1)
 SELECT run_id, stage, status, CAST(epoch(ended_at) - epoch(started_at) AS BIGINT) AS duration_s, cost_usd, coalesce(n, 0) AS open_findings FROM stages LEFT JOIN l USING (run_id) LEFT JOIN f USING (run_id)"""
 
@@ -560,7 +592,7 @@ h AS (SELECT doc_id, line_no, 'AWS access key id' AS rule, unnest(regexp_extract
   UNION ALL SELECT doc_id, line_no, 'live API Gateway hostname', unnest(regexp_extract_all(line, '[a-z0-9<>_-]{4,}\\.execute-api\\.[a-z0-9-]+\\.amazonaws\\.com')) FROM l
   UNION ALL SELECT doc_id, line_no, 'token assignment', unnest(regexp_extract_all(line, 'token = "[0-9a-f]{40}"')) FROM l
   UNION ALL SELECT doc_id, line_no, 'bare 12-digit account id', unnest(regexp_extract_all(line, '(?:^|[^0-9.])([0-9]{12})(?:[^0-9.]|$)', 1)) FROM l)
-SELECT doc_id AS path, line_no, rule, substr(w, 1, 80) AS snippet FROM h
+SELECT doc_id AS path, line_no, rule, substr(w, 1, 80) AS snippet, length(w) > 80 AS snippet_cut FROM h
 WHERE CASE WHEN rule = 'live API Gateway hostname' THEN lower(regexp_extract(w, '^([^.]+)', 1)) NOT IN ('abc123', '<api_id>', 'exampleapi1', 'apiid') ELSE NOT regexp_matches(w, '[0-9]{13,}') END"""
 
 
@@ -637,7 +669,7 @@ al4 AS (SELECT * FROM n UNION ALL SELECT * FROM kv UNION ALL SELECT * FROM b),
 al5 AS (SELECT * FROM al4 UNION ALL SELECT conv_id, turn, 3, min(i), 'retrieval_kb_id', value FROM t0 WHERE (conv_id, turn, value) NOT IN (SELECT (conv_id, turn, value) FROM al4) GROUP BY conv_id, turn, value),
 d AS (SELECT conv_id, name, value, min((turn, g, i)) AS at_ FROM al5 GROUP BY 1, 2, 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY at_) AS position, count(*) OVER (PARTITION BY conv_id) AS n FROM d)
-SELECT conv_id, position, name, substr(value, 1, 300) AS value FROM r WHERE position <= {cap}
+SELECT conv_id, position, name, value FROM r WHERE position <= {cap}
 UNION ALL SELECT DISTINCT conv_id, {cap + 1}, 'intake', 'cap' FROM r WHERE n > {cap}"""
 
 
@@ -766,7 +798,7 @@ def score_stats(spark, sf):
 
 
 _SCORES = """WITH s AS (SELECT CASE WHEN k = 5 THEN 'other' ELSE event_type END AS evaluator, CASE k WHEN 0 THEN user_id % 5 WHEN 1 THEN user_id % 3 WHEN 2 THEN 2.5 ELSE event_id % 9 END AS v
-  FROM (SELECT *, event_id % 7 AS k FROM events) WHERE k IN (0, 1, 2, 5)) SELECT evaluator, count(*) AS n, CAST(sum(CAST(v AS DECIMAL(28,6))) AS DOUBLE) / count(*) AS avg_score FROM s GROUP BY 1"""
+  FROM (SELECT *, event_id % 7 AS k FROM events) WHERE k IN (0, 1, 2, 5)) SELECT evaluator, count(*) AS n, CAST(sum(CAST(v AS DECIMAL(38,12))) AS DOUBLE) / count(*) AS avg_score FROM s GROUP BY 1"""
 
 
 def batch_evals(spark, sf):
@@ -811,6 +843,7 @@ QUERIES = {
     "f9_reliability_probe": probe,
     "f10_liveness_sweep": liveness,
     "f11_fleet_metrics": fleet,
+    "f11_token_totals": token_use,
     "f11_daily_series": daily,
     "f12_eval_score_stats": score_stats,
     "f13_session_ids": sessions,
@@ -840,10 +873,12 @@ QUERIES = {
     "f29_join_job_events": joined_jobs,
     "f30_stage_history": history_list,
     "f30_stage_map": last_by_stage,
+    "f30_escalation_records": escalated,
     "f31_rebuild_transcripts": transcripts,
     "f31_thread_states": thread_states,
     "f32_training_log_summary": train_log,
     "f32_eval_loss_by_epoch": eval_losses,
+    "f32_training_progress": progress,
     "f33_batch_eval_rollup": batch_evals,
     "f34_run_story": story,
 }
@@ -871,6 +906,7 @@ SQL = {
     "f9_reliability_probe": _PROBE,
     "f10_liveness_sweep": _LIVENESS,
     "f11_fleet_metrics": _FLEET,
+    "f11_token_totals": _TOKEN_USE,
     "f11_daily_series": f"{with_views('metrics')} SELECT owner, strftime(ts, '%Y-%m-%d') AS day, CAST(sum(value) AS DOUBLE) AS value FROM metrics WHERE metric = 'Invocations' GROUP BY 1, 2",
     "f12_eval_score_stats": _SCORES,
     "f13_session_ids": _SESSIONS,
@@ -881,7 +917,7 @@ SQL = {
     "f16_unknown_event_types": "SELECT event_type AS detail_type, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1",
     "f16_misrouted_event_types": "SELECT event_type || (user_id % 5) AS detail_type, count(DISTINCT CASE WHEN user_id % 5 = 2 AND event_id % 2 = 0 THEN 'routed' WHEN user_id % 5 = 4 THEN NULL ELSE 'recorded' END) AS n_routes FROM events GROUP BY 1 HAVING n_routes <> 1",
     "f17_classify_stop": f"{with_views('jobs')} SELECT event_id, status, CASE WHEN status = 'Completed' THEN 'completed' WHEN status = 'Stopped' AND billable_s = 0 THEN 'capacity' ELSE 'failed' END AS outcome FROM jobs",
-    "f18_mine_facts": _facts_sql(40),
+    "f18_mine_facts": _facts_sql(1 << 40),
     "f18_mine_facts_capped": _facts_sql(3),
     "f19_form_errors": _FORM_ERRORS,
     "f19_form_values": _FORM_VALUES,
@@ -900,6 +936,8 @@ SQL = {
     "f29_join_job_events": _JOINED,
     "f30_stage_history": f"{with_views('run_events')} SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id) AS position, event_id, stage FROM run_events",
     "f30_stage_map": f"{with_views('run_events')} SELECT run_id, stage, count(*) OVER (PARTITION BY run_id, stage) AS n_records, event_id, name FROM run_events QUALIFY row_number() OVER (PARTITION BY run_id, stage ORDER BY ts DESC, event_id DESC) = 1",
+    "f30_escalation_records": f"{with_views('run_events')} SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id) AS position, event_id % 3 AS iteration, CASE WHEN event_id % 5 = 0 THEN 'unknown' ELSE stage END AS stage, CASE event_id % 4 WHEN 0 THEN 'no reason recorded' ELSE detail END AS reason, 'critical' AS severity FROM run_events WHERE name = 'HumanPaged'",
+    "f32_training_progress": _PROGRESS,
     "f31_rebuild_transcripts": "SELECT conv_id, 'k-' || lpad('' || turn, 6, '0') AS key, role, substr(text, 1, 200) AS display_text, substr(text, 1, 400) AS audit_text, length(text) > 200 AS display_cut, length(text) > 400 AS audit_cut FROM conversations",
     "f31_thread_states": "SELECT conv_id, count(*) AS n_messages, count(*) FILTER (length(text) > 200) AS n_cut, CASE WHEN conv_id % 2 = 0 THEN 'thinking' ELSE 'closed' END AS status, conv_id % 2 = 0 AND conv_id % 40 + 1 > 20 AS stale FROM conversations GROUP BY conv_id",
     "f32_training_log_summary": _LOG,

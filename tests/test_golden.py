@@ -217,7 +217,7 @@ def test_secret_scan_rules_and_excuses(spark):
     assert not any(r[1] == 4 or "hostname" in r[2] for r in found) and ("g", None, "AWS access key id") in found
     assert not any(r[0] == "g" and r[2].startswith("bare") for r in found)
     own = audits.secret_scan(docs, "path", "content", known_digests=[hashlib.sha256(account.encode()).hexdigest()])
-    assert {r.rule for r in own.where("path = 'f' AND line_no = 3").collect()} == {"this project's own account id"}
+    assert {r.rule for r in own.where("path = 'f' AND line_no = 3").collect()} == {"account id on the known list"}
 
 
 def test_claims_by_presence(spark):
@@ -295,3 +295,29 @@ def test_bootstrap_bounds(spark):
     row = one(detection.bootstrap_ci(half, gts, 15, 1))
     assert 0.0 <= row.low < row.high < 1.0
     assert tuple(row) == tuple(one(detection.bootstrap_ci(half, gts, 15, 1)))
+
+
+def test_micro_costs_add_up(spark):
+    """A million rows of $4e-7 are 40 cents, in sums, in the reconciliation and in the overview."""
+    rows = spark.range(1_000_000).selectExpr(
+        "'p' AS project", "DATE'2026-01-01' AS period", "'run-' || id % 40 AS run_id", "'compute' AS category", "'s' AS service",
+        "'settled' AS settlement", "'cost' AS row_kind", "4e-7D AS cost_usd")
+    assert actuals.spend_to_date(rows).first().project_to_date_usd == pytest.approx(0.4, abs=1e-12)
+    got = {(r.grouping, r.key): r.cost_usd for r in actuals.cost_overview(rows, top_runs=5).collect()}
+    listed = [v for (g, k), v in got.items() if g == "run_id"]
+    assert len(listed) == 6 and sum(listed) == pytest.approx(0.4) and got["run_id", "others"] == pytest.approx(0.35)
+    assert ("period", "others") not in got
+    estimate = spark.createDataFrame([("run-1", "compute", 0.01)], "run_id string, category string, cost_usd double")
+    row = actuals.reconcile(estimate, rows, ["run_id"]).where("run_id = 'run-1'").first()
+    assert row.actual_usd == pytest.approx(0.01) and abs(row.delta_usd) < 1e-12
+
+
+def test_long_values_stay_whole(spark):
+    long = "s3://bucket/" + "x" * 3000
+    turns = spark.createDataFrame([(1, 0, "user", f"source_uri: {long}")], "conv_id int, turn int, role string, text string")
+    assert [r.value for r in intake.mine_facts(turns).collect()] == [long]
+    many = spark.createDataFrame([(1, i, "user", f"see s3://b/k{i}") for i in range(90)], "conv_id int, turn int, role string, text string")
+    assert intake.mine_facts(many).count() == 90
+    form = spark.createDataFrame([("f", {"source_uri": long})], "form_id string, fields map<string,string>")
+    clean, _ = intake.validate_forms(form, [("source_uri", "uri", True)])
+    assert clean.first().value == long
