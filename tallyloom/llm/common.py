@@ -63,16 +63,21 @@ def crc_mod(column: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[list[dict]], list[dict]]], schema: str) -> DataFrame:
-    """Run `make()(rows)` over the Arrow batches of each partition; `make` runs once a task."""
+def map_rows(df: DataFrame, make: Callable[[], Callable[[list[dict]], list[dict]]], schema: str, most_bytes: int | None = None) -> DataFrame:
+    """Run `make()(rows)` over the Arrow batches of each partition; `make` runs once a task.
+
+    With `most_bytes` the rows of a batch come in slices of about so many bytes on average.
+    """
     fields = schema_of(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            out = step(batch.to_pylist())
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=fields)
+            size = len(batch) if most_bytes is None else max(1, len(batch) * most_bytes // max(1, batch.nbytes))
+            for first in range(0, len(batch), size or 1):
+                out = step(batch.slice(first, size).to_pylist())
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema=fields)
 
     return df.mapInArrow(run, schema)
 

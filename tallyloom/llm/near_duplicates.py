@@ -35,6 +35,7 @@ BANDS = 32
 ROWS = 4
 SKETCH_WORDS = 8
 THRESHOLD = 0.8
+_PAIR_BYTES = 8_000_000
 
 _SEEDS = np.random.default_rng(20).integers(1, 1 << 32, (2, BANDS * ROWS), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
@@ -44,7 +45,7 @@ class Shingler:
 
     def __init__(self, width: int):
         self.width = width
-        self.words = WordCache(lambda ws: [xxhash.xxh3_64_intdigest(w) for w in ws])
+        self.words = WordCache(lambda ws: [xxhash.xxh3_64_intdigest(w) for w in ws], 100_000)
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         lists = [t.lower().split() for t in texts]
@@ -190,7 +191,7 @@ def _confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
 
         return step
 
-    return map_rows(joined, make, "a long, b long").distinct()
+    return map_rows(joined, make, "a long, b long", _PAIR_BYTES).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

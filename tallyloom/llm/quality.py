@@ -28,6 +28,7 @@ from tallyloom.session import durable
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 LINE_SHARE = 0.02
+_SLICE_BYTES = 4_000_000
 LINE_MIN_DOCS = 20
 
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -94,7 +95,7 @@ def document_figures(docs: DataFrame, host: str = "source") -> DataFrame:
     return map_rows(rows, make, (
         "doc_id long, host string, text_key binary, n_words long, word_chars long, n_symbols long,"
         " n_dup_lines long, n_repeat_words long, lines array<struct<line:long,words:long>>"
-    ))
+    ), _SLICE_BYTES)
 
 
 def boilerplate(found: DataFrame, share: float = LINE_SHARE, min_docs: int = LINE_MIN_DOCS) -> DataFrame:

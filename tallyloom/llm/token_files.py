@@ -113,6 +113,7 @@ def encode(ids: np.ndarray) -> bytes:
 #: A mark that does not follow a letter or digit, and white space other than blanks and line breaks.
 _MARK = re.compile(r"[.,](?<=[\W_].)")
 _OTHER = re.compile(r"[^\S \n]|\0")
+_ASCII_OTHER = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\0"
 _BATCH_BYTES = 4_000_000
 
 
@@ -120,10 +121,16 @@ def certain(text: str) -> bool:
     """Whether cutting at blanks, marks and line breaks surely agrees with the file's splitting rule."""
     return not (
         text[:1] in " .,\n" or text[-1:] in " \n" or "  " in text or " \n" in text or "\n " in text
-        or "\n\n" in text or _MARK.search(text) or _OTHER.search(text)
+        or "\n\n" in text or _MARK.search(text) or _has_other(text)
     )
 
 
+def _has_other(text: str) -> bool:
+    if text.isascii():
+        return any(c in text for c in _ASCII_OTHER)
+    return _OTHER.search(text) is not None
+
+
 class Remembered(dict):
     """What was computed for keys on first use, in two generations of bounded size."""
 
