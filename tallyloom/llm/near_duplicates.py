@@ -286,7 +286,9 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, threshold: float = THR
     """One row of `docs` per component; of rows that share the kept id the first by text stays."""
     verdict = near_duplicates(docs, width, threshold).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
     joined = docs.join(verdict, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    again = docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1 and _id is not null")
+    again = durable(docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1 and _id is not null"), "again")
+    if again.isEmpty():  # else the texts would travel once more for a branch without rows
+        return joined
     single = joined.join(again, F.col("doc_id") == F.col("_id"), "left_anti")
     several = joined.join(again, F.col("doc_id") == F.col("_id"), "left_semi")
     fields = [c for c in docs.columns]
