@@ -15,12 +15,10 @@ the shuffle, so a hot host is spread over all its lines.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 from tallyloom.llm.common import body, ddl_of, map_rows, schema_of
 from tallyloom.session import durable
@@ -85,13 +83,13 @@ def document_figures(docs: DataFrame, host: str = "source") -> DataFrame:
     def make():
         def step(rows):
             return [
-                figures(r["_text"]) | {"doc_id": r["_id"], "host": r["_host"], "text_key": xxhash.xxh3_128_digest(r["_text"])}
+                figures(r["_text"]) | {"doc_id": r["_id"], "host": r["_host"], "text_key": r["_key"]}
                 for r in rows
             ]
 
         return step
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col(host).cast("string").alias("_host"), body().alias("_text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col(host).cast("string").alias("_host"), body().alias("_text"), text_key().alias("_key"))
     return map_rows(rows, make, (
         "doc_id long, host string, text_key binary, n_words long, word_chars long, n_symbols long,"
         " n_dup_lines long, n_repeat_words long, lines array<struct<line:long,words:long>>"
@@ -160,14 +158,10 @@ def clean_documents(docs: DataFrame, host: str = "source", **limits) -> DataFram
     return _strip(joined.select(*names, "_bad"), names)
 
 
-@F.pandas_udf(BinaryType())
-def _digest(texts: pd.Series) -> pd.Series:
-    return texts.map(xxhash.xxh3_128_digest)
-
-
 def text_key() -> Column:
-    """The key of a text as the rows of `document_figures` carry it."""
-    return _digest(body())
+    """The key of a text as the rows of `document_figures` carry it: an expression, as a second
+    Python function in the stage that strips lines would double the workers of an executor."""
+    return F.unhex(F.md5(body()))
 
 
 def _strip(df: DataFrame, names: list[str]) -> DataFrame:
