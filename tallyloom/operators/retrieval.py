@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,9 @@ from tallyloom.session import durable
 
 HIT_THRESHOLD, TOP_K, DISTRACTORS, ORACLE_PERCENT = 0.6, 5, 3, 80
 BLOCK = 4_096
+SPAN_BYTES = 32 << 20  # of one side's vectors in a task
+CELLS = 1 << 21  # products a task holds at a time
+FIRST = 256  # rows whose products are ordered outright
 
 # Fixed template of the assembled user turn.
 HEAD = (
@@ -50,21 +54,64 @@ def probe_index(retrieved: DataFrame, probes: Sequence) -> None:
         raise ValueError("the index returned no passage for any probe query")
 
 
+def nearest_rows(asks: np.ndarray, base: np.ndarray, k: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """Per ask the rows of `base` with the k highest inner products, and those; earlier rows first on ties.
+
+    `block` asks at a time pass over slices of `base`; after a short first slice only what beats an
+    ask's k-th best so far is ordered, so the products are nearly all of the work.
+    """
+    k, block = min(k, len(base)), min(block, CELLS)
+    rows, scores = np.zeros((len(asks), k), np.int64), np.zeros((len(asks), k))
+    if not np.isfinite(asks).all() or not np.isfinite(base).all():
+        block, first = max(1, CELLS // len(base)), len(base)
+    else:
+        first = min(len(base), max(k, FIRST))
+    for start in range(0, len(asks), block):
+        part = asks[start:start + block]
+        found = part @ base[:first].T
+        best = np.argsort(-found, axis=1, kind="stable")[:, :k]
+        score = np.take_along_axis(found, best, axis=1)
+        wide = max(1, CELLS // len(part))
+        for at in range(first, len(base), wide):
+            found = part @ base[at:at + wide].T
+            ask, row = np.nonzero(found > score[:, -1:])
+            if not len(ask):
+                continue
+            touched, ask_at = np.unique(ask, return_inverse=True)
+            who = np.concatenate((np.repeat(np.arange(len(touched)), k), ask_at))
+            what = np.concatenate((best[touched].ravel(), row + at))
+            value = np.concatenate((score[touched].ravel(), found[ask, row]))
+            order = np.lexsort((what, -value, who))
+            begins = np.searchsorted(who[order], np.arange(len(touched)))
+            take = order[begins[:, None] + np.arange(k)]
+            best[touched], score[touched] = what[take], value[take]
+        rows[start:start + block], scores[start:start + block] = best, score
+    return rows, scores
+
+
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, block: int = BLOCK, query_id: str = "query_id", key: str = "id", vector: str = "embedding") -> DataFrame:
     """Exact k nearest by inner product: (query_id, id, rank); ties by id.
 
-    Both sides are cut into blocks of bounded size; each pair of blocks is one matrix product in
-    one task, which returns k rows per query, so neither side ever travels to the driver or into
-    one task whole. Queries that fit one block move the corpus once.
+    Both sides are cut into spans of at most `SPAN_BYTES` of vectors, and each pair of spans meets
+    in one task, which multiplies them `block` queries at a time and returns k rows per query; so
+    neither side ever travels to the driver or into one task whole. A vector moves once per span of
+    the other side: as often as it takes to keep the cores busy, and beyond that once per
+    `SPAN_BYTES` of the other side.
     """
-    n_q = max(1, -(-queries.count() // block))
-    n_c = max(1, -(-corpus.count() // block))
+    spark = queries.sparkSession
+    size = corpus.select(F.size(vector).alias("n")).first()
+    span = max(1, SPAN_BYTES // (8 * max(1, size.n if size else 1)))
+    grid = math.ceil(math.sqrt(2 * spark.sparkContext.defaultParallelism))
+    spans = lambda n: max(1, -(-n // span), min(grid, -(-n // block)))
+    n_q, n_c = spans(queries.count()), spans(corpus.count())
     side = lambda ids, blocks: F.pmod(F.xxhash64(ids), F.lit(blocks))
     fan = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    pair = ["_qb", "_cb"]
     q = queries.select(
         F.col(query_id).alias("_q"), F.col(vector).alias("_v"), side(query_id, n_q).alias("_qb"), fan(n_c).alias("_cb"))
     c = corpus.select(
         F.col(key).alias("_c"), F.col(vector).alias("_v"), side(key, n_c).alias("_cb"), fan(n_q).alias("_qb"))
+    q, c = q.repartition(4 * n_q * n_c, *pair), c.repartition(4 * n_q * n_c, *pair)
     id_q, id_c = queries.schema[query_id].dataType, corpus.schema[key].dataType
     out = T.StructType([T.StructField(query_id, id_q), T.StructField(key, id_c), T.StructField("score", T.DoubleType())])
 
@@ -72,16 +119,14 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, block: int = BLOC
         if left.empty or right.empty:
             return pd.DataFrame({query_id: [], key: [], "score": []})
         right = right.sort_values("_c", ignore_index=True)
-        scores = np.stack(left["_v"]).astype("f8") @ np.stack(right["_v"]).astype("f8").T
-        # A stable sort keeps the smaller id first among equal scores.
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(left)), best.shape[1])
+        # Rows of a span are in id order, so the smaller id comes first among equal scores.
+        best, scores = nearest_rows(np.stack(left["_v"]).astype("f8"), np.stack(right["_v"]).astype("f8"), k, block)
         return pd.DataFrame({
-            query_id: left["_q"].to_numpy()[rows], key: right["_c"].to_numpy()[best.ravel()],
-            "score": scores[rows, best.ravel()],
+            query_id: left["_q"].to_numpy()[np.repeat(np.arange(len(left)), best.shape[1])],
+            key: right["_c"].to_numpy()[best.ravel()], "score": scores.ravel(),
         })
 
-    partial = q.groupBy("_qb", "_cb").cogroup(c.groupBy("_qb", "_cb")).applyInPandas(product, out)
+    partial = q.groupBy(*pair).cogroup(c.groupBy(*pair)).applyInPandas(product, out)
     order = Window.partitionBy(query_id).orderBy(F.col("score").desc(), F.col(key))
     return partial.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
@@ -127,7 +172,7 @@ def assemble_rows(rows: DataFrame, passages: DataFrame, corpus: DataFrame, key:
 
 def retrieval_stats(assembled: DataFrame, size: Column, window: int) -> DataFrame:
     """Rows, oracle share, retrieval failures and length tails against the trainer's window."""
-    sized = assembled.withColumn("_size", size).withColumn("_all", F.lit(0))
+    sized = durable(assembled.select("has_oracle", "n_passages", size.alias("_size")), "sizes").withColumn("_all", F.lit(0))
     tails = order_statistics(sized, ["_all"], "_size", {"p50": upper_median_position(), "p95": quantile_position(0.95)})
     return sized.groupBy("_all").agg(
         F.count("*").alias("raft_rows"), (count_where(F.col("has_oracle")) / F.count("*")).alias("raft_oracle_fraction"),

@@ -1,6 +1,7 @@
 """Distributed algorithms against plain loops on small random fixtures, hot keys included."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -266,3 +267,23 @@ def test_variants_are_drawn_again(spark):
             assert len(kinds) == min(2, perms["perm9"]) + min(2, perms["perm10"])
     again = augmentation.plan_variants(tasks, "task", 24, 3, 2).collect()
     assert again == augmentation.plan_variants(tasks.repartition(5), "task", 24, 3, 2).orderBy("task", "slot").collect() or sorted(again) == sorted(augmentation.plan_variants(tasks.repartition(5), "task", 24, 3, 2).collect())
+
+
+def test_nearest_rows_in_slices_with_ties(monkeypatch):
+    rng = np.random.RandomState(3)
+    base, asks = rng.randint(-2, 3, (900, 4)).astype("f8"), rng.randint(-2, 3, (41, 4)).astype("f8")
+    monkeypatch.setattr(retrieval, "CELLS", 350)
+    monkeypatch.setattr(retrieval, "FIRST", 8)
+    for k, rows in ((1, 900), (5, 900), (5, 3), (9, 8)):
+        got, scores = retrieval.nearest_rows(asks, base[:rows], k, block=7)
+        want = np.argsort(-(asks @ base[:rows].T), axis=1, kind="stable")[:, :k]
+        assert (got == want).all() and (scores == np.take_along_axis(asks @ base[:rows].T, want, axis=1)).all()
+
+
+def test_vector_topk_moves_a_vector_no_oftener_for_smaller_blocks(spark):
+    rows = [(i, [float(i % 7), 1.0]) for i in range(600)]
+    side = lambda k: spark.createDataFrame(rows, f"{k} int, embedding array<float>")
+    grid = int(np.ceil(np.sqrt(2 * spark.sparkContext.defaultParallelism)))
+    plan = retrieval.vector_topk(side("query_id"), side("id"), 3, block=2)._jdf.queryExecution().toString()
+    copies = [int(n) + 1 for n in re.findall(r"explode\(sequence\(cast\(0 as bigint\), cast\((\d+) as bigint\)", plan)]
+    assert copies and max(copies) <= grid
