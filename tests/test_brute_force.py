@@ -287,3 +287,21 @@ def test_vector_topk_moves_a_vector_no_oftener_for_smaller_blocks(spark):
     plan = retrieval.vector_topk(side("query_id"), side("id"), 3, block=2)._jdf.queryExecution().toString()
     copies = [int(n) + 1 for n in re.findall(r"explode\(sequence\(cast\(0 as bigint\), cast\((\d+) as bigint\)", plan)]
     assert copies and max(copies) <= grid
+
+
+def test_crowds_and_small_groups_overlap_alike(spark, monkeypatch):
+    """A crowd beside small groups: cells for the one, direct pairs for the others, the same rows as either way alone."""
+    rng = random.Random(8)
+    box = lambda: [rng.uniform(0, 30), rng.uniform(0, 30), rng.choice([0.0, 1.0, 5.0, 20.0]) + rng.random(), rng.uniform(0.5, 25)]
+    made = lambda n: [(i, 0 if i % 2 else i % 9, i % 2, box(), i % 5 / 5, i) for i in range(n)] + [(None, 0, 1, [0.0, 0.0, 9.0, 9.0], 0.9, 999)]
+    dets = spark.createDataFrame(made(90), "det_id int, image_id int, category_id int, bbox array<double>, score double, ord int")
+    gts = spark.createDataFrame(made(80), "gt_id int, image_id int, category_id int, bbox array<double>, score double, ord int").drop("score")
+    results, matches = [], []
+    for crowd in (0, 10, 1000):
+        monkeypatch.setattr(detection, "CROWD", crowd)
+        plan = detection.box_iou(dets, gts)
+        assert ("sequence" in plan._jdf.queryExecution().toString()) == (crowd < 1000)  # no copies into cells without a crowd
+        results.append(sorted(map(str, plan.collect())) + sorted(map(str, detection.box_iou(dets, gts, 0.3).collect())))
+        matches.append(sorted(map(tuple, detection.greedy_match(dets, gts, (0.3, 0.5)).collect())))
+    assert len(results[0]) > 100 and results[0] == results[1] == results[2]
+    assert matches[0] and matches[0] == matches[1] == matches[2]
