@@ -305,3 +305,38 @@ def test_crowds_and_small_groups_overlap_alike(spark, monkeypatch):
         matches.append(sorted(map(tuple, detection.greedy_match(dets, gts, (0.3, 0.5)).collect())))
     assert len(results[0]) > 100 and results[0] == results[1] == results[2]
     assert matches[0] and matches[0] == matches[1] == matches[2]
+
+
+def test_candidates_do_not_move_the_sets(spark):
+    """Sets lie in buckets of their key: checking pairs moves the pairs, not every set of the table."""
+    df = spark.createDataFrame(corpus(31), "id int, text string")
+    sets = curation.shingle_table(df, "id", "text")
+    asked = sets.select(F.col("id").alias("id_l"), (F.col("id") - 3).alias("id_r")).sample(1.0)
+    held = [spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")]
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        plan = similarity.verify(asked, sets, sets, 0.8)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held[0])
+        spark.conf.set("spark.sql.adaptive.enabled", held[1])
+    assert plan.count("SortMergeJoin") == 2 and plan.count("Exchange hashpartitioning") <= 1
+
+
+@pytest.mark.parametrize("hot", [1, 4, 1000])
+def test_nearly_repeated_whatever_the_sample_calls_common(spark, monkeypatch, hot):
+    """Copies with edits, shared sentences, sets of few shingles; no, some or all tokens are common."""
+    rng = random.Random(8)
+    rows = corpus(17, 90) + [(200 + i, " ".join(rng.choice("ab") for _ in range(rng.randrange(3, 8)))) for i in range(30)]
+    base = [f"v{i}" for i in range(80)]
+    for i in range(40):
+        words = list(base)
+        words[rng.randrange(80)] = f"x{i}"
+        rows.append((300 + i, " ".join(words)))
+    sets = {i: grams(t) for i, t in rows}
+    df = spark.createDataFrame(rows, "id int, text string")
+    made = similarity.shingle_sets(df, "id", "text").localCheckpoint()
+    for threshold, least in ((0.5, 1), (0.9, 3), (0.9, 10**9)):
+        monkeypatch.setattr(similarity.common_tokens, "__defaults__", (similarity.SAMPLE, least, similarity.COMMON))
+        want = {i for i in sets if any(j < i and sets[i] and jaccard(sets[i], sets[j]) >= threshold for j in sets)}
+        assert {r.id for r in similarity.nearly_repeated(made, threshold, hot=hot).collect()} == want
