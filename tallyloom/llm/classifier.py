@@ -12,6 +12,7 @@ learned from; a document labelled twice counts twice. Without any label all scor
 
 from __future__ import annotations
 
+from itertools import chain
 from operator import eq
 
 import numpy as np
@@ -20,24 +21,77 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import CACHE_ENTRIES, body, map_rows, mix
+from tallyloom.llm.common import WordCache, body, map_rows, mix
 
 BUCKETS = 1 << 18
 DIM = 8
 EPOCHS = 6
 MAX_DOCS = 4_000
 THRESHOLD = 0.3
+GRAM_ENTRIES = 1 << 18
 _SIZES = (2, 3, 4)
+_SLICE_BYTES = 2_000_000
 _U64 = np.uint64
 #: A word and itself again, written with a back reference: one bucket for all words, beside each pair's own.
 _AGAIN = xxhash.xxh32_intdigest("\\1 \\1") % BUCKETS
 
 
-def word_features(word: bytes) -> list[int]:
-    """Buckets of a word and of the character n-grams of <word>."""
+def bucket(gram: str | bytes) -> int:
+    return xxhash.xxh32_intdigest(gram) % BUCKETS
+
+
+class Grams(dict):
+    """Buckets of character n-grams, which far fewer than words are; bounded."""
+
+    def __missing__(self, gram):
+        if len(self) >= GRAM_ENTRIES:
+            self.clear()
+        self[gram] = value = bucket(gram)
+        return value
+
+
+def word_features(word: bytes, of=bucket) -> list[int]:
+    """Buckets of a word and of the character n-grams of <word>; `of` gives those of the n-grams."""
     text = "<" + word.decode("utf-8", "replace") + ">"
-    grams = [text, *(text[i:i + n] for n in _SIZES for i in range(len(text) - n + 1))]
-    return [xxhash.xxh32_intdigest(g) % BUCKETS for g in grams]
+    return [bucket(text), *map(of, [text[i:i + n] for n in _SIZES for i in range(len(text) - n + 1)])]
+
+
+def gram_buckets(letters: np.ndarray, n: int) -> np.ndarray:
+    """Buckets of the `n`-grams (four at most) of ASCII words of one length, a word per row: xxh32 on columns."""
+    one, two, three, four, five = map(np.uint32, (2654435761, 2246822519, 3266489917, 668265263, 374761393))
+    turned = lambda x, by: (x << np.uint32(by)) | (x >> np.uint32(32 - by))
+    wide = letters.astype(np.uint32)
+    parts = [wide[:, i:wide.shape[1] - n + 1 + i] for i in range(n)]
+    h = np.full(parts[0].shape, int(five) + n, np.uint32)
+    if n == 4:
+        whole = parts[0] | parts[1] << np.uint32(8) | parts[2] << np.uint32(16) | parts[3] << np.uint32(24)
+        h = turned(h + whole * three, 17) * four
+    else:
+        for part in parts:
+            h = turned(h + part * five, 11) * one
+    h = (h ^ (h >> np.uint32(15))) * two
+    h = (h ^ (h >> np.uint32(13))) * three
+    return (h ^ (h >> np.uint32(16))) % np.uint32(BUCKETS)
+
+
+def word_scores(words: list[bytes], table: np.ndarray, grams: Grams) -> list[tuple[complex, int]]:
+    """(sum of the scores, number) of each word's features, and its hash."""
+    by_size: dict[int, list[int]] = {}
+    out: list = [None] * len(words)
+    for i, word in enumerate(words):
+        if word.isascii():
+            by_size.setdefault(len(word), []).append(i)
+        else:
+            found = np.array(word_features(word, grams.__getitem__))
+            out[i] = complex(float(table[found].sum()), len(found)), word_hash(word)
+    for size, at in by_size.items():
+        same = [b"<" + words[i] + b">" for i in at]
+        letters = np.frombuffer(b"".join(same), np.uint8).reshape(len(at), size + 2)
+        whole = np.fromiter(map(bucket, same), np.uint32, len(at))[:, None]
+        found = np.hstack([whole, *(gram_buckets(letters, n) for n in _SIZES if n <= size + 2)])
+        for i, total in zip(at, table[found].sum(1).tolist()):
+            out[i] = complex(total, found.shape[1]), word_hash(words[i])
+    return out
 
 
 def word_hash(word: bytes) -> int:
@@ -126,26 +180,17 @@ def score(docs: DataFrame, model: np.ndarray, threshold: float = THRESHOLD) -> D
         weights = held.value
         table, bias = weights[:-1], float(weights[-1])
 
-        class Words(dict):
-            """(sum of the scores, number) of a word's features, and its hash."""
-
-            def __missing__(self, word):
-                found = np.array(word_features(word))
-                self[word] = value = complex(float(table[found].sum()), len(found)), word_hash(word)
-                return value
-
-        words = Words()
+        grams = Grams()
+        words = WordCache(lambda ws: word_scores(ws, table, grams))
 
         def step(rows):
-            out = []
-            for row in rows:
-                if len(words) > CACHE_ENTRIES:
-                    words.clear()
-                found = row["text"].split()
+            out, lists = [], [row["text"].split() for row in rows]
+            known = words.fill(lists)
+            for row, found in zip(rows, lists):
                 again = sum(map(eq, found, found[1:]))
                 total = complex(again * float(table[_AGAIN]), again)
                 if found:
-                    values, hashes = zip(*map(words.__getitem__, found))
+                    values, hashes = zip(*map(known.__getitem__, found))
                     pairs = pair_features(np.fromiter(hashes, _U64, len(hashes)))
                     total += sum(values) + complex(float(table[pairs].sum()), len(pairs))
                 logit = bias + (total.real / total.imag if total.imag else 0.0)
@@ -156,4 +201,4 @@ def score(docs: DataFrame, model: np.ndarray, threshold: float = THRESHOLD) -> D
         return step
 
     rows = docs.select(F.col("doc_id").cast("long"), body().alias("text"))
-    return map_rows(rows, make, "doc_id long, score double, predicted int")
+    return map_rows(rows, make, "doc_id long, score double, predicted int", _SLICE_BYTES)
