@@ -35,6 +35,7 @@ BANDS = 32
 ROWS = 4
 SKETCH_WORDS = 8
 THRESHOLD = 0.8
+FILTER_BITS = 1 << 24
 _PAIR_BYTES = 8_000_000
 
 _SEEDS = np.random.default_rng(20).integers(1, 1 << 32, (2, BANDS * ROWS), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -161,10 +162,25 @@ def _sketches_allow(a: Column, b: Column, na: Column, nb: Column, percent: int)
     return (odd(0) <= most_odd_bits(percent / 100)) & ((100 + percent) * odd(SKETCH_WORDS) <= (100 - percent) * (na + nb))
 
 
+def _likely(texts: DataFrame, named: DataFrame) -> DataFrame:
+    """Rows of `texts` whose `_doc` may be an `_id` of `named`, by a bitmap of at most FILTER_BITS bits.
+
+    None that is named is lost; the joins that follow drop the few others. The bitmap stays small
+    enough for Spark's own broadcast at any size, so the other texts are dropped where they are read.
+    """
+    at = F.pmod(F.xxhash64("_id"), F.lit(FILTER_BITS))
+    words = named.select(F.shiftright(at, 6).alias("_word"), (at % 64).cast("int").alias("_bit")).groupBy("_word").agg(
+        F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits")
+    )
+    own = F.pmod(F.xxhash64("_doc"), F.lit(FILTER_BITS))
+    met = texts.join(durable(words, "named"), F.shiftright(own, 6) == F.col("_word"))
+    return met.where(F.getbit("_bits", (own % 64).cast("int")) == 1).select(*texts.columns)
+
+
 def _confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs `a, b` whose full sets reach the threshold; texts are read for their documents only."""
-    named = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), body().alias("text")).join(named, F.col("_doc") == F.col("_id"), "left_semi")
+    """The pairs `a, b` whose full sets reach the threshold; texts travel for their documents only."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("_id"))
+    texts = _likely(docs.select(F.col("doc_id").cast("long").alias("_doc"), body().alias("text")), named)
     left, right = texts.select(F.col("_doc").alias("_a"), F.col("text").alias("ta")), texts.select(F.col("_doc").alias("_b"), F.col("text").alias("tb"))
     joined = pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b")).select("a", "b", "ta", "tb")
 

@@ -83,3 +83,25 @@ def test_no_set_pair_at_the_threshold_is_ruled_out_by_the_parity_bound():
             assert odd <= len(a) + len(b) - 2 * both
             if 100 * both >= 80 * (len(a) + len(b) - both):
                 assert 180 * odd <= 20 * (len(a) + len(b))
+
+
+def test_texts_without_a_candidate_do_not_travel(spark, monkeypatch):
+    ids = spark.range(20_000)
+    texts = ids.select(module.F.col("id").alias("_doc"), module.F.lit(b"a b").alias("text")).unionByName(
+        spark.createDataFrame([(None, b"n"), (40, b"again")], "_doc long, text binary"))
+    named = ids.where("id % 10 = 0").select(module.F.col("id").alias("_id"))
+    left = module._likely(texts, named)
+    assert left.columns == ["_doc", "text"]
+    found = [r._doc for r in left.collect()]
+    assert {i for i in found if i is not None} >= set(range(0, 20_000, 10)) and found.count(40) == 2
+    assert len(found) < 2_100
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(_doc" not in plan
+    assert module._likely(texts, named.limit(0)).count() == 0
+    # a bitmap that lets all pass changes no result
+    monkeypatch.setattr(module, "FILTER_BITS", 64)
+    assert module._likely(texts, named).count() == 20_002
+    docs = [(1, "a b c d e f"), (2, "a b c d e f g"), (3, "x y z"), (4, None)]
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    links = module._confirm(spark.createDataFrame(docs, "doc_id long, text string"), pairs, 2, 80)
+    assert [tuple(r) for r in links.collect()] == [(1, 2)]
