@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import body, crc_mod, mix, pack, schema_of, unpack
+from tallyloom.llm.common import body, crc_mod, mix, pack, pack_few, schema_of, unpack, unpack_few
 from tallyloom.session import durable
 
 CHUNK_TOKENS = 1_000_000
@@ -88,6 +88,15 @@ def chunks(docs: DataFrame, train, chunk_tokens: int) -> DataFrame:
     return given.mapInArrow(run, CHUNKS)
 
 
+def _steps(hashes: np.ndarray) -> bytes:
+    """Sorted hashes by their differences, whose first bytes are zeros."""
+    return pack(np.diff(hashes, prepend=_U64(0)))
+
+
+def _from_steps(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpack(blob, _U64), dtype=_U64)
+
+
 class _Chunk:
     def __init__(self):
         self.numbers: defaultdict[bytes, int] = defaultdict()
@@ -116,7 +125,7 @@ class _Chunk:
         return pa.RecordBatch.from_pylist([{
             "chunk": name, "n_tokens": len(tokens), "n_words": len(order), "train_docs": int(used.sum()),
             "doc_ids": self.ids, "lengths": pack(lengths), "train": pack(used), "tokens": pack(tokens),
-            "hashes": hashes[order].tobytes(), "counts": pack(counts),
+            "hashes": _steps(hashes[order]), "counts": pack(counts),
         }], schema=fields)
 
 
@@ -153,11 +162,11 @@ def message(dest: int, kind: int, src: int, *arrays: bytes) -> dict:
 
 def _word_requests(row: dict, shards: int):
     """Slices of a chunk's sorted hashes; shards are ranges of the hash."""
-    hashes, counts = np.frombuffer(row["hashes"], _U64), unpack(row["counts"], np.int64)
+    hashes, counts = _from_steps(row["hashes"]), unpack(row["counts"], np.int64)
     cuts = np.searchsorted(hashes, np.array([(s << 64) // shards for s in range(1, shards)], dtype=object).astype(_U64)) if shards > 1 else []
     for shard, (h, c) in enumerate(zip(np.split(hashes, cuts), np.split(counts, cuts))):
         if len(h):
-            yield message(shard, 0, row["chunk"], h.tobytes(), pack(c))
+            yield message(shard, 0, row["chunk"], _steps(h), pack(c))
 
 
 def _word_answers(shard: int, rows: list[dict], shards: int, most: int):
@@ -165,7 +174,7 @@ def _word_answers(shard: int, rows: list[dict], shards: int, most: int):
 
     The sums hold the tokens of words found more than `most` times on their own.
     """
-    parts = [np.frombuffer(r["a"], _U64) for r in rows]
+    parts = [_from_steps(r["a"]) for r in rows]
     words, place = np.unique(np.concatenate(parts), return_inverse=True)
     counts = np.bincount(place, np.concatenate([unpack(r["b"], np.int64) for r in rows])).astype(np.int64)
     ids = np.empty(len(words), np.int64)
@@ -251,7 +260,7 @@ def _pair_requests(name: int, rows: list[dict], train_docs: int, shards: _Shards
         size = np.diff(np.append(np.flatnonzero(first), len(at)))
         level = np.log2(np.maximum(p.counts[p.word[at]], 1)) * 6
         out.append(message(
-            shard, 2, name, pack(np.stack([p.context_ids[contexts], size])), pack(words),
+            shard, 2, name, pack(np.stack([p.context_ids[contexts], size])), pack(np.where(first, words, np.diff(words, prepend=0))),
             pack(p.n[at]), pack(np.round(level).astype(np.uint8)),
         ))
     return out
@@ -405,10 +414,16 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return ordered[np.concatenate(([True], ordered[1:] != ordered[:-1]))] if len(ordered) else ordered
 
 
+def _words_of(steps: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Word ids of contexts of `size` words; the first of a context came whole, the others as what they add."""
+    total, first = np.cumsum(steps), np.cumsum(size) - size
+    return total - np.repeat(total[first] - steps[first], size)
+
+
 def _merge_pairs(shard: int, rows: list[dict], split: bool):
     """A shard's distinct pairs with their customers, each chunk's places among them, and sums."""
     heads = [unpack(r["a"], np.int64).reshape(2, -1) for r in rows]
-    words = [unpack(r["b"], np.int64) for r in rows]
+    words = [_words_of(unpack(r["b"], np.int64), h[1]) for r, h in zip(rows, heads)]
     names = distinct(np.concatenate([h[0] for h in heads]))
     spread = np.int64(max(int(w.max()) for w in words)) + 1
     if spread * len(names) >= 1 << 62:
@@ -443,10 +458,11 @@ def _context_restaurants(rows: list[dict], state: dict | None, d: float, n_train
 
 def _context_answers(shard: int, rows: list[dict], model: Restaurants, totals: np.ndarray, word_shards: int):
     """Answers to chunks, tables to the word shards."""
-    kept = (model.customers - model.d * model.mean()).astype(np.float32)
-    passed = (STRENGTH + model.d * totals).astype(np.float32)
+    kept, kept_at = np.unique((model.customers - model.d * model.mean()).astype(np.float32), return_inverse=True)
+    passed, passed_at = np.unique((STRENGTH + model.d * totals).astype(np.float32), return_inverse=True)
     out = [
-        message(r["src"], 3, shard, pack(kept[np.cumsum(unpack(r["a"], np.int64))]), pack(passed[unpack(r["b"], np.int64)]))
+        message(r["src"], 3, shard,
+                pack_few(kept, kept_at[np.cumsum(unpack(r["a"], np.int64))]), pack_few(passed, passed_at[unpack(r["b"], np.int64)]))
         for r in rows if r["kind"] == 7
     ]
     seen, where = np.unique(model.words, return_inverse=True)
@@ -495,7 +511,8 @@ def _word_kept(shard: int, rows: list[dict], d: float, n_distinct: int, shards:
     if state:
         model = _word_restaurant(rows, state, d, n_distinct)
         kept = np.append((model.customers - d * model.mean()).astype(np.float32), kept)[:max(len(kept), len(model.customers))]
-    return [message(chunk, 5, shard, pack(kept[ids])) for chunk, ids in asked]
+    kept, place = np.unique(kept, return_inverse=True)
+    return [message(chunk, 5, shard, pack_few(kept, place[ids])) for chunk, ids in asked]
 
 
 # ---- scores -------------------------------------------------------------------------------
@@ -506,7 +523,7 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def _scores(name: int, rows: list[dict], totals: dict, shards: _Shards) -> list[dict]:
     p = _Pairs(rows, totals["train_docs"], shards, inverse=True)
     answers = {r["src"]: r for r in rows if r["kind"] == 3}
-    words = np.concatenate([unpack(r["a"], np.float32) for r in rows if r["kind"] == 5])[p.by_id].astype(float)
+    words = np.concatenate([unpack_few(r["a"], np.float32) for r in rows if r["kind"] == 5])[p.by_id].astype(float)
     n, v = totals["n_train"], totals["distinct"]
     parent = (words + (STRENGTH + totals["passed"]) / (v + 1)) / (STRENGTH + totals["customers"])
     chance = np.empty(len(p.context))
@@ -514,7 +531,7 @@ def _scores(name: int, rows: list[dict], totals: dict, shards: _Shards) -> list[
         at = p.order[p.cuts[shard]:p.cuts[shard + 1]]
         if not len(at):
             continue
-        kept, passed = unpack(answers[shard]["a"], np.float32).astype(float), unpack(answers[shard]["b"], np.float32).astype(float)
+        kept, passed = (unpack_few(answers[shard][c], np.float32).astype(float) for c in "ab")
         first = np.concatenate(([True], np.diff(p.context[at]) != 0))
         size = np.diff(np.append(np.flatnonzero(first), len(at)))
         chance[at] = (kept + np.repeat(passed, size) * parent[p.word[at]]) / (STRENGTH + p.context_counts[p.context[at]])
