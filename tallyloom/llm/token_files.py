@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyloom.llm.common import CACHE_ENTRIES, map_rows, schema_of
+from tallyloom.llm.common import WordCache, map_rows, schema_of
 from tallyloom.llm.token_counts import byte_symbols
 
 BLOCK = 512
@@ -125,32 +125,46 @@ def certain(text: str) -> bool:
     )
 
 
-def _has_other(text: str) -> bool:
-    if text.isascii():
-        return any(c in text for c in _ASCII_OTHER)
-    return _OTHER.search(text) is not None
+#: Classes of bytes: 1 blank, 2 line break, 3 mark, 4 may be other white space, 5 begins characters that may be.
+_CLASSES = np.zeros(256, np.uint8)
+_CLASSES[[32, 10, 46, 44]] = 1, 2, 3, 3
+_CLASSES[[*_ASCII_OTHER.encode(), 0xE1, 0xE2, 0xE3]] = 4
+_CLASSES[0xC2] = 5
+_LETTER_OR_DIGIT = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
 
 
-class Remembered(dict):
-    """What was computed for keys on first use, in two generations of bounded size."""
+def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the units of UTF-8 texts begin, and which texts `certain` must be asked about.
 
-    def __init__(self, compute, entries: int = CACHE_ENTRIES):
-        super().__init__()
-        self.compute, self.entries, self.before = compute, entries, {}
+    The others are certain: what may make them not so is looked for in their bytes.
+    """
+    classes = _CLASSES[data]
+    at = np.flatnonzero(classes)
+    kind = classes[at]
+    marks, lines, pairs = at[kind == 3], at[kind == 2], at[kind == 5]
+    before, lead = data[marks - 1], data[marks - 2]
+    # U+00C0 to U+00FF are letters but for the signs of multiplication and division
+    latin = (lead == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7)
+    white = kind <= 2
+    doubtful = [
+        at[kind == 4], marks[~(_LETTER_OR_DIGIT[before] | latin)],
+        at[1:][white[1:] & white[:-1] & (at[1:] == at[:-1] + 1)],
+        pairs[np.isin(data[np.minimum(pairs + 1, len(data) - 1)], (0x85, 0xA0))],
+    ]
+    full = np.flatnonzero(np.diff(offsets))
+    first, last = offsets[full], offsets[full + 1] - 1
+    ask = np.ones(len(offsets) - 1, bool)
+    ask[full] = np.isin(classes[first], (1, 2, 3)) | np.isin(classes[last], (1, 2))
+    ask[np.searchsorted(offsets, np.concatenate(doubtful), "right") - 1] = True
+    begins = np.zeros(len(data) + 1, bool)
+    begins[at[kind <= 3]] = begins[lines + 1] = begins[first] = True
+    return np.flatnonzero(begins[:-1]), ask
 
-    def __missing__(self, key):
-        value = self.before.get(key)
-        if value is None:
-            value = self.compute(key)
-        self[key] = value
-        return value
 
-    def table(self):
-        """The lookup for a batch; a full generation becomes the older one before it."""
-        if len(self) > self.entries:
-            self.before = dict(self)
-            self.clear()
-        return self.__getitem__
+def _has_other(text: str) -> bool:
+    if text.isascii():
+        return any(c in text for c in _ASCII_OTHER)
+    return _OTHER.search(text) is not None
 
 
 class UnitEncoder:
@@ -165,7 +179,7 @@ class UnitEncoder:
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model.tokenize
-        self.units = Remembered(self._unit)
+        self.units = WordCache(lambda units: list(map(self._unit, units)))
         symbols = byte_symbols()
         self.blank, self.symbols = symbols[32], str.maketrans({chr(b): c for b, c in symbols.items()})
 
@@ -183,16 +197,43 @@ class UnitEncoder:
         return array("I", [p.id for p in self.model(word)]).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        known, out, whole = self.units.table(), [], []
-        for text in texts:
-            if certain(text):
-                units = text.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(".", "\0.").replace(",", "\0,").split("\0")
-                out.append(b"".join(map(known, units)))
-            else:
-                out.append(None)
-                whole.append(text)
-        rest = iter(self._raw(whole))
-        return [next(rest) if ids is None else ids for ids in out]
+        ids, counts = self.encode(pa.array(texts, pa.string()))
+        return [part.tobytes() for part in np.split(ids, np.cumsum(counts)[:-1])] if texts else []
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in turn, and how many each has."""
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        offsets = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)
+        offsets = offsets[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+        if offsets[0] == offsets[-1]:
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
+        offsets -= offsets[0]
+        begins, ask = cut(data, offsets)
+        whole = np.array([i for i in np.flatnonzero(ask) if not certain(texts[i].as_py())], np.int64)
+        ends = np.append(begins, len(data))
+        units = pa.Array.from_buffers(
+            pa.large_string(), len(begins), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+        if len(whole):
+            kept = ~np.isin(np.searchsorted(offsets, begins, "right") - 1, whole)
+            units, begins = units.filter(pa.array(kept)), begins[kept]
+        coded = units.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        found = list(map(self.units.fill([words]).__getitem__, words))
+        flat, sizes = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        place = coded.indices.to_numpy()
+        times = sizes[place]
+        after = np.cumsum(times)
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[place] - (after - times), times) + np.arange(after[-1] if len(after) else 0)]
+        counts = np.diff(np.append(0, after)[np.searchsorted(begins, offsets)])
+        if len(whole):
+            parts = np.split(ids, np.cumsum(counts)[:-1])
+            for i, raw in zip(whole, self._raw([texts[i].as_py() for i in whole])):
+                parts[i] = np.frombuffer(raw, "<u4")
+                counts[i] = len(parts[i])
+            ids = np.concatenate(parts)
+        return ids, counts
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}
@@ -216,27 +257,29 @@ def segments(docs: DataFrame, path: str, end_id: int = END_ID, segment_tokens: i
     place = F.coalesce(sum((F.when(F.col("doc_id") >= int(b), 1).otherwise(0) for b in bounds), F.lit(0)), F.lit(0))
     ordered = given.repartitionById(len(bounds) + 1, place).sortWithinPartitions("doc_id", "text")
     fields = schema_of(SEGMENT)
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches):
         work, part = encoder(path), TaskContext.get().partitionId()
         seq, total, held, ids, lengths = 0, 0, [], [], []
 
         def flush():
-            values = np.frombuffer(b"".join(held), "<u4")
+            values = np.concatenate(held)
             return pa.RecordBatch.from_pylist([{
                 "part": part, "seq": seq, "n_tokens": len(values), "doc_ids": ids, "lengths": lengths, "codes": encode(values),
             }], schema=fields)
 
         for names, texts in slices(batches):
-            for name, found in zip(names.to_pylist(), work(texts.to_pylist())):
-                held += [found, end]
+            found, counts = work.encode(texts)
+            values = np.insert(found, np.cumsum(counts), end_id)
+            first = last = 0
+            for name, n in zip(names.to_pylist(), (counts + 1).tolist()):
                 ids.append(name)
-                lengths.append(len(found) // 4 + 1)
-                total += lengths[-1]
+                lengths.append(n)
+                total, last = total + n, last + n
                 if total >= segment_tokens:
+                    held.append(values[first:last])
                     yield flush()
-                    seq, total, held, ids, lengths = seq + 1, 0, [], [], []
+                    seq, total, held, ids, lengths, first = seq + 1, 0, [], [], [], last
+            held.append(values[first:])
         if ids:
             yield flush()
 
@@ -284,9 +327,9 @@ def _documents(files: DataFrame) -> DataFrame:
             out = []
             for row in rows:
                 codes, at = Codes(row["codes"]), 0
+                raw = memoryview(codes.slice(0, codes.size).astype("<u4")).cast("B")
                 for name, n in zip(row["doc_ids"], row["lengths"]):
-                    raw = codes.slice(at, at + n).astype("<u4").tobytes()
-                    out.append({"part": row["part"], "seq": row["seq"], "doc_id": name, "offset": at, "n_tokens": n, "ids_crc32": zlib.crc32(raw)})
+                    out.append({"part": row["part"], "seq": row["seq"], "doc_id": name, "offset": at, "n_tokens": n, "ids_crc32": zlib.crc32(raw[4 * at:4 * (at + n)])})
                     at += n
             return out
 

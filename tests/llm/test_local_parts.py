@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from tallyloom.llm import html, language_model, quality, token_files
@@ -96,3 +97,23 @@ def test_classifier_learns():
     model = train(good + bad, [1] * 40 + [0] * 40, epochs=4)
     value = lambda t: float((model[text_features(t)[0]] * text_features(t)[1]).sum() + model[-1])
     assert min(map(value, good)) > max(map(value, bad)) and np.isfinite(value(b""))
+
+
+def test_texts_are_cut_in_their_bytes():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    draw = random.Random(3)
+    signs = "ab Zé×÷ß.,\n \t\0_'1٣ \u0085 ¿漢x-! 　ª"
+    texts = ["".join(draw.choices(signs, k=draw.randrange(12))) for _ in range(4000)]
+    texts += [" ".join("".join(draw.choices("abéÃñx1", k=3)) + draw.choice(["", ",", ".", "!!"]) for _ in range(draw.randrange(15))) for _ in range(500)]
+    given = pa.array(["cut off", *texts, "cut off"])[1:-1]
+    offsets = np.frombuffer(given.buffers()[1], np.int32)[1:len(texts) + 2].astype(np.int64)
+    data = np.frombuffer(given.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
+    _, ask = token_files.cut(data, offsets - offsets[0])
+    assert all(a or token_files.certain(t) for t, a in zip(texts, ask)) and not ask.all()
+    work = token_files.UnitEncoder(path)
+    want = [e.ids for e in work.library.encode_batch(texts, add_special_tokens=False)]
+    for kind in (pa.string(), pa.large_string()):
+        ids, counts = work.encode(given.cast(kind))
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+    assert [len(x) for x in work.encode(pa.array(["", ""]))] == [0, 2]
+    assert [len(x) for x in work.encode(pa.array([], pa.string()))] == [0, 0]
