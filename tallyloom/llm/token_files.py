@@ -28,12 +28,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyloom.llm.common import WordCache, map_rows, schema_of
+from tallyloom.llm.common import WordCache, dropped_by_worker, held_by_worker, map_rows, schema_of
 from tallyloom.llm.token_counts import byte_symbols
 
 BLOCK = 512
 SEGMENT_TOKENS = 1_000_000
 END_ID = 0
+#: Units of one generation of a worker's cache.
+CACHE_UNITS = 250_000
 _MAGIC = b"DAC1"
 
 
@@ -179,7 +181,7 @@ class UnitEncoder:
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model.tokenize
-        self.units = WordCache(lambda units: list(map(self._unit, units)))
+        self.units = WordCache(lambda units: list(map(self._unit, units)), CACHE_UNITS)
         symbols = byte_symbols()
         self.blank, self.symbols = symbols[32], str.maketrans({chr(b): c for b, c in symbols.items()})
 
@@ -219,14 +221,10 @@ class UnitEncoder:
             kept = ~np.isin(np.searchsorted(offsets, begins, "right") - 1, whole)
             units, begins = units.filter(pa.array(kept)), begins[kept]
         coded = units.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        found = list(map(self.units.fill([words]).__getitem__, words))
-        flat, sizes = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
-        place = coded.indices.to_numpy()
-        times = sizes[place]
-        after = np.cumsum(times)
-        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[place] - (after - times), times) + np.arange(after[-1] if len(after) else 0)]
-        counts = np.diff(np.append(0, after)[np.searchsorted(begins, offsets)])
+        found = pa.array(self.units.values(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        after = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1) // 4
+        ids = np.frombuffer(found.buffers()[2] or b"", "<u4")[:after[-1]]
+        counts = np.diff(after[np.searchsorted(begins, offsets)])
         if len(whole):
             parts = np.split(ids, np.cumsum(counts)[:-1])
             for i, raw in zip(whole, self._raw([texts[i].as_py() for i in whole])):
@@ -236,13 +234,9 @@ class UnitEncoder:
         return ids, counts
 
 
-_ENCODERS: dict[str, UnitEncoder] = {}
-
-
 def encoder(path: str) -> UnitEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = UnitEncoder(path)
-    return _ENCODERS[path]
+    """The worker's encoder, with the units its earlier tasks have met; reading files back drops it."""
+    return held_by_worker(("unit encoder", path), lambda: UnitEncoder(path))
 
 
 SEGMENT = "part int, seq int, n_tokens long, doc_ids array<long>, lengths array<long>, codes binary"
@@ -323,6 +317,8 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def _documents(files: DataFrame) -> DataFrame:
     def make():
+        dropped_by_worker("unit encoder")
+
         def step(rows):
             out = []
             for row in rows:

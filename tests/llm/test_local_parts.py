@@ -9,6 +9,7 @@ from tokenizers import Tokenizer
 
 from tallyloom.llm import html, language_model, quality, token_files
 from tallyloom.llm.classifier import text_features, train
+from tallyloom.llm.common import WordCache
 from tallyloom.llm.token_counts import RankMerger
 
 ODD = ["", "it's I'LL 12345 été ΑΣ İx 你好 😀", "x<|endoftext|>y <|startoftext|>", " a  b\n\n c\t.", "a\x1cb\x85c", "aaaaaaa" * 200,
@@ -117,3 +118,11 @@ def test_texts_are_cut_in_their_bytes():
         assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
     assert [len(x) for x in work.encode(pa.array(["", ""]))] == [0, 2]
     assert [len(x) for x in work.encode(pa.array([], pa.string()))] == [0, 0]
+
+
+def test_cache_values_over_generations():
+    asked = []
+    cache = WordCache(lambda words: asked.extend(words) or [w.upper() for w in words], 4)
+    for words in (["a", "b", "c"], ["c", "a"], ["d", "e"], ["a", "d"], ["f", "g", "h", "i", "j"], []):
+        assert cache.values(words) == [w.upper() for w in words]
+    assert asked == ["a", "b", "c", "d", "e", "f", "g", "h", "i", "j"] and len(cache.now) + len(cache.before) <= 9

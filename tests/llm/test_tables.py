@@ -4,9 +4,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-from tallyloom.llm import chat, language_model, mixing, token_files
+from tallyloom.llm import chat, common, language_model, mixing, token_files
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -25,6 +26,26 @@ def test_token_files_round_trip(spark, tmp_path):
     assert got == want
 
 
+def test_a_worker_keeps_its_encoder_until_files_are_read_back(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+
+    def look(batches):
+        for _ in batches:
+            pass
+        work = token_files.encoder(path)
+        met = len(work.units.now)
+        work.units.values([" unit"])
+        yield pa.RecordBatch.from_pylist([{"met": met}])
+
+    tasks = spark.range(40).repartition(40).mapInArrow(look, "met long").collect()
+    assert {r.met for r in tasks} == {0, 1} and sum(r.met for r in tasks) >= 8
+    first = token_files.encoder(path)
+    assert token_files.encoder(path) is first
+    common.dropped_by_worker("unit encoder")
+    assert token_files.encoder(path) is not first
+    common.dropped_by_worker("unit encoder")
+
+
 def test_mix(spark):
     rows = [(i, "w " * (i % 7), "x", ("b" if i % 3 else "a"), 0) for i in range(300)] + [(900, None, None, None, None), (901, "one", None, None, 1), (901, "one", None, None, 1)]
     docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS rate", "2 AS _copies_")
